@@ -16,7 +16,7 @@ def thousands(n: Column) -> Column:
 
 def fixed(x: Column, digits: int = 2) -> Column:
     """Fixed-point text; ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
 
 
 def number_text(x: Column) -> Column:

@@ -22,7 +22,7 @@ def file_fqn(scheme: str, bucket: Column, path: Column) -> Column:
 
 def strip_scheme(fqn: Column) -> Column:
     """Drop a ``scheme:`` prefix, keeping ``scheme://`` file names whole."""
-    return F.regexp_replace(fqn, r"^[A-Za-z][A-Za-z0-9+]*:(?=[^/])", "")
+    return F.regexp_replace(fqn, r"^[A-Za-z][A-Za-z0-9+]*:(?!//)", "")
 
 
 def scan_id(dataset: Column, table: Column) -> Column:

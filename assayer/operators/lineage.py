@@ -124,8 +124,8 @@ def lineage_graph(edges: DataFrame, root: str, direction: str = "both", max_dept
 def lineage_totals(nodes: DataFrame) -> DataFrame:
     """Totals per direction and the depth reached."""
     return nodes.agg(
-        F.count_if("direction = 'upstream'").alias("total_upstream"),
-        F.count_if("direction = 'downstream'").alias("total_downstream"),
+        F.count_if(F.expr("direction = 'upstream'")).alias("total_upstream"),
+        F.count_if(F.expr("direction = 'downstream'")).alias("total_downstream"),
         F.max("depth").alias("max_depth_reached"),
     )
 

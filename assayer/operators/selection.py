@@ -51,9 +51,9 @@ def run_statistics(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(
         F.count_distinct("project_id").alias("projects_scanned"),
         F.count_distinct("project_id", "dataset_id").alias("datasets_scanned"),
-        F.count_if("outcome != 'filtered'").alias("tables_scanned"),
-        F.count_if("outcome = 'formatted'").alias("tables_formatted"),
-        F.count_if("outcome = 'filtered'").alias("tables_filtered_by_label"),
-        F.count_if("outcome = 'error'").alias("errors"),
+        F.count_if(F.expr("outcome != 'filtered'")).alias("tables_scanned"),
+        F.count_if(F.expr("outcome = 'formatted'")).alias("tables_formatted"),
+        F.count_if(F.expr("outcome = 'filtered'")).alias("tables_filtered_by_label"),
+        F.count_if(F.expr("outcome = 'error'")).alias("errors"),
         F.count_if("description_generated").alias("descriptions_generated"),
     )

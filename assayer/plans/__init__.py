@@ -2,6 +2,6 @@
 
 
 def registry() -> dict:
-    from assayer.plans import profiling
+    from assayer.plans import cataloguing, profiling, searching
 
-    return {**profiling.QUERIES}
+    return {**profiling.QUERIES, **cataloguing.QUERIES, **searching.QUERIES}

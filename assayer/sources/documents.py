@@ -42,9 +42,9 @@ def ingest_summary(parsed: DataFrame, existing_ids: DataFrame, upsert: bool = Tr
         F.count_if(F.col("known").isNull()).alias("created"),
     )
     others = parsed.agg(
-        F.count_if("state != 'blank'").alias("total"),
-        F.count_if("state = 'failed'").alias("failed"),
-        F.count_if("state = 'skipped'").alias("no_id"),
+        F.count_if(F.expr("state != 'blank'")).alias("total"),
+        F.count_if(F.expr("state = 'failed'")).alias("failed"),
+        F.count_if(F.expr("state = 'skipped'")).alias("no_id"),
     )
     counted = others.withColumn("_v", per_id.select(F.struct("valid", "created")).scalar())
     repeats = F.col("_v.valid") - F.col("_v.created")
