@@ -117,15 +117,15 @@ def catalog_rows(
 def report_input(catalog: DataFrame, extras: DataFrame, profile: DataFrame) -> DataFrame:
     """Catalog rows with what reports show beyond the stored schema.
 
-    ``extras`` brings cost, owner, scores or usage on ``table_ref``; string lengths come from the profile.
+    ``extras`` brings cost, owner, scores or usage on ``table_ref``; null counts and lengths come from the profile.
     """
-    entry = F.struct("ordinal", "column_name", "min_length", "max_length", "distinct_count")
-    names = ("column_name", "min_length", "max_length", "distinct_count")
-    lengths = profile.filter("profile_type = 'string'").groupBy(F.col("table_id").alias("table_ref")).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda s: F.struct(*[s[n].alias(n) for n in names])).alias("length_profiles")
+    names = ("column_name", "profile_type", "null_count", "null_percentage", "distinct_count", "min_length", "max_length")
+    ordered = F.sort_array(F.collect_list(F.struct("ordinal", *names)))
+    details = profile.groupBy(F.col("table_id").alias("table_ref")).agg(
+        F.transform(ordered, lambda s: F.struct(*[s[n].alias(n) for n in names])).alias("profile_details")
     )
     keyed = catalog.withColumn("table_ref", F.concat_ws(".", "project_id", "dataset_id", "table_id"))
-    return keyed.join(extras, "table_ref", "left").join(lengths, "table_ref", "left").drop("table_ref")
+    return keyed.join(extras, "table_ref", "left").join(details, "table_ref", "left").drop("table_ref")
 
 
 # --- storage ----------------------------------------------------------------------------------

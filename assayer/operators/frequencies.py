@@ -16,8 +16,11 @@ from assayer.sources.tables import Field, profilable
 
 
 def display_value(f: Field) -> str:
-    """A value as text; bytes by their length, nested values as JSON of at most 100 characters."""
-    c = q.name(f.path)
+    """The column's value as text; bytes by their length, nested values as JSON of at most 100 characters."""
+    return display_value_of(f, q.name(f.path))
+
+
+def display_value_of(f: Field, c: str) -> str:
     if isinstance(f.data_type, T.BinaryType):
         return f"concat('<bytes: ', length({c}), ' bytes>')"
     if isinstance(f.data_type, (T.ArrayType, T.MapType)):
@@ -66,10 +69,48 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
     )
 
 
+def top_values_sketch(df: DataFrame, columns: list[str] | None = None, k: int = 10, tracked: int = 10_000) -> DataFrame:
+    """Common values from a frequent-items sketch of ``tracked`` entries per column: one pass, nothing shuffled per value.
+
+    Counts are exact while a column has fewer distinct values than ``tracked``.
+    """
+    chosen = _selected(df, columns)
+    sketches = [f"approx_top_k({display_value(f)}, {k}, {tracked}) AS t{i}" for i, f in enumerate(chosen)]
+    rows = q.rows([q.struct(column_name=q.text(f.dotted), top=f"t{i}") for i, f in enumerate(chosen)])
+    each = df.selectExpr("count(1) AS total_rows", *sketches).selectExpr("total_rows", rows)
+    return each.selectExpr("column_name", "total_rows", "posexplode(top) AS (pos, entry)").filter("entry.item IS NOT NULL").selectExpr(
+        "column_name", "CAST(pos + 1 AS BIGINT) AS rank", "entry.item AS value", "entry.count AS value_count",
+        "round(try_divide(entry.count * 100.0D, total_rows), 2) AS percentage",
+    )
+
+
 def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, max_columns: int = 30) -> DataFrame:
-    """Up to ``k`` distinct non-null values of the first ``max_columns`` columns, in value order."""
-    names = [f.dotted for f in _selected(df, columns)][:max_columns]
-    return _top(value_frequencies(df, names).filter("value IS NOT NULL"), k, "value").select("column_name", "rank", "value")
+    """The ``k`` smallest distinct values of the first ``max_columns`` columns, as text.
+
+    Each round finds every column's next larger value with one plain ``min`` per column, so even a column of
+    unique texts is never shuffled: what leaves a task is one row per round.
+    """
+    chosen = [f for f in _selected(df, columns) if not isinstance(f.data_type, (T.MapType, T.VariantType))][:max_columns]
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "column_name string, rank bigint, value string")
+    found: DataFrame | None = None
+    for step in range(1, k + 1):
+        if found is None:
+            rows, kept = df, []
+        else:
+            rows = df.withColumn("_found", found.select(F.struct("*")).scalar())
+            kept = [f"any_value(_found.v{i}_{s}) AS v{i}_{s}" for i in range(len(chosen)) for s in range(1, step)]
+        nexts = [
+            f"min(CASE WHEN {q.name(f.path)} > _found.v{i}_{step - 1} THEN {q.name(f.path)} END) AS v{i}_{step}"
+            if found is not None else f"min({q.name(f.path)}) AS v{i}_{step}"
+            for i, f in enumerate(chosen)
+        ]
+        found = rows.selectExpr(*kept, *nexts)
+    out = q.rows([
+        q.struct(column_name=q.text(f.dotted), rank=f"{s}L", value=display_value_of(f, f"v{i}_{s}"))
+        for i, f in enumerate(chosen) for s in range(1, k + 1)
+    ])
+    return found.selectExpr(out).filter("value IS NOT NULL")
 
 
 def string_patterns(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:

@@ -1,7 +1,6 @@
-"""Column profiles: one aggregation over the table, one long row per column.
+"""Column profiles: every column is read once and aggregated, one long row per column.
 
-The aggregates follow from the schema, so they are generated as SQL expressions; a wide table costs one
-call per column group instead of thousands.
+The aggregates follow from the schema, so they are generated as SQL expressions.
 """
 
 from __future__ import annotations
@@ -15,13 +14,14 @@ from assayer.functions import sqltext as q
 from assayer.operators.ranking import top_ranked
 from assayer.sources.tables import Field, profilable, union_all
 
-# Aggregates per query: wider tables are profiled in several column groups, each reading only its columns.
-COLUMNS_PER_PASS = 100
-
 
 @dataclass(frozen=True)
 class ProfileOptions:
-    """What to measure. Approximate distinct counts and quartiles are mergeable sketches of bounded size."""
+    """What to measure. Approximate distinct counts and quartiles are mergeable sketches of bounded size.
+
+    ``columns_per_pass`` keeps the generated aggregation code small enough to be compiled; each pass reads
+    only its own columns, so more passes read no more bytes. Very wide tables use at most ``max_passes``.
+    """
 
     nulls: bool = True
     cardinality: bool = True
@@ -29,6 +29,8 @@ class ProfileOptions:
     quartiles: bool = True
     relative_error: float = 0.05
     quantile_accuracy: int = 10_000
+    columns_per_pass: int = 4
+    max_passes: int = 50
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -85,7 +87,8 @@ def profile_table(
     wanted = [f for f in profilable(df.schema) if columns is None or f.dotted in columns]
     if not wanted:
         return df.sparkSession.createDataFrame([], schemas.PROFILE)
-    groups = [wanted[i:i + COLUMNS_PER_PASS] for i in range(0, len(wanted), COLUMNS_PER_PASS)]
+    size = max(options.columns_per_pass, -(-len(wanted) // options.max_passes))
+    groups = [wanted[i:i + size] for i in range(0, len(wanted), size)]
     return union_all(_profile_group(df, table_id, g, options) for g in groups)
 
 
@@ -104,7 +107,9 @@ def _profile_group(df: DataFrame, table_id: str, group: list[Field], opts: Profi
             **bounds,
         ))
     long = df.selectExpr(*aggregates).selectExpr("total_rows", q.rows(structs))
-    return long.selectExpr(
+    # A sketch may overshoot; there are never more distinct values than filled cells.
+    filled = F.expr("least(distinct_count, total_rows - coalesce(null_count, 0L))")
+    return long.withColumn("distinct_count", F.when(F.col("distinct_count").isNotNull(), filled)).selectExpr(
         f"{q.text(table_id)} AS table_id", "column_name", "ordinal", "data_type", "profile_type", "total_rows", "null_count",
         "round(try_divide(null_count * 100.0D, total_rows), 2) AS null_percentage",
         "distinct_count", "round(try_divide(distinct_count * 100.0D, total_rows), 2) AS distinct_percentage",

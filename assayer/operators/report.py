@@ -56,6 +56,16 @@ def _profiles(kind: str, most: int | None = None) -> Column:
     return F.slice(chosen, 1, most) if most else chosen
 
 
+_DETAILS = (
+    "array<struct<column_name:string,profile_type:string,null_count:bigint,null_percentage:double,"
+    "distinct_count:bigint,min_length:bigint,max_length:bigint>>"
+)
+
+
+def _strings(catalog: DataFrame) -> Column:
+    return F.filter(_col(catalog, "profile_details", _DETAILS), lambda p: p["profile_type"] == "string")
+
+
 def _by_name(profiles: Column) -> Column:
     return F.array_sort(profiles, lambda a, b: F.when(a["column_name"] < b["column_name"], -1).when(a["column_name"] > b["column_name"], 1).otherwise(0))
 
@@ -108,8 +118,7 @@ def content_text(catalog: DataFrame) -> Column:
         "- **", p["column_name"], "**: min=", p["min_value"], ", max=", p["max_value"],
         ", avg=", _number_or_na(p["avg_value"]), ", distinct=", d.thousands(F.coalesce(p["distinct_count"], F.lit(0))),
     ))
-    lengths = c("length_profiles", "array<struct<column_name:string,min_length:bigint,max_length:bigint,distinct_count:bigint>>")
-    strings = _each(F.slice(lengths, 1, 10), lambda p: _t(
+    strings = _each(F.slice(_strings(catalog), 1, 10), lambda p: _t(
         "- **", p["column_name"], "**: length=", F.coalesce(p["min_length"].cast("string"), F.lit("None")), "-",
         F.coalesce(p["max_length"].cast("string"), F.lit("None")), ", distinct=", d.thousands(F.coalesce(p["distinct_count"], F.lit(0))),
     ))
@@ -244,13 +253,13 @@ def markdown(catalog: DataFrame) -> Column:
         _t(f"**{label}**: ", d.fixed(score * 100, 1), "% [", status(score), "]")
         for label, score in (("Completeness", c("completeness_score", "double")), ("Freshness", c("freshness_score", "double")))
     ]
-    ranked = _by_null_share(F.col("column_profiles"))
-    null_table = F.when(F.size("column_profiles") > 0, _lines(
+    ranked = _by_null_share(_col(catalog, "profile_details", _DETAILS))
+    null_table = F.when(F.size(ranked) > 0, _lines(
         "### Null Statistics", "",
         _table(["Column", "Null Count", "Null %"], _lines(
             _each(F.slice(ranked, 1, 20), lambda p: _row(
                 p["column_name"],
-                d.thousands(F.round(F.coalesce(p["null_percentage"], F.lit(0.0)) / 100 * F.coalesce("row_count", F.lit(0)))),
+                d.thousands(F.coalesce(p["null_count"], F.lit(0))),
                 _t(d.fixed(F.coalesce(p["null_percentage"], F.lit(0.0)), 1), "%"),
             )),
             F.when(F.size(ranked) > 20, _t("| *...and ", F.size(ranked) - 20, " more columns* | | |")),
@@ -263,8 +272,7 @@ def markdown(catalog: DataFrame) -> Column:
         p["column_name"], _number_or_na(p["min_value"]), _number_or_na(p["max_value"]), _number_or_na(p["avg_value"]),
         d.thousands(F.coalesce(p["distinct_count"], F.lit(0))),
     ))
-    lengths = c("length_profiles", "array<struct<column_name:string,min_length:bigint,max_length:bigint,distinct_count:bigint>>")
-    strings = _each(_by_name(lengths), lambda p: _row(
+    strings = _each(_by_name(_strings(catalog)), lambda p: _row(
         p["column_name"], F.coalesce(p["min_length"].cast("string"), F.lit("None")), F.coalesce(p["max_length"].cast("string"), F.lit("None")),
         d.thousands(F.coalesce(p["distinct_count"], F.lit(0))),
     ))

@@ -91,6 +91,10 @@ def _weight(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / average))
 
 
+def _occurrences(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == word))
+
+
 def bm25(documents: DataFrame, query: str, key: str, text: str) -> DataFrame:
     """Documents with a word of the query and their BM25 score; an empty query keeps all with score 1.
 
@@ -108,9 +112,7 @@ def bm25(documents: DataFrame, query: str, key: str, text: str) -> DataFrame:
             "_hits": F.regexp_extract_all(lowered, F.lit(whole_word), F.lit(0)),
             "_len": F.regexp_count(text, F.lit(_WORD)).cast("double"),
         })
-        return found.withColumns({
-            f"_tf{i}": F.size(F.filter("_hits", lambda t, w=w: t == w)).cast("double") for i, w in enumerate(terms)
-        })
+        return found.withColumns({f"_tf{i}": _occurrences("_hits", w).cast("double") for i, w in enumerate(terms)})
 
     stats = counted(documents.select(text)).agg(
         F.count(F.lit(1)).cast("double").alias("n"),

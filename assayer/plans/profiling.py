@@ -324,18 +324,23 @@ TOP_VALUES_SQL = f"""
     FROM r JOIN t USING (table_id, column_name) WHERE rank <= 10
 """
 
-SAMPLE_COLUMNS = {"orders": ["o_orderkey", "o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand"], "documents": ["lang", "text"], "pages": ["url"]}
+SAMPLE_COLUMNS = {"lineitem": ["l_quantity", "l_shipdate", "l_returnflag"], "orders": ["o_orderkey", "o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand"], "documents": ["lang", "text"], "pages": ["url"]}
 
 
 def sample_values(spark: SparkSession, sf: str) -> DataFrame:
     return _per_table(spark, sf, SAMPLE_COLUMNS, frequencies.sample_values)
 
 
-SAMPLE_VALUES_SQL = f"""
-    WITH v AS (SELECT DISTINCT * FROM ({_pairs_sql(SAMPLE_COLUMNS)}) WHERE value IS NOT NULL),
-         r AS (SELECT *, row_number() OVER (PARTITION BY table_id, column_name ORDER BY value) AS rank FROM v)
-    SELECT table_id, column_name, rank, value FROM r WHERE rank <= 3
-"""
+SAMPLE_VALUES_SQL = _union_sql([
+    f"SELECT '{t}' AS table_id, '{c}' AS column_name, row_number() OVER (ORDER BY v) AS rank, CAST(v AS VARCHAR) AS value"
+    f" FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)"
+    for t, columns in SAMPLE_COLUMNS.items() for c in columns
+])
+
+
+def top_values_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return _per_table(spark, sf, VALUE_COLUMNS, frequencies.top_values_sketch)
+
 
 PATTERN_COLUMNS = {
     "customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
@@ -665,6 +670,7 @@ QUERIES = {
     "table_inventory": (table_inventory, TABLE_INVENTORY_SQL),
     "table_files": (table_files, None),
     "top_values": (top_values, TOP_VALUES_SQL),
+    "top_values_sketch": (top_values_sketch, None),
     "sample_values": (sample_values, SAMPLE_VALUES_SQL),
     "string_patterns": (string_patterns, STRING_PATTERNS_SQL),
     "sensitive_columns": (sensitive_columns, SENSITIVE_COLUMNS_SQL),
