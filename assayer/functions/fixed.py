@@ -71,3 +71,6 @@ INFO_TYPES = {
     "CREDIT_CARD_NUMBER": r"\b[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}\b",
     "IP_ADDRESS": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
 }
+
+# A character every match of the info type holds; cells without it need no pattern test.
+INFO_TYPE_MARKERS = {"EMAIL_ADDRESS": "@"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions import sqltext as q
-from assayer.functions.fixed import INFO_TYPES, PHI_KEYWORDS, PII_KEYWORDS
+from assayer.functions.fixed import INFO_TYPE_MARKERS, INFO_TYPES, PHI_KEYWORDS, PII_KEYWORDS
 from assayer.functions.display import is_report_sensitive
 from assayer.functions.naming import contains_any
 from assayer.sources.tables import Field, profilable
@@ -29,6 +29,13 @@ def flag_tables(columns: DataFrame, nested: bool = True) -> DataFrame:
     )
 
 
+def holds(cell: str, info_type: str, regex: str) -> str:
+    """The condition that a cell holds a match; the marker character is looked for first, as it is far cheaper."""
+    test = f"{cell} RLIKE {q.pattern(regex)}"
+    marker = INFO_TYPE_MARKERS.get(info_type)
+    return f"contains({cell}, {q.text(marker)}) AND {test}" if marker else test
+
+
 def value_findings(
     df: DataFrame, table_id: str, columns: list[str] | None = None, info_types: dict[str, str] | None = None
 ) -> DataFrame:
@@ -42,7 +49,7 @@ def value_findings(
         return df.sparkSession.createDataFrame([], "table_id string, column_name string, info_type string, match_count bigint")
     cells = [(f, name, regex) for f in chosen for name, regex in types.items()]
     counted = df.selectExpr(*[
-        f"count_if({q.name(f.path)} RLIKE {q.pattern(regex)}) AS m{i}" for i, (f, _, regex) in enumerate(cells)
+        f"count_if({holds(q.name(f.path), name, regex)}) AS m{i}" for i, (f, name, regex) in enumerate(cells)
     ])
     rows = q.rows([
         q.struct(column_name=q.text(f.dotted), info_type=q.text(name), match_count=f"m{i}") for i, (f, name, _) in enumerate(cells)
@@ -50,12 +57,10 @@ def value_findings(
     return counted.selectExpr(f"{q.text(table_id)} AS table_id", rows)
 
 
-def has_any_info_type(text: Column, info_types: dict[str, str] | None = None) -> Column:
-    """True if the text holds any of the info types."""
-    out = F.lit(False)
-    for regex in (info_types or INFO_TYPES).values():
-        out = out | text.rlike(regex)
-    return out
+def has_info_type(column: str, info_types: dict[str, str] | None = None) -> Column:
+    """True if the column's text holds any of the info types."""
+    tests = [holds(q.name(column), name, regex) for name, regex in (info_types or INFO_TYPES).items()]
+    return F.expr(" OR ".join(f"({t})" for t in tests))
 
 
 def pii_with_findings(has_pii: Column, findings: Column) -> Column:

@@ -44,26 +44,31 @@ def view_dependencies(views: DataFrame, tables: DataFrame, excluded: list[str] =
     return refs.join(known, "_key").select("source", F.col("view_ref").alias("target"), F.lit("view").alias("edge_type")).distinct()
 
 
-def view_dependencies_by_substring(views: DataFrame, tables: DataFrame, max_shapes: int = 512) -> DataFrame:
+def view_dependencies_by_substring(views: DataFrame, tables: DataFrame) -> DataFrame:
     """Edges wherever ``dataset.table`` of a table occurs anywhere in a view's lower-cased text.
 
-    Containment runs as an equi join: a name has its first dot at a known place and a known length, so
-    only text windows of such shapes can match. The shapes (bounded by name lengths, and checked) become
-    patterns that cut every overlapping window out of the text; windows then join to names by equality.
+    Containment runs as two equi joins: at each dot of the text the dataset must end just before it and the
+    table start just after it. Only ends and starts of lengths that occur among the names are tried, so a
+    text costs its dots times the few distinct dataset lengths, then the lengths of that dataset's tables.
     """
-    names = tables.select(F.col("table_ref").alias("source"), F.lower(F.concat_ws(".", "dataset_id", "table_id")).alias("_window"))
-    shapes = names.select(F.instr("_window", ".").alias("dot"), F.length("_window").alias("size")).distinct().limit(max_shapes + 1).collect()
-    if not shapes:
-        return tables.sparkSession.createDataFrame([], EDGES)
-    if len(shapes) > max_shapes:
-        raise ValueError(f"more than {max_shapes} name shapes; match whole names instead")
-    text = F.lower("view_query")
-    cuts = [
-        F.regexp_extract_all(text, F.lit(rf"(?s)(?=([^.]{{{s.dot - 1}}}\..{{{s.size - s.dot}}}))"), F.lit(1)) for s in shapes
-    ]
-    windows = views.select("view_ref", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("_window"))
-    found = windows.join(names, "_window").filter(F.col("source") != F.col("view_ref"))
-    return found.select("source", F.col("view_ref").alias("target"), F.lit("view").alias("edge_type"))
+    names = tables.select(
+        F.col("table_ref").alias("source"), F.lower("dataset_id").alias("_ds"), F.lower("table_id").alias("_tb")
+    ).filter(~F.col("_ds").contains(".") & ~F.col("_tb").contains("."))  # a dot inside a name is no valid name
+    datasets = names.groupBy("_ds").agg(F.collect_set(F.length("_tb")).alias("_table_lengths"))
+    lengths = names.agg(F.collect_set(F.length("_ds"))).scalar()  # one array of distinct name lengths
+
+    pieces = views.select("view_ref", F.split(F.lower("view_query"), r"\.").alias("_p"))
+    dots = F.size("_p") - 1
+    sides = F.arrays_zip(F.slice("_p", F.lit(1), dots).alias("_left"), F.slice("_p", F.lit(2), dots).alias("_right"))
+    around = pieces.filter(dots > 0).select("view_ref", F.inline(sides))
+    ends = around.select("*", F.explode(lengths).alias("_n")).filter(F.length("_left") >= F.col("_n")).select(
+        "view_ref", "_right", F.right("_left", F.col("_n")).alias("_ds")
+    )
+    starts = ends.join(datasets, "_ds").select("view_ref", "_ds", "_right", F.explode("_table_lengths").alias("_n")).filter(
+        F.length("_right") >= F.col("_n")
+    ).select("view_ref", "_ds", F.left("_right", F.col("_n")).alias("_tb"))
+    found = starts.join(names, ["_ds", "_tb"]).filter(F.col("source") != F.col("view_ref"))
+    return found.select("source", F.col("view_ref").alias("target"), F.lit("view").alias("edge_type")).distinct()
 
 
 def clean_edges(edges: DataFrame, file_schemes: list[str] = ["gs://", "s3://", "s3a://", "hdfs://", "file:"]) -> DataFrame:

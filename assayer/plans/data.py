@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.cost import query_cost, storage_cost, total_cost
 from assayer.functions.fixed import INFO_TYPES
+from assayer.operators.classify import has_info_type
 from assayer.sources.tables import Asset
 
 PROJECT = "lake"
@@ -72,7 +73,7 @@ def document_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("row_count"),
         size.alias("size_bytes"),
         (1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("column_count"),
-        F.col("text").rlike(EMAIL).alias("has_pii"),
+        has_info_type("text", {"EMAIL_ADDRESS": EMAIL}).alias("has_pii"),
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("has_phi"),
         F.when(F.col("quality") == 1, "prod").when(F.col("quality") == 0, "dev").otherwise("unknown").alias("environment"),
         F.concat(F.lit("team_"), "lang").alias("team"),
