@@ -67,6 +67,16 @@ def lineage_arrays(edges: DataFrame, limit: int = INLINE_EDGES) -> DataFrame:
     return one_way("target", "source", "upstream").join(one_way("source", "target", "downstream"), "table_ref", "full_outer")
 
 
+def column_details(columns: DataFrame, profile: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every column with its null share, bounds, distinct count and sample values side by side, one row each."""
+    keys = ["table_id", "column_name"]
+    values = samples.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
+    )
+    measures = profile.drop("ordinal", "data_type")
+    return columns.join(measures, keys, "left").join(values, keys, "left")
+
+
 def key_metrics(metrics: dict[str, Column]) -> Column:
     """The metrics that have a value, as name and text."""
     pairs = [
@@ -158,8 +168,8 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The next snapshot: incoming rows replace or add, other rows stay. ``order`` picks among incoming copies."""
-    fresh = latest_per_key(incoming, [key], order)
-    return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    replaced = incoming.select(key).distinct()  # a repeated id is one row per task before the join
+    return existing.join(replaced, key, "left_anti").unionByName(latest_per_key(incoming, [key], order))
 
 
 def upsert_outcome(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -179,7 +189,7 @@ def reconcile(existing: DataFrame, incoming: DataFrame, key: str, order: list[Co
 
 
 def delete(documents: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return documents.join(ids.select(key), key, "left_anti")
+    return documents.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def id_collisions(ids: DataFrame, key: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from assayer.functions import sqltext as q
-from assayer.operators.profile import percentage
+from assayer.operators.profile import percentage, unsigned_zero
 from assayer.operators.ranking import top_ranked
 from assayer.sources.tables import Field, profilable
 
@@ -25,7 +25,7 @@ def display_value_of(f: Field, c: str) -> str:
         return f"concat('<bytes: ', length({c}), ' bytes>')"
     if isinstance(f.data_type, (T.ArrayType, T.MapType)):
         return f"substring(to_json({c}), 1, 100)"
-    return f"CAST({c} AS STRING)"
+    return f"CAST({unsigned_zero(c, f.data_type)} AS STRING)"
 
 
 def pattern(value: str) -> str:

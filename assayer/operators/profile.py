@@ -41,6 +41,11 @@ def kind_of(data_type: T.DataType) -> str:
     return "other"
 
 
+def unsigned_zero(c: str, data_type: T.DataType) -> str:
+    """Minus zero read as zero, so bounds and texts do not depend on which of the two is met first."""
+    return f"({c} + CAST(0 AS {data_type.simpleString()}))" if isinstance(data_type, (T.DoubleType, T.FloatType)) else c
+
+
 def _measures(f: Field, opts: ProfileOptions) -> dict[str, str]:
     """The aggregates this column's type allows; anything else stays null."""
     c, kind = q.name(f.path), kind_of(f.data_type)
@@ -52,7 +57,7 @@ def _measures(f: Field, opts: ProfileOptions) -> dict[str, str]:
     if not opts.distribution:
         return out
     if kind == "numeric":
-        out |= {"min": f"min({c})", "max": f"max({c})", "avg": f"avg({c})", "stddev": f"stddev_samp({c})"}
+        out |= {"min": f"min({unsigned_zero(c, f.data_type)})", "max": f"max({unsigned_zero(c, f.data_type)})", "avg": f"avg({c})", "stddev": f"stddev_samp({c})"}
         if opts.quartiles:
             out["quartiles"] = f"percentile_approx(CAST({c} AS DOUBLE), array(0.25, 0.5, 0.75), {opts.quantile_accuracy})"
     size = f"length({c})" if kind == "string" else f"size({c})" if isinstance(f.data_type, T.ArrayType) else None

@@ -315,6 +315,21 @@ def reports(catalog: DataFrame) -> DataFrame:
     return catalog.select(run.alias("run"), "project_id", "dataset_id", "table_id", path.alias("path"), markdown(catalog).alias("markdown"))
 
 
+def export_summary(report_rows: DataFrame) -> DataFrame:
+    """How many reports could be made per dataset; an asset without a text counts as failed and stops no other."""
+    return report_rows.groupBy("project_id", "dataset_id").agg(
+        F.count("markdown").alias("exported"), F.count_if(F.col("markdown").isNull()).alias("failed"),
+        F.coalesce(F.sum(F.length("markdown")), F.lit(0)).alias("total_chars"),
+    )
+
+
+def with_reports_of_run(catalog: DataFrame, report_rows: DataFrame) -> DataFrame:
+    """Catalog rows next to the report of the same asset and the same run; null where that run wrote none."""
+    run = F.date_format("run_timestamp", "yyyyMMdd'T'HHmmss")
+    found = report_rows.select("run", "project_id", "dataset_id", "table_id", "path", "markdown")
+    return catalog.withColumn("run", run).join(found, ["run", "project_id", "dataset_id", "table_id"], "left")
+
+
 def write_reports(report_rows: DataFrame, path: str) -> None:
     """Reports under run, project, dataset and table folders, one text file each; tables share the write tasks."""
     keys = ["run", "project_id", "dataset_id", "table_id"]

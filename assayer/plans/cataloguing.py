@@ -9,7 +9,7 @@ from assayer.functions import cost, display, naming
 from assayer.operators import catalog, classify, frequencies, lineage, quality, report, selection
 from assayer.operators.profile import profile_tables
 from assayer.operators.usage import cache_ttl, volatility
-from assayer.plans import data
+from assayer.plans import data, profiling
 from assayer.session import cut_lineage
 from assayer.sources import documents as docs_io
 from assayer.sources.tables import columns_frame, file_facts, table_metadata, union_all
@@ -613,6 +613,146 @@ DOCUMENT_CONTENT_SQL = f"""
 """
 
 
+def document_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The Markdown report of every document asset."""
+    rows = _document_catalog(spark, sf)
+    return report.reports(rows).select("path", "markdown")
+
+
+_SIZE_SQL = """CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN format('{:.2f}', size_bytes / 1024.0) || ' KB'
+      WHEN size_bytes < 1073741824 THEN format('{:.2f}', size_bytes / 1048576.0) || ' MB' ELSE format('{:.2f}', size_bytes / 1073741824.0) || ' GB' END"""
+_MINUTE_SQL = "strftime(last_modified, '%Y-%m-%d %H:%M UTC')"
+
+DOCUMENT_REPORT_SQL = f"""
+    SELECT '20240201T000000/' || project_id || '/' || dataset_id || '/' || table_id || '.md' AS path, concat_ws(chr(10) || chr(10),
+      '# ' || dataset_id || '.' || table_id,
+      concat_ws(' | ', '[' || table_type || ']', CASE WHEN has_pii THEN '[PII]' END, CASE WHEN has_phi THEN '[PHI]' END, '[' || upper(environment) || ']'),
+      '## Executive Summary',
+      concat_ws(' - ', '**' || format('{{:,}}', row_count) || '** rows', '**' || {_SIZE_SQL} || '**', '**' || column_count || '** columns',
+                CASE WHEN monthly_cost_usd > 0 THEN '**$' || format('{{:.2f}}', monthly_cost_usd) || '/month**' END),
+      '**Team**: ' || team || chr(10) || '**Last Modified**: ' || {_MINUTE_SQL},
+      '## Key Metrics',
+      concat_ws(chr(10), '| Metric | Value |', '|--------|-------|', '| Row Count | ' || format('{{:,}}', row_count) || ' |', '| Size | ' || {_SIZE_SQL} || ' |',
+                '| Columns | ' || column_count || ' |', '| Last Modified | ' || {_MINUTE_SQL} || ' |'),
+      '## Description', {_DESCRIPTION_SQL},
+      '## Schema', '*Schema contains ' || column_count || ' columns*', 'Run full discovery to see detailed schema information.',
+      '## Security & Governance',
+      concat_ws(chr(10), '- **Data Classification**: ' || CASE WHEN has_pii OR has_phi THEN concat_ws(', ', CASE WHEN has_pii THEN '**PII** (Personally Identifiable Information)' END,
+                CASE WHEN has_phi THEN '**PHI** (Protected Health Information)' END) ELSE 'No sensitive data detected' END,
+                '- **Team**: ' || team, '- **Environment**: ' || upper(environment)),
+      CASE WHEN monthly_cost_usd > 0 THEN concat_ws(chr(10) || chr(10), '## Cost Analysis', '**Total Monthly Cost**: $' || format('{{:.2f}}', monthly_cost_usd),
+        CASE WHEN storage_cost_usd > 0 OR query_cost_usd > 0 THEN concat_ws(chr(10), '| Component | Cost |', '|-----------|------|',
+          CASE WHEN storage_cost_usd > 0 THEN '| Storage | $' || format('{{:.2f}}', storage_cost_usd) || ' |' END,
+          CASE WHEN query_cost_usd > 0 THEN '| Queries | $' || format('{{:.2f}}', query_cost_usd) || ' |' END,
+          '| **Total** | **$' || format('{{:.2f}}', monthly_cost_usd) || '** |') END,
+        '*Cost per GB*: $' || format('{{:.2f}}', monthly_cost_usd / (size_bytes / 1073741824.0))) END,
+      '## Data Lineage', '### Upstream Sources', '*No upstream sources found*', '### Downstream Dependencies', '*No downstream dependencies found*',
+      '---', '*Report generated at 2024-02-01T00:00:00Z*', '**Full Path**: `' || id || '`',
+      '*This report is generated from cached metadata. For real-time information, query the live system.*') AS markdown
+    FROM ({DOCS})
+"""
+
+
+def report_export_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports made per dataset, with assets without a project failing."""
+    rows = _document_catalog(spark, sf)
+    made = report.reports(rows)
+    return report.export_summary(made.withColumn("markdown", F.when(F.col("markdown").contains("[UNKNOWN]"), None).otherwise(F.col("markdown"))))
+
+
+REPORT_EXPORT_SQL = f"""
+    WITH r AS ({DOCUMENT_REPORT_SQL}), s AS (SELECT split_part(path, '/', 2) AS project_id, split_part(path, '/', 3) AS dataset_id, CASE WHEN contains(markdown, '[UNKNOWN]') THEN NULL ELSE markdown END AS m FROM r)
+    SELECT project_id, dataset_id, count(m) AS exported, count(*) FILTER (WHERE m IS NULL) AS failed, CAST(coalesce(sum(length(m)), 0) AS BIGINT) AS total_chars FROM s GROUP BY ALL
+"""
+
+
+def run_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog rows with the report of their own run: dev assets were only reported in an earlier run."""
+    rows = _document_catalog(spark, sf)
+    earlier = F.when(F.col("environment") == "dev", F.col("run_timestamp") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("run_timestamp"))
+    reports = report.reports(rows.withColumn("run_timestamp", earlier))
+    joined = report.with_reports_of_run(rows, reports)
+    return joined.select("run", "table_id", "project_id", "dataset_id", F.length("markdown").cast("bigint").alias("report_chars"))
+
+
+RUN_REPORTS_SQL = f"""
+    WITH r AS ({DOCUMENT_REPORT_SQL})
+    SELECT '20240201T000000' AS run, table_id, project_id, dataset_id, CASE WHEN environment <> 'dev' THEN length(markdown) END AS report_chars
+    FROM ({DOCS}) d JOIN r ON r.path = '20240201T000000/' || d.project_id || '/' || d.dataset_id || '/' || d.table_id || '.md'
+"""
+
+
+def display_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes, dates, ISO times and stand-in column descriptions as reports show them."""
+    docs = data.document_assets(spark, sf)
+    seconds = (F.lit(1_700_000_000) + F.col("row_count") * 600).cast("string")
+    raw = (
+        F.when(F.col("environment") == "prod", seconds).when(F.col("environment") == "dev", F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ss"))
+        .otherwise(F.lit("unknown"))
+    )
+    mode = F.when(F.col("has_phi"), "REPEATED").when(F.col("has_pii"), "REQUIRED").otherwise("NULLABLE")
+    return docs.select(
+        "id", display.size_text(F.pow(F.col("row_count").cast("double"), F.lit(2.0)).cast("bigint")).alias("size"), display.minute_text(F.col("last_modified")).alias("minute"),
+        display.iso_text(raw).alias("iso"), display.column_description(F.col("table_id"), F.lit("STRING"), mode).alias("description"),
+    )
+
+
+DISPLAY_TEXTS_SQL = f"""
+    SELECT id, {_SIZE_SQL.replace('size_bytes', '(row_count * row_count)')} AS size, {_MINUTE_SQL} AS minute,
+           CASE WHEN environment = 'unknown' THEN 'unknown' ELSE strftime(last_modified, '%Y-%m-%dT%H:%M:%SZ') END AS iso,
+           'Doc ' || substr(table_id, 5) || CASE WHEN has_phi THEN ' - Array of string values' WHEN has_pii THEN ' - Required string field' ELSE ' - String field' END AS description
+    FROM ({DOCS})
+"""
+
+
+def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns inside the catalog rows: bounds and null shares as stored, with their sample values."""
+    rows = catalog_rows(spark, sf)
+    profiles = rows.select("table_id", F.inline("column_profiles")).select("table_id", "column_name", "profile_type", "min_value", "max_value", "null_percentage")
+    fields = rows.select("table_id", F.inline("schema")).select(
+        "table_id", F.col("name").alias("column_name"), "description", F.array_join("sample_values", "|").alias("samples")
+    )
+    return profiles.join(fields, ["table_id", "column_name"]).filter("profile_type != 'other'")
+
+
+def _catalog_column_sql(t: str, c: str) -> str:
+    number = c in profiling.NUMBERS[t]
+    low, high = (f"CAST(min({c}) + 0 AS VARCHAR)", f"CAST(max({c}) + 0 AS VARCHAR)") if number else ("''", "''")
+    kind = "Int" if c in _INTS else "Double" if c in _DOUBLES else "Bigint" if number else "String"
+    title = " ".join(w.capitalize() for w in c.split("_"))
+    return (
+        f"SELECT '{t}' AS table_id, '{c}' AS column_name, '{'numeric' if number else 'string'}' AS profile_type, {low} AS min_value, {high} AS max_value,"
+        f" round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_percentage, '{title} - {kind} field' AS description,"
+        f" (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS samples FROM {t}"
+    )
+
+
+_INTS = {"r_regionkey", "n_nationkey", "n_regionkey", "c_nationkey", "s_nationkey", "p_size", "l_linenumber", "quality", "toxic", "label"}
+_DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+CATALOG_COLUMNS_SQL = " UNION ALL ".join(
+    _catalog_column_sql(t, c) for t, columns in profiling.ALL_COLUMNS.items() for c in columns if c not in ("l_shipdate", "o_orderdate", "ts", "embedding")
+)
+
+
+def column_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns next to their null figures and samples, for documents with their mostly null labels."""
+    labelled = profiling.labelled(spark, sf)
+    samples = frequencies.sample_values(labelled).select(F.lit("labelled").alias("table_id"), "*")
+    rows = catalog.column_details(
+        columns_frame(spark, {"labelled": labelled.schema}), profile_tables({"labelled": labelled}, profiling.NO_DISTINCT), samples
+    )
+    return rows.select("column_name", "null_count", "null_percentage", "min", "max", "max_length", F.array_join("sample_values", "|").alias("samples"))
+
+
+COLUMN_DETAILS_SQL = f"WITH t AS ({profiling.LABELLED_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_percentage,"
+    + (f" CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, max(length({c})) AS max_length," if c in ("lang", "source")
+       else f" CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max, CAST(NULL AS BIGINT) AS max_length,")
+    + f" (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM t WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS samples FROM t"
+    for c in profiling.LABELLED_COLUMNS
+)
+
+
 def content_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Descriptions read back out of content texts, and the opening lines of texts that have none."""
     rows = _document_catalog(spark, sf)
@@ -691,6 +831,12 @@ QUERIES = {
     "asset_content": (asset_content, None),
     "asset_report": (asset_report, None),
     "document_content": (document_content, DOCUMENT_CONTENT_SQL),
+    "document_report": (document_report, DOCUMENT_REPORT_SQL),
+    "report_export_summary": (report_export_summary, REPORT_EXPORT_SQL),
+    "run_reports": (run_reports, RUN_REPORTS_SQL),
+    "display_texts": (display_texts, DISPLAY_TEXTS_SQL),
+    "catalog_columns": (catalog_columns, CATALOG_COLUMNS_SQL),
+    "column_details": (column_details, COLUMN_DETAILS_SQL),
     "content_descriptions": (content_descriptions, CONTENT_DESCRIPTIONS_SQL),
     "export_jsonl": (export_jsonl, None),
     "schema_changes": (schema_changes, SCHEMA_CHANGES_SQL),

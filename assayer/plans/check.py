@@ -54,6 +54,6 @@ def compare(spark: SparkSession, con, sf_dir: str, query, sql: str) -> str | Non
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
     for a, b in zip(got, want):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
+        if [(type(x), repr(x)) for x in a] != [(type(x), repr(x)) for x in b]:
             return f"row {a} against {b}"
     return None

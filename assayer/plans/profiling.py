@@ -82,7 +82,7 @@ def profile_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PROFILE_NUMERIC_SQL = _union_sql([
-    f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,"
+    f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max,"
     f" round(avg({c}), 4) AS avg, round(stddev_samp({c}), 4) AS stddev FROM {t}"
     for t in PROFILED for c in NUMERIC[t]
 ])
@@ -164,14 +164,14 @@ LABELLED_SQL = "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
 LABELLED_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
     docs = data.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return docs.join(data.table(spark, sf, "labels"), "doc_id", "left")
 
 
 def profile_ratios(spark: SparkSession, sf: str) -> DataFrame:
     """Null ratios next to the counts they come from, on columns with real nulls."""
-    rows = ratios(profile_table(_labelled(spark, sf), "labelled", options=ProfileOptions(distribution=False)))
+    rows = ratios(profile_table(labelled(spark, sf), "labelled", options=ProfileOptions(distribution=False)))
     return rows.select("column_name", "total_rows", "null_count", F.round("null_ratio", 6).alias("null_ratio"))
 
 
@@ -182,7 +182,7 @@ PROFILE_RATIOS_SQL = f"WITH t AS ({LABELLED_SQL}) " + _union_sql([
 
 
 def most_null_columns(spark: SparkSession, sf: str) -> DataFrame:
-    profile = profile_table(_labelled(spark, sf), "labelled", options=ProfileOptions(cardinality=False, distribution=False))
+    profile = profile_table(labelled(spark, sf), "labelled", options=ProfileOptions(cardinality=False, distribution=False))
     return most_null(profile, k=10).select("column_name", "null_count", "null_percentage", "rank")
 
 
@@ -202,14 +202,14 @@ def first_numeric_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_id", "column_name", "rank", "min", "max")
 
 
-_NUMBERS = {
+NUMBERS = {
     t: [c for c in columns if c.endswith(("key", "_id", "number", "quantity", "price", "discount", "tax", "acctbal", "size", "chars"))
         or c in ("value", "quality", "toxic", "turn", "label")]
     for t, columns in ALL_COLUMNS.items()
 }
 FIRST_NUMERIC_SQL = _union_sql([
-    f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST({i} AS BIGINT) AS rank, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM {t}"
-    for t, columns in _NUMBERS.items() for i, c in enumerate(columns, 1)
+    f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST({i} AS BIGINT) AS rank, CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max FROM {t}"
+    for t, columns in NUMBERS.items() for i, c in enumerate(columns, 1)
 ])
 
 
@@ -255,7 +255,7 @@ _KEY_SAMPLE = (
     f" < {int(0.1 * 2**32)}"
 )
 PROFILE_KEY_SAMPLE_SQL = _union_sql([
-    f"SELECT '{c}' AS column_name, count(*) AS total_rows, min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS avg {_KEY_SAMPLE}"
+    f"SELECT '{c}' AS column_name, count(*) AS total_rows, min({c}) + 0.0 AS min, max({c}) + 0.0 AS max, round(avg({c}), 4) AS avg {_KEY_SAMPLE}"
     for c in ("l_quantity", "l_extendedprice", "l_tax")
 ])
 
@@ -457,9 +457,9 @@ FINDINGS_PII_SQL = f"""
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
     """Completeness and status per source, on documents whose label columns are often null."""
-    labelled = _labelled(spark, sf)
+    rows = labelled(spark, sf)
     cells = ["lang", "n_chars", "quality", "toxic"]
-    counted = labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cells])
+    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cells])
     long = counted.select("source", F.col("n").alias("total_rows"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count")) for c in cells
     ])))
@@ -491,7 +491,7 @@ def quality_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Column issues of the labelled documents: label columns that are mostly null."""
-    return quality.issues(profile_table(_labelled(spark, sf), "labelled")).select("column_name", "issue")
+    return quality.issues(profile_table(labelled(spark, sf), "labelled")).select("column_name", "issue")
 
 
 QUALITY_ISSUES_SQL = f"WITH t AS ({LABELLED_SQL}) " + _union_sql([

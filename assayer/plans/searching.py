@@ -149,6 +149,19 @@ PAGED_SQL = f"""
 """
 
 
+def paged_ascending(spark: SparkSession, sf: str) -> DataFrame:
+    """A page from the cheap end, by another field and in ascending order."""
+    request = SearchRequest(query="", sort_by="monthly_cost_usd", descending=False, page_size=30, has_pii=False)
+    page = search.search_page(data.document_assets(spark, sf), request, "id", "text")
+    return page.select("rank", "id", "monthly_cost_usd", "has_more")
+
+
+PAGED_ASCENDING_SQL = f"""
+    WITH r AS (SELECT id, monthly_cost_usd, row_number() OVER (ORDER BY monthly_cost_usd, id) AS rank, count(*) OVER () > 30 AS has_more FROM ({DOCS}) WHERE NOT has_pii)
+    SELECT rank, id, monthly_cost_usd, has_more FROM r WHERE rank <= 30
+"""
+
+
 def facets(spark: SparkSession, sf: str) -> DataFrame:
     docs = data.document_assets(spark, sf).filter(search.predicate(SearchRequest(has_phi=False)))
     return search.facets(docs, ["project_id", "dataset_id", "environment", "table_type", "has_pii"])
@@ -404,6 +417,7 @@ QUERIES = {
     "filtered_assets": (filtered_assets, FILTERED_SQL),
     "highlighted_fields": (highlighted_fields, HIGHLIGHTED_SQL),
     "paged_search": (paged_search, PAGED_SQL),
+    "paged_ascending": (paged_ascending, PAGED_ASCENDING_SQL),
     "facets": (facets, FACETS_SQL),
     "order_facets": (order_facets, ORDER_FACETS_SQL),
     "group_topk": (group_topk, GROUP_TOPK_SQL),

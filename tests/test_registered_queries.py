@@ -27,5 +27,5 @@ def test_gives_rows(spark, name):
 
 
 def test_entry(spark):
-    assert registered.entry(spark).count() == 61
+    assert registered.entry(spark).count() == 63
     assert set(registered.oracle_sql()) <= set(registered.queries())
