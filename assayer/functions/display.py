@@ -40,9 +40,23 @@ def parse_timestamp(raw: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(raw))
 
 
+def utc(ts: Column) -> Column:
+    """The instant as UTC wall time, whatever zone the session shows."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
+def minute_text(ts: Column) -> Column:
+    return F.concat(F.date_format(utc(ts), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def second_text(ts: Column) -> Column:
+    """ISO 8601 to the second, in UTC."""
+    return F.date_format(utc(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def iso_text(raw: Column) -> Column:
     """ISO 8601 in UTC with a ``Z``; text that is no timestamp is kept as it is."""
-    ts = parse_timestamp(raw)
+    ts = utc(parse_timestamp(raw))
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(ts, "SSSSSS")
     return (
@@ -53,10 +67,6 @@ def iso_text(raw: Column) -> Column:
     )
 
 
-def minute_text(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
-
-
 def title_case(name: Column) -> Column:
     """Every run of letters starts with a capital, also after a digit; underscores read as blanks."""
     runs = F.regexp_extract_all(F.translate(name, "_", " "), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))

@@ -44,7 +44,7 @@ MAX_CONTENT_CHARS = 100_000
 
 # Ranking boosts as (condition, factor); the last two apply when the query has a trigger word.
 BOOSTS = [
-    ("last_modified >= timestamp'2024-01-01 00:00:00'", 1.5, []),
+    ("last_modified >= timestamp'2024-01-01 00:00:00Z'", 1.5, []),
     ("environment = 'prod'", 1.3, []),
     ("completeness_score >= 0.95", 1.2, []),
     ("monthly_cost_usd > 100", 2.0, ["cost", "expensive"]),

@@ -151,13 +151,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest(catalog: DataFrame, run: str = "run_timestamp", as_of: Column | None = None) -> DataFrame:
-    """The newest run (or the newest at or before ``as_of``), without the run column."""
+    """The newest run (or the newest at or before ``as_of``), without the run column.
+
+    On a stored catalog the newest day folder is found first, so run times are read from that day alone.
+    """
     known = catalog if as_of is None else catalog.filter(F.col(run) <= as_of)
-    newest = known.agg(F.max(run)).scalar()
-    picked = catalog.filter(F.col(run) == newest)
-    if "run_date" in catalog.columns and run == "run_timestamp":
-        picked = picked.filter(F.col("run_date") == known.agg(F.max("run_date")).scalar()).drop("run_date")
-    return picked.drop(run)
+    if "run_date" not in catalog.columns:
+        return catalog.filter(F.col(run) == known.agg(F.max(run)).scalar()).drop(run)
+    if as_of is not None:
+        known = known.filter(F.col("run_date") <= F.to_date(as_of))
+    day = known.agg(F.max("run_date")).scalar()
+    newest = known.filter(F.col("run_date") == day).agg(F.max(run)).scalar()
+    return catalog.filter((F.col("run_date") == day) & (F.col(run) == newest)).drop(run, "run_date")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -168,8 +173,8 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The next snapshot: incoming rows replace or add, other rows stay. ``order`` picks among incoming copies."""
-    replaced = incoming.select(key).distinct()  # a repeated id is one row per task before the join
-    return existing.join(replaced, key, "left_anti").unionByName(latest_per_key(incoming, [key], order))
+    fresh = latest_per_key(incoming, [key], order)  # already placed by key, so the join moves only ``existing``
+    return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
 def upsert_outcome(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

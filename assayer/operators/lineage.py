@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.functions.display import utc
 from assayer.functions.naming import strip_scheme
 from assayer.operators.selection import is_excluded
 from assayer.session import cut_lineage
@@ -37,11 +38,16 @@ def extract_refs(views: DataFrame, default_project: str = "project_id") -> DataF
 
 
 def view_dependencies(views: DataFrame, tables: DataFrame, excluded: list[str] = []) -> DataFrame:
-    """Edges from known tables to the views that read them, matched on whole names with an equi join."""
+    """Edges from known tables to the views that read them, matched on whole names (in any case) with an equi join.
+
+    References are made distinct inside each view, so the edges are distinct without a shuffle of their own.
+    """
     kept = views.filter(~is_excluded(F.col("dataset_id"), excluded)) if excluded else views
-    refs = extract_refs(kept).withColumn("_key", F.lower("table_ref"))
-    known = tables.select(F.col("table_ref").alias("source"), F.lower("table_ref").alias("_key"))
-    return refs.join(known, "_key").select("source", F.col("view_ref").alias("target"), F.lit("view").alias("edge_type")).distinct()
+    names = F.array_distinct(F.transform(table_refs(F.col("view_query"), F.col("project_id")), F.lower))
+    refs = kept.select("view_ref", F.explode(names).alias("_key"))
+    known = tables.select(F.col("table_ref").alias("source"), F.lower("table_ref").alias("_key")).distinct()
+    found = refs.join(known, "_key").filter(F.col("source") != F.col("view_ref"))
+    return found.select("source", F.col("view_ref").alias("target"), F.lit("view").alias("edge_type"))
 
 
 def view_dependencies_by_substring(views: DataFrame, tables: DataFrame) -> DataFrame:
@@ -92,8 +98,8 @@ def links_of(edges: DataFrame, asset: str) -> DataFrame:
 def reach(edges: DataFrame, roots: list[str], direction: str = "downstream", max_depth: int = 3) -> DataFrame:
     """Every node reachable from the roots with its smallest depth, without the roots.
 
-    Breadth first: each round joins the last frontier to the edges, drops known nodes and is
-    written to the checkpoint folder. Cycles end by themselves; a round with no new node ends the walk.
+    Breadth first: each round joins the last frontier to the edges, drops known nodes and is written as a
+    table in the checkpoint folder. Cycles end by themselves; a round with no new node ends the walk.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
@@ -159,7 +165,7 @@ def coverage(tables: DataFrame, edges: DataFrame) -> DataFrame:
 def job_events(links: DataFrame, process: str, task: str, start: Column, end: Column, succeeded: bool) -> DataFrame:
     """One lineage event per distinct source and target of a job run, ready to append."""
     state = "COMPLETED" if succeeded else "FAILED"
-    run_id = F.concat_ws("/", F.lit(process), F.lit(task), F.date_format(start, "yyyyMMdd'T'HHmmss"))
+    run_id = F.concat_ws("/", F.lit(process), F.lit(task), F.date_format(utc(start), "yyyyMMdd'T'HHmmss"))
     return links.select("source", "target").distinct().select(
         F.lit(process).alias("process"), run_id.alias("run_id"), F.lit(state).alias("state"),
         start.alias("start_time"), end.alias("end_time"), "source", "target",

@@ -101,7 +101,7 @@ def content_text(catalog: DataFrame) -> Column:
         _t("- **Rows**: ", d.thousands(_positive(F.col("row_count")))),
         _t("- **Size**: ", d.fixed(_positive(F.col("size_bytes")) / d.GB), " GB"),
         _t("- **Columns**: ", _positive(F.col("column_count"))),
-        _t("- **Last Modified**: ", F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _t("- **Last Modified**: ", d.second_text(F.col("last_modified"))),
     )
     described = F.when(F.length("description") > 0, _lines("", "## Description", F.col("description")))
 
@@ -297,7 +297,7 @@ def markdown(catalog: DataFrame) -> Column:
         _t("**Avg Query Time**: ", d.fixed(_positive(c("avg_query_time_seconds", "double"))), "s"),
     ))
     footer = _lines(
-        "---", "", _t("*Report generated at ", F.date_format("run_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "*"), "",
+        "---", "", _t("*Report generated at ", d.second_text(F.col("run_timestamp")), "*"), "",
         _t("**Full Path**: `", F.col("project_id"), ".", F.col("dataset_id"), ".", F.col("table_id"), "`"), "",
         "*This report is generated from cached metadata. For real-time information, query the live system.*",
     )
@@ -308,9 +308,13 @@ def markdown(catalog: DataFrame) -> Column:
 # --- output -----------------------------------------------------------------------------------
 
 
+def _run_id() -> Column:
+    return F.date_format(d.utc(F.col("run_timestamp")), "yyyyMMdd'T'HHmmss")
+
+
 def reports(catalog: DataFrame) -> DataFrame:
     """``run, project_id, dataset_id, table_id, path, markdown`` for every catalog row."""
-    run = F.date_format("run_timestamp", "yyyyMMdd'T'HHmmss")
+    run = _run_id()
     path = F.concat_ws("/", run, "project_id", "dataset_id", F.concat("table_id", F.lit(".md")))
     return catalog.select(run.alias("run"), "project_id", "dataset_id", "table_id", path.alias("path"), markdown(catalog).alias("markdown"))
 
@@ -325,7 +329,7 @@ def export_summary(report_rows: DataFrame) -> DataFrame:
 
 def with_reports_of_run(catalog: DataFrame, report_rows: DataFrame) -> DataFrame:
     """Catalog rows next to the report of the same asset and the same run; null where that run wrote none."""
-    run = F.date_format("run_timestamp", "yyyyMMdd'T'HHmmss")
+    run = _run_id()
     found = report_rows.select("run", "project_id", "dataset_id", "table_id", "path", "markdown")
     return catalog.withColumn("run", run).join(found, ["run", "project_id", "dataset_id", "table_id"], "left")
 
@@ -339,7 +343,7 @@ def write_reports(report_rows: DataFrame, path: str) -> None:
 def documents(catalog: DataFrame) -> DataFrame:
     """Catalog rows as documents: id, structured part and content text."""
     c = lambda name, kind="string": _col(catalog, name, kind)
-    iso = lambda name: F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    iso = lambda name: d.second_text(F.col(name))
     structured = F.struct(
         "project_id", "dataset_id", "table_id", c("data_source").alias("data_source"), F.col("table_type").alias("asset_type"),
         "description", "has_pii", "has_phi", c("encryption_type").alias("encryption_type"),

@@ -414,7 +414,7 @@ REFERENCE_EDGES_SQL = """
 
 
 def _stored_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The edge table, written once: every round of a walk reads it again."""
+    """The edge table, written once as a catalog would keep it: every round of a walk reads it again."""
     return cut_lineage(data.record_edges(spark, sf))
 
 
@@ -524,7 +524,7 @@ def _table_edges(spark: SparkSession) -> DataFrame:
 def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Catalog rows of the estate, and the same rows with what reports show besides.
 
-    Profile and samples are written once: several parts of a row read them, and no table is scanned twice for it.
+    Profile, samples and facts are written once: several parts of a row read them, and no table is scanned twice for it.
     """
     assets = {a.id: a for a in data.assets(sf)}
     tables = {i: a.read(spark) for i, a in assets.items()}
@@ -536,7 +536,7 @@ def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
     flags = classify.flag_tables(columns).withColumnRenamed("table_id", "table_ref")
     scores = quality.completeness(profile).select(F.col("table_id").alias("table_ref"), "completeness_score")
     kind = volatility(F.col("table_type"), F.lit(False), F.lit(None).cast("double"))
-    flat = (
+    flat = cut_lineage(
         facts.withColumn("table_ref", naming.asset_id(F.col("project_id"), F.col("dataset_id"), F.col("table_id")))
         .join(files, "table_ref").join(flags, "table_ref").join(scores, "table_ref")
         .withColumns({
@@ -783,8 +783,7 @@ def schema_changes(spark: SparkSession, sf: str) -> DataFrame:
 
     def run(df: DataFrame) -> DataFrame:
         fields = catalog.schema_arrays(columns_frame(spark, {"sales": df.schema}), frequencies.sample_values(df, [df.columns[0]]).select(F.lit("sales").alias("table_id"), "*"))
-        counted = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_id", F.lit("sales"))
-        return counted.join(fields, "table_id").select(F.lit("lake").alias("project_id"), F.lit("sales").alias("dataset_id"), "table_id", "schema")
+        return fields.select(F.lit("lake").alias("project_id"), F.lit("sales").alias("dataset_id"), "table_id", "schema")
 
     return catalog.schema_diff(run(orders), run(wide)).select("name", "change", "changed_columns")
 

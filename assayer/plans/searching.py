@@ -8,8 +8,6 @@ from assayer.functions import display
 from assayer.operators import catalog, report, requests, search
 from assayer.operators.search import B, K1, SearchRequest
 from assayer.plans import data
-from assayer.plans.profiling import NO_DISTINCT
-from assayer.operators.profile import profile_table
 from assayer.operators.quality import completeness
 from assayer.operators.usage import usage
 
@@ -290,27 +288,32 @@ QUERY_READY_SQL = f"""
 
 
 def inspect_asset(spark: SparkSession, sf: str) -> DataFrame:
-    """One asset in one row: rows, completeness, neighbours in the record graph, and usage of the estate's log."""
-    orders, log = data.table(spark, sf, "orders"), data.table(spark, sf, "events")
-    ref = F.lit("nation:3").alias("table_ref")
-    assets = orders.agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_totalprice").alias("total")).select(ref, "row_count", F.round("total", 2).alias("total"))
-    statistics = completeness(profile_table(orders, "nation:3", options=NO_DISTINCT)).select(F.col("table_id").alias("table_ref"), "completeness_score", "total_columns")
-    use = usage(log, "event_type", "ts", "user_id", "value").filter("event_type = 'view'").select(ref, "query_count", "active_users")
-    row = catalog.inspect(assets, "nation:3", statistics=statistics, edges=data.record_edges(spark, sf), usage=use)
+    """One nation as an asset, in one row: its customers, completeness of its suppliers, neighbours and usage."""
+    def named(key: str):
+        return F.concat(F.lit("nation:"), F.col(key).cast("string")).alias("table_ref")
+
+    customers, suppliers = data.table(spark, sf, "customer"), data.table(spark, sf, "supplier")
+    assets = customers.groupBy(named("c_nationkey")).agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    cells = suppliers.groupBy(named("s_nationkey")).agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("s_acctbal") < 0).alias("null_count"))
+    statistics = completeness(cells, by=["table_ref"]).select("table_ref", F.round("completeness_score", 4).alias("completeness_score"))
+    log = data.table(spark, sf, "events").withColumn("table_ref", named("user_id"))
+    row = catalog.inspect(
+        assets, "nation:3", statistics=statistics, edges=data.record_edges(spark, sf), usage=usage(log, "table_ref", "ts", "event_type", "value")
+    )
     return row.select(
-        "table_ref", "row_count", "total", "completeness_score", "total_columns", "query_count", "active_users",
+        "table_ref", "row_count", "total", "completeness_score", "query_count", "active_users",
         "upstream_total", "downstream_total", F.array_join("upstream", ",").alias("upstream"),
     )
 
 
 INSPECT_SQL = f"""
-    WITH e AS ({data.RECORD_EDGES_SQL})
-    SELECT 'nation:3' AS table_ref, (SELECT count(*) FROM orders) AS row_count, (SELECT round(sum(o_totalprice), 2) FROM orders) AS total,
-           CAST(1.0 AS DOUBLE) AS completeness_score, CAST(6 AS BIGINT) AS total_columns,
-           (SELECT count(*) FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) AS query_count,
-           (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) AS active_users,
+    WITH e AS ({data.RECORD_EDGES_SQL}), u AS (SELECT * FROM events WHERE user_id = 3 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY)
+    SELECT 'nation:3' AS table_ref, count(*) AS row_count, round(sum(c_acctbal), 2) AS total,
+           (SELECT round(1.0 - count(*) FILTER (WHERE s_acctbal < 0) / CAST(count(*) AS DOUBLE), 4) FROM supplier WHERE s_nationkey = 3) AS completeness_score,
+           (SELECT count(*) FROM u) AS query_count, (SELECT count(DISTINCT event_type) FROM u) AS active_users,
            (SELECT count(*) FROM e WHERE target = 'nation:3') AS upstream_total, (SELECT count(*) FROM e WHERE source = 'nation:3') AS downstream_total,
            (SELECT string_agg(source, ',' ORDER BY source) FROM e WHERE target = 'nation:3') AS upstream
+    FROM customer WHERE c_nationkey = 3
 """
 
 
