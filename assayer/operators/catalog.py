@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from assayer import schemas
 from assayer.functions.display import column_description, number_text
 from assayer.functions.naming import document_key
+from assayer.operators.ranking import top_ranked
 
 # Names kept inline per table and direction; the edge table holds every edge, and counts stay exact.
 INLINE_EDGES = 1000
@@ -57,14 +58,21 @@ def lineage_arrays(edges: DataFrame, limit: int = INLINE_EDGES) -> DataFrame:
     gathers in one place; its complete neighbourhood is the edge table itself.
     """
     def one_way(own: str, other: str, label: str) -> DataFrame:
-        ranked = edges.select(F.col(own).alias("table_ref"), F.col(other).alias("name")).withColumn(
-            "rank", F.row_number().over(Window.partitionBy("table_ref").orderBy("name"))
-        ).filter(F.col("rank") <= limit)
-        names = ranked.groupBy("table_ref").agg(F.sort_array(F.collect_list("name")).alias(label))
-        totals = edges.groupBy(F.col(own).alias("table_ref")).agg(F.count(F.lit(1)).alias(f"{label}_total"))
-        return names.join(totals, "table_ref")
-
-    return one_way("target", "source", "upstream").join(one_way("source", "target", "downstream"), "table_ref", "full_outer")
+        named = edges.select(F.col(own).alias("table_ref"), F.col(other).alias("name"))
+        ranked = top_ranked(named, Window.partitionBy("table_ref").orderBy("name"), limit)
+        return ranked.groupBy("table_ref").agg(F.sort_array(F.collect_list("name")).alias(label))
+
+    both = one_way("target", "source", "upstream").join(one_way("source", "target", "downstream"), "table_ref", "full_outer")
+    return both.join(lineage_totals(edges), "table_ref")
+
+
+def lineage_totals(edges: DataFrame) -> DataFrame:
+    """Exact number of sources and consumers per table; null where there is none."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("target").alias("table_ref"), F.lit(1).alias("up"), F.lit(None).cast("int").alias("down")),
+        F.struct(F.col("source").alias("table_ref"), F.lit(None).cast("int").alias("up"), F.lit(1).alias("down")),
+    )))
+    return ends.groupBy("table_ref").agg(F.sum("up").alias("upstream_total"), F.sum("down").alias("downstream_total"))
 
 
 def column_details(columns: DataFrame, profile: DataFrame, samples: DataFrame) -> DataFrame:

@@ -86,6 +86,11 @@ def _consumers() -> Column:
     return F.transform(F.filter("lineage", lambda e: e["source"] == own), lambda e: e["target"])
 
 
+def _beyond(names: Column, total: Column) -> Column:
+    """A line for names that only the edge table holds."""
+    return F.when(total > F.size(names), _t("- ... and ", total - F.size(names), " more in the edge table"))
+
+
 # --- content text -----------------------------------------------------------------------------
 
 
@@ -134,8 +139,10 @@ def content_text(catalog: DataFrame) -> Column:
     lineage = _lines(
         "", "## Lineage", "", "**Upstream Sources:**",
         F.coalesce(_each(_sources(), lambda n: _t("- ", n)), F.lit("- *No upstream sources found*")),
+        _beyond(_sources(), c("upstream_total", "bigint")),
         "", "**Downstream Consumers:**",
         F.coalesce(_each(_consumers(), lambda n: _t("- ", n)), F.lit("- *No downstream dependencies found*")),
+        _beyond(_consumers(), c("downstream_total", "bigint")),
     )
     governance = _lines(
         "", "## Governance",
@@ -173,9 +180,10 @@ def _row(*cells: Column | str) -> Column:
     return _t(*parts, " |")
 
 
-def _first_ten(names: Column, none: str) -> Column:
-    """Ten names and how many more there are."""
-    more = F.when(F.size(names) > 10, _t("- *... and ", F.size(names) - 10, " more*"))
+def _first_ten(names: Column, none: str, total: Column) -> Column:
+    """Ten names and how many more there are; ``total`` counts names beyond those kept inline, if it is known."""
+    known = F.coalesce(total, F.size(names))
+    more = F.when(known > 10, _t("- *... and ", known - 10, " more*"))
     shown = F.when(F.size(names) > 0, _lines(_each(F.slice(names, 1, 10), lambda n: _t("- `", n, "`")), more))
     return F.coalesce(shown, F.lit(none))
 
@@ -287,8 +295,8 @@ def markdown(catalog: DataFrame) -> Column:
         F.when(others.isNotNull(), _lines("### Other Columns (Timestamp, etc.)", "", _table(["Column", "Distinct", "Null %"], others), "")),
     ))
     lineage = _lines(
-        "## Data Lineage", "", "### Upstream Sources", "", _first_ten(_sources(), "*No upstream sources found*"), "",
-        "### Downstream Dependencies", "", _first_ten(_consumers(), "*No downstream dependencies found*"),
+        "## Data Lineage", "", "### Upstream Sources", "", _first_ten(_sources(), "*No upstream sources found*", c("upstream_total", "bigint")), "",
+        "### Downstream Dependencies", "", _first_ten(_consumers(), "*No downstream dependencies found*", c("downstream_total", "bigint")),
     )
     queries = c("query_count_30d", "bigint")
     usage = F.when(queries.isNotNull(), _lines(

@@ -10,7 +10,7 @@ from assayer.operators import catalog, classify, frequencies, lineage, quality,
 from assayer.operators.profile import profile_tables
 from assayer.operators.usage import cache_ttl, volatility
 from assayer.plans import data, profiling
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, scratch_path
 from assayer.sources import documents as docs_io
 from assayer.sources.tables import columns_frame, file_facts, table_metadata, union_all
 
@@ -549,7 +549,7 @@ def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
         "table_ref", "completeness_score", "volatility", "cache_ttl",
         cost.storage_cost(F.col("size_bytes")).alias("storage_cost_usd"), cost.query_cost(F.col("size_bytes")).alias("query_cost_usd"),
         cost.total_cost(F.col("size_bytes")).alias("monthly_cost_usd"),
-    )
+    ).join(catalog.lineage_totals(_table_edges(spark)), "table_ref", "left")
     return rows, catalog.report_input(rows, extras, profile)
 
 
@@ -776,6 +776,36 @@ def export_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return docs_io.to_jsonl(report.documents(_document_catalog(spark, sf)))
 
 
+def stored_catalog_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs appended to a stored catalog, the second over production assets only; its latest run read back."""
+    path = scratch_path(spark, "catalog")
+    flat = ("team", "storage_cost_usd", "query_cost_usd", "monthly_cost_usd")
+    rows = _document_catalog(spark, sf).drop(*flat)
+    catalog.append(rows, path)
+    catalog.append(rows.filter("environment = 'prod'").withColumn("run_timestamp", F.col("run_timestamp") + F.expr("INTERVAL 1 DAY")), path)
+    return catalog.latest(catalog.read(spark, path)).select("project_id", "dataset_id", "table_id", "row_count", "size_bytes", "has_pii", "environment")
+
+
+STORED_CATALOG_SQL = f"SELECT project_id, dataset_id, table_id, row_count, size_bytes, has_pii, environment FROM ({DOCS}) WHERE environment = 'prod'"
+
+
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Document assets written as JSON lines and read back with the fixed schema."""
+    path = scratch_path(spark, "documents")
+    docs_io.write_jsonl(report.documents(_document_catalog(spark, sf)), path)
+    return docs_io.read_jsonl(spark, path).select(
+        "id", "state", F.col("structData.dataset_id").alias("dataset_id"), F.col("structData.asset_type").alias("asset_type"),
+        F.col("structData.row_count").alias("row_count"), F.col("structData.has_pii").alias("has_pii"),
+        F.col("structData.last_modified_timestamp").alias("last_modified"), F.col("structData.team").alias("team"), F.md5("content.text").alias("text_md5"),
+    )
+
+
+STORED_DOCUMENTS_SQL = f"""
+    SELECT d.id, 'ok' AS state, d.dataset_id, d.table_type AS asset_type, d.row_count, d.has_pii, strftime(d.last_modified, '%Y-%m-%dT%H:%M:%SZ') AS last_modified,
+           d.team, md5(c.content) AS text_md5 FROM ({DOCS}) d JOIN ({DOCUMENT_CONTENT_SQL}) c USING (project_id, dataset_id, table_id)
+"""
+
+
 def schema_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Fields added, removed or changed between a run over orders and one over line items joined with them."""
     orders, lines = data.table(spark, sf, "orders"), data.table(spark, sf, "lineitem")
@@ -838,5 +868,7 @@ QUERIES = {
     "column_details": (column_details, COLUMN_DETAILS_SQL),
     "content_descriptions": (content_descriptions, CONTENT_DESCRIPTIONS_SQL),
     "export_jsonl": (export_jsonl, None),
+    "stored_catalog_latest": (stored_catalog_latest, STORED_CATALOG_SQL),
+    "stored_documents": (stored_documents, STORED_DOCUMENTS_SQL),
     "schema_changes": (schema_changes, SCHEMA_CHANGES_SQL),
 }

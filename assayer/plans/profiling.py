@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.fixed import INFO_TYPES, PHI_KEYWORDS, PII_KEYWORDS, REPORT_SENSITIVE_KEYWORDS
 from assayer.operators import classify, frequencies, quality, usage
-from assayer.operators.profile import ProfileOptions, first_of_kind, most_null, profile_table, profile_tables, ratios
+from assayer.operators.profile import (
+    ProfileOptions, first_of_kind, most_null, profile_table, profile_tables, ratios, store_profile, stored_profile,
+)
 from assayer.plans import data
+from assayer.session import scratch_path
 from assayer.sources import documents as docs_io
 from assayer.sources.tables import columns_frame, file_facts, sample_rows, sampled, sampled_by_key, table_metadata, union_all
 
@@ -260,6 +263,21 @@ PROFILE_KEY_SAMPLE_SQL = _union_sql([
 ])
 
 
+def profile_reused(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables, one of them with a stored profile: only the other is scanned for the result."""
+    path = scratch_path(spark, "profiles")
+    store_profile(profile_table(data.table(spark, sf, "orders"), "orders", options=NO_DISTINCT), path, "profile-sales-orders")
+    named = {t: data.table(spark, sf, t) for t in ("orders", "customer")}
+    rows = profile_tables(named, NO_DISTINCT, stored=stored_profile(spark, path, "profile-sales-orders"))
+    return rows.filter("profile_type = 'numeric'").select("table_id", "column_name", "total_rows", "min", "max")
+
+
+PROFILE_REUSED_SQL = _union_sql([
+    f"SELECT '{t}' AS table_id, '{c}' AS column_name, count(*) AS total_rows, CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max FROM {t}"
+    for t in ("orders", "customer") for c in NUMERIC[t]
+])
+
+
 def inspect_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
     return sample_rows(data.table(spark, sf, "orders"), ["o_orderkey"], 100).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
@@ -664,6 +682,7 @@ QUERIES = {
     "profile_filtered": (profile_filtered, PROFILE_FILTERED_SQL),
     "profile_sampled": (profile_sampled, None),
     "profile_key_sample": (profile_key_sample, PROFILE_KEY_SAMPLE_SQL),
+    "profile_reused": (profile_reused, PROFILE_REUSED_SQL),
     "most_null_columns": (most_null_columns, MOST_NULL_SQL),
     "first_numeric_columns": (first_numeric_columns, FIRST_NUMERIC_SQL),
     "sample_rows": (inspect_sample_rows, SAMPLE_ROWS_SQL),

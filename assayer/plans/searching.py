@@ -311,7 +311,7 @@ INSPECT_SQL = f"""
     SELECT 'nation:3' AS table_ref, count(*) AS row_count, round(sum(c_acctbal), 2) AS total,
            (SELECT round(1.0 - count(*) FILTER (WHERE s_acctbal < 0) / CAST(count(*) AS DOUBLE), 4) FROM supplier WHERE s_nationkey = 3) AS completeness_score,
            (SELECT count(*) FROM u) AS query_count, (SELECT count(DISTINCT event_type) FROM u) AS active_users,
-           (SELECT count(*) FROM e WHERE target = 'nation:3') AS upstream_total, (SELECT count(*) FROM e WHERE source = 'nation:3') AS downstream_total,
+           (SELECT nullif(count(*), 0) FROM e WHERE target = 'nation:3') AS upstream_total, (SELECT nullif(count(*), 0) FROM e WHERE source = 'nation:3') AS downstream_total,
            (SELECT string_agg(source, ',' ORDER BY source) FROM e WHERE target = 'nation:3') AS upstream
     FROM customer WHERE c_nationkey = 3
 """

@@ -101,7 +101,7 @@ def test_versions_on_disk(spark, tmp_path):
 def test_lineage_arrays_keep_totals_beyond_the_limit(spark):
     e = spark.range(50).selectExpr("concat('s', lpad(id, 2, '0')) AS source", "'hub' AS target", "'x' AS edge_type")
     got = catalog.lineage_arrays(e, limit=3).filter("table_ref = 'hub'").first()
-    assert got.upstream == ["s00", "s01", "s02"] and got.upstream_total == 50 and got.downstream is None
+    assert got.upstream == ["s00", "s01", "s02"] and got.upstream_total == 50 and got.downstream is None and got.downstream_total is None
 
 
 def test_health_checks(spark):

@@ -103,6 +103,13 @@ def test_full_report(spark):
     assert "p.d.x10" not in text
 
 
+def test_totals_beyond_the_inline_names(spark):
+    df = with_extras(spark.createDataFrame([full_row(spark)], schemas.CATALOG)).selectExpr("*", "1L AS upstream_total", "5012L AS downstream_total")
+    assert "- *... and 5,002 more*" not in df.select(report.markdown(df)).first()[0]
+    assert "- *... and 5002 more*" in df.select(report.markdown(df)).first()[0]
+    assert "- ... and 5000 more in the edge table" in df.select(report.content_text(df)).first()[0]
+
+
 def test_bare_report(spark):
     df = spark.createDataFrame([catalog_row(spark, T0)], schemas.CATALOG)
     text = df.select(report.markdown(df)).first()[0]
