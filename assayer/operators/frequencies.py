@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from assayer.functions import sqltext as q
-from assayer.operators.profile import percentage, unsigned_zero
+from assayer.operators.profile import unsigned_zero
 from assayer.operators.ranking import top_ranked
 from assayer.sources.tables import Field, profilable
 
@@ -65,7 +65,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
     totals = counted.groupBy("column_name").agg(F.sum("n").alias("total_rows"))
     ranked = _top(counted.filter("value IS NOT NULL"), k, F.desc("n"), "value")
     return ranked.join(totals, "column_name").select(
-        "column_name", "rank", "value", F.col("n").alias("value_count"), percentage(F.col("n"), F.col("total_rows")).alias("percentage")
+        "column_name", "rank", "value", F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
     )
 
 
@@ -80,7 +80,7 @@ def top_values_sketch(df: DataFrame, columns: list[str] | None = None, k: int =
     each = df.selectExpr("count(1) AS total_rows", *sketches).selectExpr("total_rows", rows)
     return each.selectExpr("column_name", "total_rows", "posexplode(top) AS (pos, entry)").filter("entry.item IS NOT NULL").selectExpr(
         "column_name", "CAST(pos + 1 AS BIGINT) AS rank", "entry.item AS value", "entry.count AS value_count",
-        "round(try_divide(entry.count * 100.0D, total_rows), 2) AS percentage",
+        "try_divide(entry.count * 100.0D, total_rows) AS percentage",
     )
 
 

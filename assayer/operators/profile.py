@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayer import schemas
 from assayer.functions import sqltext as q
@@ -123,11 +123,6 @@ def _profile_group(df: DataFrame, table_id: str, group: list[Field], opts: Profi
     )
 
 
-def percentage(part: Column, whole: Column) -> Column:
-    """Percent with two decimals; null for an empty table."""
-    return F.round(F.try_divide(part * F.lit(100.0), whole), 2)
-
-
 def profile_tables(
     tables: dict[str, DataFrame], options: ProfileOptions = ProfileOptions(), stored: DataFrame | None = None
 ) -> DataFrame:

@@ -105,7 +105,7 @@ PROFILE_STRING_SQL = _union_sql([
 
 
 def profile_quartiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Quartiles from a mergeable sketch; at this accuracy they are exact up to a million rows."""
+    """Quartiles from a mergeable sketch; at this accuracy they are exact below half a million rows."""
     names = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "orders": ["o_totalprice"]}
     options = ProfileOptions(nulls=False, cardinality=False, quantile_accuracy=1_000_000)
     parts = [profile_table(data.table(spark, sf, t), t, columns, options) for t, columns in names.items()]
@@ -330,7 +330,7 @@ def _per_table(spark: SparkSession, sf: str, wanted: dict[str, list[str]], opera
 
 
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
-    return _per_table(spark, sf, VALUE_COLUMNS, frequencies.top_values)
+    return _per_table(spark, sf, VALUE_COLUMNS, frequencies.top_values).withColumn("percentage", F.round("percentage", 4))
 
 
 TOP_VALUES_SQL = f"""
@@ -338,7 +338,7 @@ TOP_VALUES_SQL = f"""
          t AS (SELECT table_id, column_name, count(*) AS total_rows FROM v GROUP BY ALL),
          c AS (SELECT table_id, column_name, value, count(*) AS value_count FROM v WHERE value IS NOT NULL GROUP BY ALL),
          r AS (SELECT *, row_number() OVER (PARTITION BY table_id, column_name ORDER BY value_count DESC, value) AS rank FROM c)
-    SELECT table_id, column_name, rank, value, value_count, round(100.0 * value_count / total_rows, 2) AS percentage
+    SELECT table_id, column_name, rank, value, value_count, round(100.0 * value_count / total_rows, 4) AS percentage
     FROM r JOIN t USING (table_id, column_name) WHERE rank <= 10
 """
 
