@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, token_files
+from assayer.llm import bpe, quality, token_files, toxicity
+from assayer.llm.common import held_out
 from assayer.session import scratch_path
 
 
@@ -23,6 +24,18 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "n_toxic")
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "tokens")
     parts = token_files.write(table(spark, folder, "documents"), target, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -31,4 +44,9 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def registry() -> dict:
     """Query and SQL (None where SQL cannot express it; those are tested against brute force)."""
-    return {"op2_bpe": (op2_bpe, None), "op6_token_files": (op6_token_files, None)}
+    return {
+        "op2_bpe": (op2_bpe, None),
+        "op3_toxicity": (op3_toxicity, None),
+        "op6_token_files": (op6_token_files, None),
+        "op10_quality": (op10_quality, None),
+    }
