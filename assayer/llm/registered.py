@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, quality, token_files, toxicity
+from assayer.llm import bpe, packing, quality, token_files, toxicity
 from assayer.llm.common import held_out
 from assayer.session import scratch_path
 
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def registry() -> dict:
     """Query and SQL (None where SQL cannot express it; those are tested against brute force)."""
     return {
+        "op1_packing": (op1_packing, None),
         "op2_bpe": (op2_bpe, None),
         "op3_toxicity": (op3_toxicity, None),
         "op6_token_files": (op6_token_files, None),
