@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, packing, quality, token_files, toxicity
+from assayer.llm import bpe, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from assayer.llm.common import held_out
 from assayer.session import scratch_path
 
@@ -40,6 +40,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_tree.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_array.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "tokens")
     parts = token_files.write(table(spark, folder, "documents"), target, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -52,6 +62,8 @@ def registry() -> dict:
         "op1_packing": (op1_packing, None),
         "op2_bpe": (op2_bpe, None),
         "op3_toxicity": (op3_toxicity, None),
+        "op4_substrings": (op4_substrings, None),
+        "op9_suffix_array": (op9_suffix_array, None),
         "op6_token_files": (op6_token_files, None),
         "op10_quality": (op10_quality, None),
     }
