@@ -39,12 +39,12 @@ CHUNK = 1_000_000
 NO_ID = 2**63 - 1
 
 
-def _squeezed(raw: bytes) -> bytes:
+def squeezed(raw: bytes) -> bytes:
     """Compressed, after its size."""
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _opened(blob: bytes) -> bytes:
+def opened(blob: bytes) -> bytes:
     return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
@@ -138,7 +138,7 @@ def _short(anchor: np.ndarray) -> np.ndarray:
 
 def _packed(arrays: list[np.ndarray]) -> bytes:
     """Arrays of known types behind one another, compressed."""
-    return _squeezed(b"".join(x.tobytes() for x in arrays))
+    return squeezed(b"".join(x.tobytes() for x in arrays))
 
 
 def blocked(df: DataFrame, id_col: str, text_col: str, blocks: int, carry: list[str]) -> DataFrame:
@@ -154,7 +154,7 @@ def blocked(df: DataFrame, id_col: str, text_col: str, blocks: int, carry: list[
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_squeezed(x) for x in batch.column(last).to_pylist()]
+            texts = [squeezed(x) for x in batch.column(last).to_pylist()]
             yield batch.set_column(last, "text", pa.array(texts, pa.binary()))
 
     return rows.mapInArrow(squeeze, rows.schema)
@@ -169,7 +169,7 @@ def _texts(table: pa.Table, most: int = CHUNK) -> Iterator[tuple[int, int, np.nd
     """Row ranges of a block with their texts' bytes and offsets."""
     rows, size, first = [], 0, 0
     for i, blob in enumerate(table.column("text").to_pylist()):
-        rows.append(_opened(blob))
+        rows.append(opened(blob))
         size += len(rows[-1])
         if size >= most or i == table.num_rows - 1:
             yield first, i + 1, np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
@@ -327,7 +327,7 @@ def _marks(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def _unmarked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(_opened(blob), "<u4").astype(np.int64).reshape(3, -1)
+    x = np.frombuffer(opened(blob), "<u4").astype(np.int64).reshape(3, -1)
     return x[0], x[1], x[2]
 
 
@@ -343,7 +343,7 @@ def _compared(group: pa.Table, kind: Kind) -> pa.Table:
     for block, blob in zip(group.column("block").to_pylist(), group.column("segments").to_pylist(), strict=True):
         if blob is None:
             continue
-        n, raw, at = int.from_bytes(blob[:8], "little"), _opened(blob[8:]), 0
+        n, raw, at = int.from_bytes(blob[:8], "little"), opened(blob[8:]), 0
         for name, kind_ in _FIELDS:
             fields[name].append(np.frombuffer(raw, kind_, n, at))
             at += n * np.dtype(kind_).itemsize
