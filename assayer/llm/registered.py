@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, fingerprints, packing, quality, suffix_array, suffix_tree, token_files, toxicity
+from assayer.llm import bpe, fingerprints, jaccard, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from assayer.llm.common import held_out
 from assayer.session import scratch_path
 
@@ -45,6 +45,10 @@ def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_next(table(spark, folder, "documents"))
 
@@ -67,6 +71,7 @@ def registry() -> dict:
         "op2_bpe": (op2_bpe, None),
         "op3_toxicity": (op3_toxicity, None),
         "op4_substrings": (op4_substrings, None),
+        "op7_jaccard": (op7_jaccard, None),
         "op8_fingerprints": (op8_fingerprints, None),
         "op9_suffix_array": (op9_suffix_array, None),
         "op6_token_files": (op6_token_files, None),

@@ -32,7 +32,7 @@ from assayer.llm.words import Hashes, words
 #: UTF-8 bytes of text in a block of documents.
 BLOCK_BYTES = 16_000_000
 #: Documents of an anchor beyond which its windows are dealt by their own hashes.
-HOT = 256
+HOT = 250
 #: Text that is turned into arrays at once.
 CHUNK = 1_000_000
 #: Stands for a null id: larger than any other.
@@ -176,28 +176,47 @@ def _texts(table: pa.Table, most: int = CHUNK) -> Iterator[tuple[int, int, np.nd
             rows, size, first = [], 0, i + 1
 
 
-def shared_anchors(df: DataFrame, id_col: str, text_col: str, kind: Kind, blocks: int, buckets: int) -> DataFrame:
-    """Rows (block, anchors): the anchors of the block that at least two documents have; hot ones are flagged."""
+def distinct_keys(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once in a document, by document and key."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return key[once], doc[once]
+
+
+def anchors_of(kind: Kind) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to their anchors and documents."""
+
+    def keys(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = kind.tokens(data, starts)
+        anchor, _, _, doc = anchored_runs(found, Hashes(found.symbols), kind.window, kind.gram)
+        return anchor, doc
+
+    return keys
+
+
+def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, blocks: int, buckets: int) -> DataFrame:
+    """Rows (block, anchors): the keys (their upper 48 bits) of the block that at least two documents have, and of how many (255: or more).
+
+    Documents are counted by task and block, so a key has a row for each task and block at most.
+    """
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(F.pmod(F.xxhash64(df[id_col].cast("long"), text), F.lit(blocks)).cast("int").alias("block"), text.alias("text"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places = [], []
+        found, places = [], []
         for batch in batches:
             block = np.asarray(batch.column(0))
             for a, b in chunks(batch, CHUNK):
-                found = kind.tokens(*flat(batch.column(1)[a:b]))
-                anchor, _, _, doc = anchored_runs(found, Hashes(found.symbols), kind.window, kind.gram)
-                anchor = _short(anchor)
-                order = np.lexsort((anchor, doc))
-                anchor, doc = anchor[order], doc[order]
-                once = np.ones(len(anchor), bool)
-                once[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                keys.append(anchor[once])
-                places.append(block[a:b][doc[once]].astype(np.int32))
-        if not keys:
+                key, doc = keys(*flat(batch.column(1)[a:b]))
+                key, doc = distinct_keys(_short(key), doc)
+                found.append(key)
+                places.append(block[a:b][doc].astype(np.int32))
+        if not found:
             return
-        key, place = np.concatenate(keys), np.concatenate(places)
+        key, place = np.concatenate(found), np.concatenate(places)
+        del found, places
         order = np.lexsort((key, place))
         key, place = key[order], place[order]
         new = np.ones(len(key), bool)
@@ -227,18 +246,18 @@ def shared_anchors(df: DataFrame, id_col: str, text_col: str, kind: Kind, blocks
         begin = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
         total = np.repeat(np.add.reduceat(count, begin), np.diff(np.append(begin, len(key))))
         keep = total >= 2
-        key, block, hot = key[keep], block[keep], total[keep] > HOT
+        key, block, total = key[keep], block[keep], np.minimum(total[keep], 255)
         order = np.lexsort((key, block))
-        key, block, hot = key[order], block[order], hot[order]
+        key, block, total = key[order], block[order], total[order]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        key, block, hot = key[once], block[once], hot[once]
+        key, block, total = key[once], block[once], total[once]
         edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist() + [len(block)]
         some = list(zip(edges, edges[1:], strict=False))
         return pa.table(
             {
                 "block": pa.array([int(block[x]) for x, _ in some], pa.int32()),
-                "anchors": pa.array([_keys_out(key[x:y], hot[x:y]) for x, y in some], pa.binary()),
+                "anchors": pa.array([_keys_out(key[x:y], total[x:y]) for x, y in some], pa.binary()),
             }
         )
 
@@ -258,7 +277,7 @@ def _segments_of(table: pa.Table, reply: pa.Table, kind: Kind, buckets: int) ->
         block = table.column("block")[0].as_py()
         ids = np.asarray(table.column("doc_id").fill_null(NO_ID)).astype(np.int64)
         pairs = [_keys_in(x) for x in reply.column("anchors").to_pylist()]
-        shared, hot = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]) > 0
+        shared, hot = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]) > HOT
         order = np.argsort(shared)
         shared, hot = shared[order], hot[order]
         parts, kept, base = [], [], 0
@@ -421,7 +440,7 @@ def without_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col:
     total = df.agg(F.sum(F.octet_length(df[text_col].cast("string")))).first()[0] or 0
     blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
     rows = blocked(df, id_col, text_col, blocks, carry)
-    reply = shared_anchors(df, id_col, text_col, kind, blocks, blocks)
+    reply = shared_keys(df, id_col, text_col, anchors_of(kind), blocks, blocks)
     segments = rows.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(
         lambda table, found: _segments_of(table, found, kind, blocks), "bucket int, block int, segments binary, marks binary"
     )
