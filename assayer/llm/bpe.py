@@ -15,6 +15,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -195,14 +196,15 @@ class Codec:
             live = live[first | second]
         return out
 
-    def words(self, texts: list[str]) -> list:
-        """The public ids of each text; the texts' words are guessed, tested together and mended."""
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The texts, the public ids of all in a row, and how many each has; their words are guessed, tested together and mended."""
         split = [WORDS.findall(x) for x in texts]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in split for w in x))}
+        flat = list(chain.from_iterable(split))
+        distinct = dict(zip(dict.fromkeys(flat), count(), strict=False))
         raw = [w.encode("utf-8", "surrogatepass") for w in distinct]
         guess = [self.guessed(b) for b in raw]
-        sizes = np.array([len(g) for g in guess], np.int64)
-        tokens = np.array([t for g in guess for t in g], np.int64)
+        sizes = np.fromiter(map(len, guess), np.int64, len(guess))
+        tokens = np.fromiter(chain.from_iterable(guess), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(guess)), sizes)
         bad = np.zeros(len(guess), bool)
         bad[word[~self.sound[tokens]]] = True
@@ -211,12 +213,17 @@ class Codec:
             pair, back = np.unique(tokens[inner] * len(self.left) + tokens[inner + 1], return_inverse=True)
             keeps = self.compatible(pair // len(self.left), pair % len(self.left))
             bad[word[inner[~keeps[back]]]] = True
-        failed = np.flatnonzero(bad).tolist()
-        for i, tokens in zip(failed, self.merged_together([raw[i] for i in failed]), strict=True):
-            guess[i] = tokens
-        public = self.public
-        done = [public[g] for g in guess]
-        return [done[distinct[x[0]]] if len(x) == 1 else np.concatenate([done[distinct[w]] for w in x]) if x else [] for x in split]
+        failed = np.flatnonzero(bad)
+        mended = self.merged_together([raw[i] for i in failed.tolist()])
+        # the mended words follow the guessed ones, and are looked up there
+        starts = np.cumsum(sizes) - sizes
+        mended_sizes = np.fromiter(map(len, mended), np.int64, len(mended))
+        starts[failed] = len(tokens) + np.cumsum(mended_sizes) - mended_sizes
+        sizes[failed] = mended_sizes
+        tokens = np.concatenate([tokens, *mended]).astype(np.int64)
+        use = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
+        ends = np.concatenate([[0], np.cumsum(sizes[use])])[np.cumsum([0, *map(len, split)])]
+        return texts, self.public[tokens[ragged(starts[use], sizes[use])]], np.diff(ends)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and offsets."""

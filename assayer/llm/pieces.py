@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -20,12 +20,13 @@ UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
 class PieceEncoder:
-    """Token ids of texts; ``encode_new`` gives the ids of strings that were not seen before, each on its own.
+    """Token ids of texts; ``encode_new`` encodes strings that were not seen before, each on its own, in an order that it chooses:
+    it returns the strings, all their ids in a row, and the number of ids of each.
 
     The cache is emptied once it holds ``most`` pieces: that bounds memory and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list], special: dict[str, int], most: int = 1_000_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000):
         self.encode_new, self.most = encode_new, most
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -36,15 +37,14 @@ class PieceEncoder:
         self.pool = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.count = self.used = 0
-        self._add(list(self.special), [[i] for i in self.special.values()])
+        self._add(list(self.special), np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
-    def _add(self, pieces: list[str], found: list) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total = len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         if total:
-            self.pool[self.used : self.used + total] = np.concatenate(found)
+            self.pool[self.used : self.used + total] = ids
         self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
         while self.count + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
@@ -72,12 +72,13 @@ class PieceEncoder:
         if self.count > self.most:
             self._clear()
         split = [self.pieces(x) for x in texts]
-        found = list(map(self.known.get, chain.from_iterable(split)))
-        if None in found:
-            new = list(dict.fromkeys(x for x, i in zip(chain.from_iterable(split), found, strict=True) if i is None))
-            self._add(new, self.encode_new(new))
-            found = map(self.known.get, chain.from_iterable(split))
-        found = np.fromiter(found, np.int64, sum(map(len, split)))
+        flat = list(chain.from_iterable(split))
+        found = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            own = [flat[i] for i in missing]
+            self._add(*self.encode_new(list(dict.fromkeys(own))))
+            found[missing] = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         starts = self.ends[found]
         sizes = self.ends[found + 1] - starts
         ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -18,6 +18,7 @@ folder whose parts hold nothing.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ from assayer.llm.common import chunks, documents, local_path
 from assayer.llm.pieces import PieceEncoder
 
 NO_ID = -(2**63)
+#: Pieces that can be encoded in a row.
+SIMPLE = re.compile(r" \S+(?:\n+\S+)*")
+#: Fixed value: the letter that stands for a space in byte-level vocabularies.
+SPACE_LETTER = "\u0120"
 #: Bytes of input text for each part.
 PART_BYTES = 32_000_000
 
@@ -55,8 +60,33 @@ def library(path: str) -> tuple[PieceEncoder, int]:
     plain &= not any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
     largest = max([*tokenizer.get_vocab().values(), 0])
 
-    def encode_new(texts: list[str]) -> list:
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    opens = np.zeros(largest + 1, bool)
+    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+
+    def alone(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_new(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """A space and words without other white space than line ends between them keep their tokens in a row of such; each one's tokens begin at a space."""
+        rest, order, ids, sizes = [], [], [np.zeros(0, np.int32)], []
+        rows: list[list[str]] = []
+        if plain:
+            simple = [x for x in texts if SIMPLE.fullmatch(x)]
+            rest = [x for x in texts if not SIMPLE.fullmatch(x)]
+            rows = [simple[a : a + 512] for a in range(0, len(simple), 512)]
+        else:
+            rest = texts
+        for row, found in zip(rows, alone(["".join(row) for row in rows]), strict=True):
+            begins = np.flatnonzero(opens[found])
+            if len(begins) == len(row):
+                order += row
+                ids.append(found)
+                sizes.append(np.diff(begins, append=len(found)))
+            else:
+                rest += row
+        for x in (single := alone(rest)):
+            sizes.append(np.array([len(x)]))
+        return order + rest, np.concatenate(ids + single), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     encoder = PieceEncoder(encode_new, special if plain else {})
     if not plain:
