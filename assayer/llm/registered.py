@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, fingerprints, jaccard, packing, quality, suffix_array, suffix_tree, token_files, toxicity
+from assayer.llm import bpe, fingerprints, jaccard, near_vectors, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from assayer.llm.common import held_out
 from assayer.session import scratch_path
 
@@ -58,6 +58,10 @@ def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.linked(table(spark, folder, "embeddings"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "tokens")
     parts = token_files.write(table(spark, folder, "documents"), target, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -74,6 +78,7 @@ def registry() -> dict:
         "op7_jaccard": (op7_jaccard, None),
         "op8_fingerprints": (op8_fingerprints, None),
         "op9_suffix_array": (op9_suffix_array, None),
+        "op5_near_vectors": (op5_near_vectors, None),
         "op6_token_files": (op6_token_files, None),
         "op10_quality": (op10_quality, None),
     }
