@@ -26,9 +26,14 @@ def held_out(doc_id: Column) -> Column:
 
 def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts (last column) have about ``most`` bytes together; a longer text is alone."""
-    ends = np.concatenate([[0], np.cumsum(lengths(batch.column(batch.num_columns - 1)))])
+    return parts(batch.column(batch.num_columns - 1), most)
+
+
+def parts(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` with about ``most`` bytes together."""
+    ends = np.concatenate([[0], np.cumsum(lengths(texts))])
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
         yield at, to
         at = to

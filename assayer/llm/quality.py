@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.common import chunks, documents, flat, mixed
+from assayer.llm.common import chunks, documents, flat, mixed, parts
 from assayer.llm.words import Hashes, lookup, sums, words
 
 
@@ -240,3 +240,15 @@ def score(df: DataFrame, model: Model, settings: Settings = Settings(), id_col:
                 )
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, posterior double, keep boolean")
+
+
+def kept(df: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows whose text the scorer keeps, with all their columns, whatever these are; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in parts(batch.column(at)):
+                yield batch[a:b].filter(pa.array(model.score(*flat(batch.column(at)[a:b])) >= settings.threshold))
+
+    return df.mapInArrow(run, df.schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.common import chunks, documents, flat, held_out, mixed
+from assayer.llm.common import chunks, documents, flat, held_out, mixed, parts
 from assayer.llm.words import LOWER, Hashes, lookup, words
 
 #: Words are runs of letters, digits and bytes beyond ASCII; a sentence ends at one of these.
@@ -223,3 +223,15 @@ def located(df: DataFrame, model: Model, settings: Settings = Settings(), id_col
                 )
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, end long, sentence string, score double")
+
+
+def kept(df: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns, whatever these are; nothing is shuffled."""
+    sent, at = _broadcast(df, model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in parts(batch.column(at)):
+                yield batch[a:b].filter(pa.array(sent.value.score(*flat(batch.column(at)[a:b]))[0] < settings.threshold))
+
+    return df.mapInArrow(run, df.schema)

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm import stages
 from assayer.session import scratch_path
 
-STAGES = []
+STAGES = [
+    ("quality", stages.good_quality),
+    ("toxicity", stages.not_toxic),
+    ("near_duplicates", stages.one_of_each_group),
+    ("repeats", stages.without_repeats),
+    ("packing", stages.packed),
+]
 
 #: SQL cannot express the classifiers; the stages are tested against plain versions instead.
 ORACLE_SQL = None
