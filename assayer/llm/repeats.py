@@ -30,11 +30,11 @@ from assayer.llm.common import chunks, flat, mixed, ragged
 from assayer.llm.words import Hashes, words
 
 #: UTF-8 bytes of text in a block of documents.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Documents of an anchor beyond which its windows are dealt by their own hashes.
 HOT = 250
 #: Text that is turned into arrays at once.
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Stands for a null id: larger than any other.
 NO_ID = 2**63 - 1
 
@@ -351,7 +351,7 @@ def _unmarked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Bytes of different segments that are compared together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def _compared(group: pa.Table, kind: Kind) -> pa.Table:
