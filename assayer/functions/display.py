@@ -14,14 +14,31 @@ def thousands(n: Column) -> Column:
     return F.format_number(n.cast("bigint"), 0)
 
 
+def _plain_text(x: Column) -> Column:
+    """A double's shortest digits without exponent, for magnitudes from 1e-4 to 1e16."""
+    return F.regexp_replace(x.cast("string").cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def fixed(x: Column, digits: int = 2) -> Column:
-    """Fixed-point text; ties go to the even digit."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
+    """Fixed-point text of the double's exact binary value; only exact ties go to the even digit.
+
+    Shortest digits that look like a tie (2.675) mostly lie a little beside it (2.67499...). Which side, the remainder of x
+    times a power of ten tells: split in two halves, its products are exact.
+    """
+    x = x.cast("double")
+    scale = float(10 ** (digits + 1))
+    tie = _plain_text(x).rlike(rf"\.\d{{{digits}}}5$") & F.abs(x).between(1e-4, 1e11)
+    large = x * F.lit(134217729.0)  # 2**27 + 1
+    high = large - (large - x)
+    beside = (high * scale - F.rint(x * scale)) + (x - high) * scale
+    step = F.signum(beside) * F.lit(10.0 ** -(digits + 3))
+    moved = F.when(tie & (beside != 0), x + step).otherwise(x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(moved, digits)))
 
 
 def number_text(x: Column) -> Column:
-    """A double without exponent: ``10000000.0``, ``0.05``."""
-    plain = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    """A double without exponent, with all its digits: ``10000000.0``, ``0.05``."""
+    plain = _plain_text(x)
     return F.when(x.isNull(), None).when(F.abs(x).between(1e-4, 1e16) | (x == 0), plain).otherwise(x.cast("string"))
 
 

@@ -61,7 +61,7 @@ UNIT_BYTES = {"KB": 1024.0, "MB": 1024.0**2, "GB": 1024.0**3}
 
 # Page size default and the largest page a caller may ask for.
 DEFAULT_PAGE_SIZE = 10
-MAX_PAGE_SIZE = 50
+MAX_PAGE_SIZE = 100
 
 # Info types found in cell values. The patterns stay inside what Java and RE2 share.
 INFO_TYPES = {

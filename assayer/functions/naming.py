@@ -34,6 +34,18 @@ def document_key(doc_id: Column) -> Column:
     return F.replace(doc_id, F.lit("."), F.lit("_"))
 
 
+def run_id(run_timestamp: Column) -> Column:
+    """A run's folder name: its start in UTC, to the second."""
+    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), run_timestamp.cast("timestamp_ntz"))
+    return F.date_format(wall, "yyyyMMdd'T'HHmmss")
+
+
+def report_path(run: Column | None, project: Column, dataset: Column, table: Column) -> Column:
+    """Where an asset's report lies below the reports' root; the same for the report's row, its folder and a hit."""
+    parts = [F.concat(F.lit(f"{name}="), c) for name, c in (("run", run), ("project_id", project), ("dataset_id", dataset), ("table_id", table)) if c is not None]
+    return F.concat_ws("/", *parts)
+
+
 def contains_any(name: Column, words: list[str]) -> Column:
     lowered = F.lower(name)
     return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words], F.lit(False))

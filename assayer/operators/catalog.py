@@ -9,7 +9,7 @@ from assayer.functions.display import column_description, number_text
 from assayer.functions.naming import document_key
 from assayer.operators.ranking import top_ranked
 
-# Names kept inline per table and direction; the edge table holds every edge, and counts stay exact.
+# Names kept inline per table and direction; larger neighbourhoods are whole in ``lineage_neighbours`` and ``lineage_documents``.
 INLINE_EDGES = 1000
 
 
@@ -66,6 +66,34 @@ def lineage_arrays(edges: DataFrame, limit: int = INLINE_EDGES) -> DataFrame:
     return both.join(lineage_totals(edges), "table_ref")
 
 
+def lineage_neighbours(edges: DataFrame, size: int = INLINE_EDGES) -> DataFrame:
+    """The whole neighbourhood of every asset: ``(table_ref, direction, part, parts, total, names)``.
+
+    A neighbourhood of any size is complete; it is dealt into parts of about ``size`` names by the hash of the name, so a hub
+    is spread over many rows and tasks.
+    """
+    if size < 1:
+        raise ValueError("a part has at least one name")
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("target").alias("table_ref"), F.lit("upstream").alias("direction"), F.col("source").alias("name")),
+        F.struct(F.col("source").alias("table_ref"), F.lit("downstream").alias("direction"), F.col("target").alias("name")),
+    )))
+    keys = ["table_ref", "direction"]
+    totals = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")).withColumn("parts", F.ceil(F.col("total") / size).cast("bigint"))
+    dealt = ends.join(totals, keys).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
+    return dealt.groupBy(*keys, "part", "parts", "total").agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def lineage_documents(edges: DataFrame, size: int = INLINE_EDGES) -> DataFrame:
+    """What a catalog row's lists cannot hold, as further documents ``(id, table_ref, text)``: every name of each neighbourhood over ``size``."""
+    heading = F.when(F.col("direction") == "upstream", F.lit("## Upstream Sources")).otherwise(F.lit("## Downstream Consumers"))
+    lines = F.array_join(F.transform("names", lambda n: F.concat(F.lit("- "), n)), "\n")
+    return lineage_neighbours(edges, size).filter("parts > 1").select(
+        F.concat_ws("#", "table_ref", "direction", F.col("part").cast("string")).alias("id"), "table_ref",
+        F.concat(F.lit("# "), "table_ref", F.lit("\n"), heading, F.lit("\n"), lines).alias("text"),
+    )
+
+
 def lineage_totals(edges: DataFrame) -> DataFrame:
     """Exact number of sources and consumers per table; null where there is none."""
     ends = edges.select(F.inline(F.array(

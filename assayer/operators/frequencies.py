@@ -7,7 +7,7 @@ keeps only its top ``k`` per task before the second shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer.functions import sqltext as q
 from assayer.operators.profile import unsigned_zero
@@ -15,9 +15,14 @@ from assayer.operators.ranking import top_ranked
 from assayer.sources.tables import Field, profilable
 
 
-def display_value(f: Field) -> str:
-    """The column's value as text; bytes by their length, nested values as JSON of at most 100 characters."""
-    return display_value_of(f, q.name(f.path))
+def whole_value(f: Field) -> str:
+    """The column's whole value as text, different for different values: bytes in hex, nested values as JSON."""
+    c = q.name(f.path)
+    if isinstance(f.data_type, T.BinaryType):
+        return f"hex({c})"
+    if isinstance(f.data_type, (T.ArrayType, T.MapType)):
+        return f"to_json({c})"
+    return f"CAST({unsigned_zero(c, f.data_type)} AS STRING)"
 
 
 def display_value_of(f: Field, c: str) -> str:
@@ -28,6 +33,19 @@ def display_value_of(f: Field, c: str) -> str:
     return f"CAST({unsigned_zero(c, f.data_type)} AS STRING)"
 
 
+def _shown(chosen: list[Field]) -> Column:
+    """A whole value as it is shown: bytes by their length, nested values by at most 100 characters. Only after counting."""
+    name, value = F.col("column_name"), F.col("value")
+    binary = [f.dotted for f in chosen if isinstance(f.data_type, T.BinaryType)]
+    nested = [f.dotted for f in chosen if isinstance(f.data_type, (T.ArrayType, T.MapType))]
+    length = (F.length(value) / 2).cast("bigint").cast("string")
+    return (
+        F.when(name.isin(binary), F.concat(F.lit("<bytes: "), length, F.lit(" bytes>")))
+        .when(name.isin(nested), F.substring(value, 1, 100))
+        .otherwise(value)
+    )
+
+
 def pattern(value: str) -> str:
     """The shape of a text: letters become ``A``, digits become ``9``."""
     letters = f"regexp_replace({value}, {q.pattern(chr(92) + 'p{L}')}, 'A')"
@@ -48,8 +66,8 @@ def _top(counted: DataFrame, k: int, *order) -> DataFrame:
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, value, n)`` with every distinct value of the chosen columns, nulls included."""
-    return _counted_pairs(df, _selected(df, columns), "value", display_value)
+    """``(column_name, value, n)`` with every distinct whole value of the chosen columns, nulls included."""
+    return _counted_pairs(df, _selected(df, columns), "value", whole_value)
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -65,7 +83,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
     totals = counted.groupBy("column_name").agg(F.sum("n").alias("total_rows"))
     ranked = _top(counted.filter("value IS NOT NULL"), k, F.desc("n"), "value")
     return ranked.join(totals, "column_name").select(
-        "column_name", "rank", "value", F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
+        "column_name", "rank", _shown(_selected(df, columns)).alias("value"), F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
     )
 
 
@@ -75,17 +93,18 @@ def top_values_sketch(df: DataFrame, columns: list[str] | None = None, k: int =
     Counts are exact while a column has fewer distinct values than ``tracked``.
     """
     chosen = _selected(df, columns)
-    sketches = [f"approx_top_k({display_value(f)}, {k}, {tracked}) AS t{i}" for i, f in enumerate(chosen)]
+    sketches = [f"approx_top_k({whole_value(f)}, {k}, {tracked}) AS t{i}" for i, f in enumerate(chosen)]
     rows = q.rows([q.struct(column_name=q.text(f.dotted), top=f"t{i}") for i, f in enumerate(chosen)])
     each = df.selectExpr("count(1) AS total_rows", *sketches).selectExpr("total_rows", rows)
-    return each.selectExpr("column_name", "total_rows", "posexplode(top) AS (pos, entry)").filter("entry.item IS NOT NULL").selectExpr(
+    found = each.selectExpr("column_name", "total_rows", "posexplode(top) AS (pos, entry)").filter("entry.item IS NOT NULL").selectExpr(
         "column_name", "CAST(pos + 1 AS BIGINT) AS rank", "entry.item AS value", "entry.count AS value_count",
         "try_divide(entry.count * 100.0D, total_rows) AS percentage",
     )
+    return found.withColumn("value", _shown(chosen))
 
 
-def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, max_columns: int = 30) -> DataFrame:
-    """The ``k`` smallest distinct values of the first ``max_columns`` columns, as text.
+def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, max_columns: int | None = None) -> DataFrame:
+    """The ``k`` smallest distinct values of every column (or of the first ``max_columns``), as text.
 
     Each round finds every column's next larger value with one plain ``min`` per column, so even a column of
     unique texts is never shuffled: what leaves a task is one row per round.

@@ -78,13 +78,17 @@ def view_dependencies_by_substring(views: DataFrame, tables: DataFrame) -> DataF
 
 
 def clean_edges(edges: DataFrame, file_schemes: list[str] = ["gs://", "s3://", "s3a://", "hdfs://", "file:"]) -> DataFrame:
-    """Distinct edges with scheme prefixes dropped on both ends; no self links, file targets or report targets."""
+    """Distinct edges with scheme prefixes dropped on both ends; no self links, file targets or report targets.
+
+    An edge that was reported with several types keeps the first of them by name.
+    """
     source, target = strip_scheme(F.col("source")), strip_scheme(F.col("target"))
     is_file = reduce(lambda a, b: a | b, [target.startswith(s) for s in file_schemes])
     return (
         edges.select(source.alias("source"), target.alias("target"), "edge_type")
         .filter((F.col("source") != F.col("target")) & ~is_file & ~target.endswith(".md"))
-        .dropDuplicates(["source", "target"])
+        .groupBy("source", "target")
+        .agg(F.min("edge_type").alias("edge_type"))
     )
 
 

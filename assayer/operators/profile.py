@@ -78,7 +78,7 @@ def _number_text(c: str, data_type: T.DataType) -> str:
     """A bound in its own type's digits; doubles without exponent."""
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return f"CAST({c} AS STRING)"
-    plain = f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,12)) AS STRING), '(\\\\.\\\\d+?)0+$', '$1')"
+    plain = f"regexp_replace(CAST(CAST(CAST({c} AS STRING) AS DECIMAL(38,20)) AS STRING), '(\\\\.\\\\d+?)0+$', '$1')"
     return f"CASE WHEN {c} = 0 OR abs({c}) BETWEEN 1e-4 AND 1e16 THEN {plain} ELSE CAST({c} AS STRING) END"
 
 
@@ -172,9 +172,10 @@ def counts_from_ratios(ratios_frame: DataFrame) -> DataFrame:
 
 def most_null(profile: DataFrame, k: int = 10, only_with_nulls: bool = True) -> DataFrame:
     """The ``k`` columns with the highest null share of every table."""
-    source = profile.filter("null_percentage > 0") if only_with_nulls else profile
+    source = profile.filter("null_count > 0") if only_with_nulls else profile
     columns = source.select("table_id", "column_name", "ordinal", "null_count", "null_percentage")
-    return top_ranked(columns, Window.partitionBy("table_id").orderBy(F.desc("null_percentage"), "ordinal"), k)
+    # columns of one table have the same number of rows, so their counts have the order of their unrounded shares
+    return top_ranked(columns, Window.partitionBy("table_id").orderBy(F.desc("null_count"), "ordinal"), k)
 
 
 def first_of_kind(profile: DataFrame, kind: str, k: int = 10) -> DataFrame:

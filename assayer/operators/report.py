@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions import display as d
 from assayer.functions.cost import cost_per_gb
+from assayer.functions.naming import report_path, run_id
 from assayer.operators.quality import status
 
 NL = "\n"
@@ -317,13 +318,13 @@ def markdown(catalog: DataFrame) -> Column:
 
 
 def _run_id() -> Column:
-    return F.date_format(d.utc(F.col("run_timestamp")), "yyyyMMdd'T'HHmmss")
+    return run_id(F.col("run_timestamp"))
 
 
 def reports(catalog: DataFrame) -> DataFrame:
     """``run, project_id, dataset_id, table_id, path, markdown`` for every catalog row."""
     run = _run_id()
-    path = F.concat_ws("/", run, "project_id", "dataset_id", F.concat("table_id", F.lit(".md")))
+    path = report_path(run, F.col("project_id"), F.col("dataset_id"), F.col("table_id"))
     return catalog.select(run.alias("run"), "project_id", "dataset_id", "table_id", path.alias("path"), markdown(catalog).alias("markdown"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions.display import snippet
 from assayer.functions.fixed import BOOSTS, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
+from assayer.functions.naming import report_path, run_id
 from assayer.operators.ranking import top_ranked
 
 K1, B = 1.2, 0.75
@@ -176,16 +177,22 @@ def page(
 ) -> DataFrame:
     """One page in a total order, with ``rank`` and ``has_more``.
 
-    ``after`` is the (sort value, key) of the last row seen, so a deep page costs the same as the first.
-    The plan is a distributed top-k of one row more than the page.
+    ``after`` is the (sort value, key) of the last row seen, so a deep page costs the same as the first; the value may be
+    null, since rows without a sort value come last in either direction. The plan is a distributed top-k of one row more
+    than the page.
     """
-    size = min(size, MAX_PAGE_SIZE)
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE_SIZE} rows")
     value = F.col(sort_by)
     if after is not None:
-        last, last_key = F.lit(after[0]), F.lit(after[1])
-        beyond = value < last if descending else value > last
-        rows = rows.filter(beyond | ((value == last) & (F.col(key) > last_key)))
-    order = [F.desc(sort_by) if descending else F.asc(sort_by), F.asc(key)]
+        last_key = F.col(key) > F.lit(after[1])
+        if after[0] is None:
+            rows = rows.filter(value.isNull() & last_key)
+        else:
+            last = F.lit(after[0])
+            beyond = value < last if descending else value > last
+            rows = rows.filter(beyond | value.isNull() | ((value == last) & last_key))
+    order = [F.desc_nulls_last(sort_by) if descending else F.asc_nulls_last(sort_by), F.asc(key)]
     top = rows.orderBy(*order).limit(size + 1)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     more = ranked.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size)
@@ -198,6 +205,27 @@ def search_page(documents: DataFrame, request: SearchRequest, key: str, text: st
     return page(hits, request.sort_by or "score", key, request.descending, request.page_size, request.after)
 
 
+def response(documents: DataFrame, request: SearchRequest, key: str, text: str, facet_names: list[str] = [], boosted: bool = True) -> DataFrame:
+    """A whole answer as one row: the page's hits in order, the total, the next page's token and the facets.
+
+    The token is the (sort value, key) to pass as ``after``; it is null on the last page.
+    """
+    hits = search(documents, request, key, text, boosted)
+    sort_by = request.sort_by or "score"
+    shown = page(hits, sort_by, key, request.descending, request.page_size, request.after)
+    entry = F.struct("rank", F.col(sort_by).cast("string").alias("sort_value"), F.col(key).alias("key"), "has_more")
+    rows = shown.agg(F.sort_array(F.collect_list(entry)).alias("hits"))  # at most one page
+    last = F.element_at(F.col("hits"), -1)
+    out = rows.select(
+        F.transform("hits", lambda h: h["key"]).alias("keys"),
+        F.when((F.size("hits") > 0) & last["has_more"], F.struct(last["sort_value"].alias("sort_value"), last["key"].alias("key"))).alias("next_page"),
+    ).withColumn("total", hits.agg(F.count(F.lit(1))).scalar())
+    if facet_names:
+        counted = facets(hits, facet_names).agg(F.sort_array(F.collect_list(F.struct("field", "rank", "value", "n"))))
+        out = out.withColumn("facets", counted.scalar())
+    return out
+
+
 def facets(rows: DataFrame, names: list[str], k: int = 10) -> DataFrame:
     """The ``k`` most common values of every field over the given (filtered) rows."""
     pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in names]))
@@ -226,7 +254,9 @@ def hit_fields(hits: DataFrame, text: str, reports_root: str | None = None) -> D
     """Hits with title, snippet and the path of their report."""
     named = F.col("dataset_id").isNotNull() & F.col("table_id").isNotNull()
     title = F.when(named, F.concat_ws(".", "dataset_id", "table_id")).otherwise(F.col("id"))
-    path = F.concat_ws("/", F.lit(reports_root), "dataset_id", F.concat("table_id", F.lit(".md"))) if reports_root else F.lit(None).cast("string")
+    run = run_id(F.col("run_timestamp")) if "run_timestamp" in hits.columns else None
+    below = report_path(run, F.col("project_id"), F.col("dataset_id"), F.col("table_id"))
+    path = F.concat_ws("/", F.lit(reports_root), below) if reports_root else F.lit(None).cast("string")
     return hits.withColumns({"title": title, "snippet": snippet(F.col(text)), "report_path": F.when(named, path)})
 
 
@@ -236,8 +266,9 @@ def hits_as_json(hits: DataFrame, metadata: list[str]) -> DataFrame:
     return hits.select("id", F.to_json(body).alias("hit"))
 
 
-def with_report_text(hits: DataFrame, reports: DataFrame, text: str, keys: list[str] = ["dataset_id", "table_id"]) -> DataFrame:
-    """Hits without text take it from their report."""
+def with_report_text(hits: DataFrame, reports: DataFrame, text: str, keys: tuple[str, ...] = ("project_id", "dataset_id", "table_id")) -> DataFrame:
+    """Hits without text take it from the report of the same asset; pass the run as a further key if reports of several runs are given."""
+    keys = list(keys)
     found = reports.select(*keys, F.col("markdown").alias("_markdown"))
     filled = F.coalesce(F.when(F.length(text) > 0, F.col(text)), F.col("_markdown"))
     return hits.join(found, keys, "left").withColumn(text, filled).drop("_markdown")

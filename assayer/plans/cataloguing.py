@@ -366,6 +366,23 @@ VIEW_DEPENDENCIES_SQL = """
 """
 
 
+def lineage_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole neighbourhood of every asset in parts: raw tables with thousands of views among them."""
+    edges = lineage.view_dependencies(data.views(spark, sf), data.view_tables(spark, sf))
+    parts = catalog.lineage_neighbours(edges, 100)
+    names = parts.select("table_ref", "direction", "total", "names", F.size("names").cast("bigint").alias("n"))
+    return names.groupBy("table_ref", "direction").agg(
+        F.sum("n").alias("n_names"), F.max("total").alias("total"), F.md5(F.array_join(F.sort_array(F.flatten(F.collect_list("names"))), ",")).alias("names_md5")
+    )
+
+
+LINEAGE_NEIGHBOURS_SQL = f"""
+    WITH e AS ({VIEW_DEPENDENCIES_SQL}),
+    n AS (SELECT target AS table_ref, 'upstream' AS direction, source AS name FROM e UNION ALL SELECT source, 'downstream', target FROM e)
+    SELECT table_ref, direction, count(*) AS n_names, count(*) AS total, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM n GROUP BY ALL
+"""
+
+
 def view_dependencies_substring(spark: SparkSession, sf: str) -> DataFrame:
     """Views per table when any occurrence of ``dataset.table`` in the text counts, also inside longer names."""
     found = lineage.view_dependencies_by_substring(data.views(spark, sf), data.view_tables(spark, sf))
@@ -624,7 +641,7 @@ _SIZE_SQL = """CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_byt
 _MINUTE_SQL = "strftime(last_modified, '%Y-%m-%d %H:%M UTC')"
 
 DOCUMENT_REPORT_SQL = f"""
-    SELECT '20240201T000000/' || project_id || '/' || dataset_id || '/' || table_id || '.md' AS path, concat_ws(chr(10) || chr(10),
+    SELECT 'run=20240201T000000/project_id=' || project_id || '/dataset_id=' || dataset_id || '/table_id=' || table_id AS path, concat_ws(chr(10) || chr(10),
       '# ' || dataset_id || '.' || table_id,
       concat_ws(' | ', '[' || table_type || ']', CASE WHEN has_pii THEN '[PII]' END, CASE WHEN has_phi THEN '[PHI]' END, '[' || upper(environment) || ']'),
       '## Executive Summary',
@@ -661,7 +678,7 @@ def report_export_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPORT_EXPORT_SQL = f"""
-    WITH r AS ({DOCUMENT_REPORT_SQL}), s AS (SELECT split_part(path, '/', 2) AS project_id, split_part(path, '/', 3) AS dataset_id, CASE WHEN contains(markdown, '[UNKNOWN]') THEN NULL ELSE markdown END AS m FROM r)
+    WITH r AS ({DOCUMENT_REPORT_SQL}), s AS (SELECT split_part(split_part(path, '/', 2), '=', 2) AS project_id, split_part(split_part(path, '/', 3), '=', 2) AS dataset_id, CASE WHEN contains(markdown, '[UNKNOWN]') THEN NULL ELSE markdown END AS m FROM r)
     SELECT project_id, dataset_id, count(m) AS exported, count(*) FILTER (WHERE m IS NULL) AS failed, CAST(coalesce(sum(length(m)), 0) AS BIGINT) AS total_chars FROM s GROUP BY ALL
 """
 
@@ -678,7 +695,7 @@ def run_reports(spark: SparkSession, sf: str) -> DataFrame:
 RUN_REPORTS_SQL = f"""
     WITH r AS ({DOCUMENT_REPORT_SQL})
     SELECT '20240201T000000' AS run, table_id, project_id, dataset_id, CASE WHEN environment <> 'dev' THEN length(markdown) END AS report_chars
-    FROM ({DOCS}) d JOIN r ON r.path = '20240201T000000/' || d.project_id || '/' || d.dataset_id || '/' || d.table_id || '.md'
+    FROM ({DOCS}) d JOIN r ON r.path = 'run=20240201T000000/project_id=' || d.project_id || '/dataset_id=' || d.dataset_id || '/table_id=' || d.table_id
 """
 
 
@@ -847,6 +864,7 @@ QUERIES = {
     "extract_refs": (extract_refs, EXTRACT_REFS_SQL),
     "view_dependencies": (view_dependencies, VIEW_DEPENDENCIES_SQL),
     "view_dependencies_substring": (view_dependencies_substring, VIEW_SUBSTRING_SQL),
+    "lineage_neighbours": (lineage_neighbours, LINEAGE_NEIGHBOURS_SQL),
     "clean_edges": (clean_edges, CLEAN_EDGES_SQL),
     "reference_edges": (reference_edges, REFERENCE_EDGES_SQL),
     "lineage_downstream": (lineage_downstream, LINEAGE_DOWNSTREAM_SQL),

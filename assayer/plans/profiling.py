@@ -125,9 +125,12 @@ def profile_approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DISTINCT_COLUMNS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"],
-    "documents": ["text", "lang", "source", "n_chars"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 

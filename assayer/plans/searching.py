@@ -160,6 +160,41 @@ PAGED_ASCENDING_SQL = f"""
 """
 
 
+def paged_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """A page that begins among the last rows with a sort value and goes on with those that have none."""
+    docs = data.document_assets(spark, sf).withColumn("reviewed", F.when(F.col("environment") != "unknown", F.col("row_count")))
+    request = SearchRequest(query="", sort_by="reviewed", page_size=60, after=(60, ""))
+    return search.search_page(docs, request, "id", "text").select("rank", "id", "reviewed", "has_more")
+
+
+PAGED_NULLS_SQL = f"""
+    WITH d AS (SELECT id, CASE WHEN environment <> 'unknown' THEN row_count END AS reviewed FROM ({DOCS})),
+         r AS (SELECT id, reviewed, row_number() OVER (ORDER BY reviewed DESC NULLS LAST, id) AS rank, count(*) OVER () > 60 AS has_more
+               FROM d WHERE reviewed IS NULL OR reviewed < 60 OR (reviewed = 60 AND id > ''))
+    SELECT rank, id, reviewed, has_more FROM r WHERE rank <= 60
+"""
+
+
+def search_response(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole answer: the page's keys, the total, the token of the next page and the facets of all hits."""
+    request = SearchRequest(query="", sort_by="row_count", page_size=20, environment="prod")
+    found = search.response(data.document_assets(spark, sf), request, "id", "text", ["project_id"])
+    return found.select(
+        "total", F.array_join("keys", ",").alias("keys"), F.col("next_page.sort_value").alias("next_value"), F.col("next_page.key").alias("next_key"),
+        F.array_join(F.transform("facets", lambda f: F.concat_ws("=", f["value"], f["n"].cast("string"))), ",").alias("projects"),
+    )
+
+
+SEARCH_RESPONSE_SQL = f"""
+    WITH d AS (SELECT id, row_count, project_id FROM ({DOCS}) WHERE environment = 'prod'),
+         r AS (SELECT *, row_number() OVER (ORDER BY row_count DESC, id) AS rank FROM d),
+         f AS (SELECT project_id, count(*) AS n FROM d GROUP BY 1)
+    SELECT (SELECT count(*) FROM d) AS total, string_agg(id, ',' ORDER BY rank) AS keys, CAST(arg_max(row_count, rank) AS VARCHAR) AS next_value,
+           arg_max(id, rank) AS next_key, (SELECT string_agg(project_id || '=' || n, ',' ORDER BY n DESC, project_id) FROM f) AS projects
+    FROM r WHERE rank <= 20
+"""
+
+
 def facets(spark: SparkSession, sf: str) -> DataFrame:
     docs = data.document_assets(spark, sf).filter(search.predicate(SearchRequest(has_phi=False)))
     return search.facets(docs, ["project_id", "dataset_id", "environment", "table_type", "has_pii"])
@@ -232,7 +267,7 @@ def hit_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 HIT_FIELDS_SQL = f"""
     SELECT id, dataset_id || '.' || table_id AS title, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' WHEN length(text) > 0 THEN text ELSE 'No content available' END AS snippet,
-           's3://reports/' || dataset_id || '/' || table_id || '.md' AS report_path FROM ({DOCS})
+           's3://reports/project_id=' || project_id || '/dataset_id=' || dataset_id || '/table_id=' || table_id AS report_path FROM ({DOCS})
 """
 
 
@@ -245,7 +280,9 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
 def hits_with_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Hits whose text is missing take it from their report: here pages stand in for reports."""
     docs = data.document_assets(spark, sf).withColumn("content", F.when(F.col("has_phi") | (F.col("environment") == "dev"), F.lit("")).otherwise(F.col("text")))
-    reports = docs.filter("environment != 'unknown'").select("dataset_id", "table_id", F.concat(F.lit("# "), "id").alias("markdown"))
+    reports = docs.filter("environment != 'unknown'").select("project_id", "dataset_id", "table_id", F.concat(F.lit("# "), "id").alias("markdown"))
+    # the same names in another project: its reports must not reach these hits
+    reports = reports.union(reports.withColumn("project_id", F.lit("other")).withColumn("markdown", F.lit("# other")))
     filled = search.with_report_text(docs, reports, "content")
     return filled.select("id", F.md5(F.coalesce("content", F.lit("none"))).alias("content_md5"))
 
@@ -421,6 +458,8 @@ QUERIES = {
     "highlighted_fields": (highlighted_fields, HIGHLIGHTED_SQL),
     "paged_search": (paged_search, PAGED_SQL),
     "paged_ascending": (paged_ascending, PAGED_ASCENDING_SQL),
+    "paged_nulls": (paged_nulls, PAGED_NULLS_SQL),
+    "search_response": (search_response, SEARCH_RESPONSE_SQL),
     "facets": (facets, FACETS_SQL),
     "order_facets": (order_facets, ORDER_FACETS_SQL),
     "group_topk": (group_topk, GROUP_TOPK_SQL),

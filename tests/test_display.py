@@ -30,6 +30,9 @@ def test_sizes(spark):
 
 
 def test_fixed_points_round_ties_to_even_and_nulls_stay(spark):
+    for x in (0.15, 0.35, 0.45, 0.25, 2.675, 1.005, -0.35, 1e6 + 0.45, 99.95, 0.05):
+        for digits in (1, 2):
+            assert one(spark, display.fixed(F.lit(x), digits)) == f"{x:.{digits}f}", (x, digits)
     assert one(spark, display.fixed(F.lit(0.125))) == "0.12" and one(spark, display.fixed(F.lit(None).cast("double"))) is None
     assert one(spark, display.number_text(F.lit(10000000.0))) == "10000000.0" and one(spark, display.number_text(F.lit(0.05))) == "0.05"
 
@@ -97,7 +100,7 @@ def test_full_report(spark):
         "| email [SENSITIVE] | string | NULLABLE | Mail | a@b.c |", "- **Tags**: `pii`, `fin`", "| Storage | $4.00 |", "| **Total** | **$10.50** |", "*Cost per GB*: $2.10",
         "| email | 40 | 40.0% |\n| id | 0 | 0.0% |", "**Completeness**: 97.0% [GOOD]", "**Freshness**: 80.0% [FAIR]",
         "| id | 1.00 | 9.00 | 5.00 | 9 |", "| email | 5 | 9 | 4 |", "| at | 3 | 10.0% |", "- `s.a.t`", "- `p.d.x09`\n- *... and 2 more*",
-        "**Queries (Last 30 days)**: 1,500\n**Active Users**: 7\n**Avg Query Time**: 2.34s", "**Full Path**: `p.d.t`", "*Report generated at 2024-01-01T00:00:00Z*",
+        "**Queries (Last 30 days)**: 1,500\n**Active Users**: 7\n**Avg Query Time**: 2.35s", "**Full Path**: `p.d.t`", "*Report generated at 2024-01-01T00:00:00Z*",
     ]:
         assert part in text, part
     assert "p.d.x10" not in text

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import naming
-from assayer.operators import lineage
+from assayer.operators import catalog, lineage
 
 
 def edges(spark, *pairs):
@@ -111,3 +111,16 @@ def test_names(spark):
     assert rows(kinds.select(naming.asset_type(F.col("t")), naming.table_type_or_default(F.col("t"), F.col("a")))) == [
         ("TABLE", "EXTERNAL"), ("TABLE", "TABLE"), ("TABLE", "VIEW"), ("VIEW", "VIEW"),
     ]
+
+
+def test_edges_of_several_types_keep_the_first_by_name(spark):
+    raw = spark.createDataFrame([("p.d.a", "p.d.b", t) for t in ("view", "load", "copy")], lineage.EDGES)
+    assert rows(lineage.clean_edges(raw.union(raw))) == [("p.d.a", "p.d.b", "copy")]
+
+
+def test_the_whole_neighbourhood_of_a_hub(spark):
+    edges = spark.range(1500).selectExpr("'p.d.hub' AS source", "concat('p.v.v', id) AS target", "'view' AS edge_type")
+    parts = catalog.lineage_neighbours(edges, 100).filter("table_ref = 'p.d.hub'").collect()
+    assert {r.total for r in parts} == {1500} and {r.parts for r in parts} == {15} and max(len(r.names) for r in parts) < 160
+    assert sorted(n for r in parts for n in r.names) == sorted(f"p.v.v{i}" for i in range(1500))
+    assert catalog.lineage_documents(edges, 1500).count() == 0 and catalog.lineage_documents(edges, 700).count() == 3

@@ -141,9 +141,23 @@ def test_top_values_and_samples(mixed):
     ]
 
 
-def test_samples_only_of_the_first_columns(spark):
+def test_samples_of_all_columns(spark):
     wide = spark.range(2).selectExpr(*[f"id + {i} AS c{i}" for i in range(40)])
-    assert frequencies.sample_values(wide).select("column_name").distinct().count() == 30
+    assert frequencies.sample_values(wide).select("column_name").distinct().count() == 40
+
+
+def test_values_that_look_alike_are_counted_apart(spark):
+    df = spark.createDataFrame(
+        [(bytearray(b"aa"), [1] * 60 + [1]), (bytearray(b"aa"), [1] * 60 + [2]), (bytearray(b"bb"), [1] * 60 + [3])], "b binary, a array<int>"
+    )
+    assert rows(frequencies.distinct_counts(df)) == [("a", 3, 3), ("b", 3, 2)]
+    assert rows(frequencies.top_values(df, ["b"]), "rank", "value", "value_count") == [(1, "<bytes: 2 bytes>", 2), (2, "<bytes: 2 bytes>", 1)]
+    assert {r.value for r in frequencies.top_values(df, ["a"]).collect()} == {"[" + ",".join(["1"] * 60)[:99]}
+
+
+def test_bounds_keep_their_digits(spark):
+    df = spark.createDataFrame([(1.234567890123456e-4,), (1e15,)], "x double")
+    assert rows(profile_table(df, "t"), "min_value", "max_value") == [("0.0001234567890123456", "1000000000000000.0")]
 
 
 def test_exact_distinct_and_sketch_agree_on_few_values(spark):

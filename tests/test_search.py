@@ -75,8 +75,31 @@ def test_pages_partition_the_result(assets):
             break
         after = (page[-1].row_count, page[-1].id)
     assert seen == [r.id for r in ties.orderBy(F.desc("row_count"), "id").collect()]
-    assert search.page(assets, "row_count", "id", size=500).count() == 30
-    assert search.page(assets.union(assets), "row_count", "id", size=500).count() == 50
+    assert search.page(assets, "row_count", "id", size=100).count() == 30
+    with pytest.raises(ValueError):
+        search.page(assets, "row_count", "id", size=101)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_lose_no_row_without_sort_value(spark, descending):
+    df = spark.createDataFrame([("a", 5), ("b", None), ("c", 3), ("d", None), ("e", 1)], "id string, v int")
+    seen, after = [], None
+    while True:
+        page = search.page(df, "v", "id", descending, 2, after).orderBy("rank").collect()
+        seen += [r.id for r in page]
+        if not page[-1].has_more:
+            break
+        after = (page[-1].v, page[-1].id)
+    assert seen == (["a", "c", "e"] if descending else ["e", "c", "a"]) + ["b", "d"]
+
+
+def test_response_has_total_token_and_facets(assets):
+    request = SearchRequest(sort_by="row_count", page_size=20)
+    first = search.response(assets, request, "id", "text", ["project_id"], boosted=False).first()
+    assert first.total == 30 and len(first["keys"]) == 20 and first.next_page.key == first["keys"][-1]
+    assert sum(f.n for f in first.facets) == 30
+    last = search.response(assets, SearchRequest(sort_by="row_count", page_size=20, after=(int(first.next_page.sort_value), first.next_page.key)), "id", "text", boosted=False).first()
+    assert last.next_page is None and len(last["keys"]) == 10 and not set(last["keys"]) & set(first["keys"])
 
 
 def test_boosts(spark):
@@ -156,10 +179,14 @@ def test_details_and_report_text(spark):
     ).withColumns({n: F.lit(None).cast(t) for n, t in (("last_modified", "timestamp"), ("environment", "string"))})
     assert tuple(search.asset_details(docs, "p", "d", "two", "id", "text").select("id", "match").first()) == ("p.d.two", "exact")
     assert tuple(search.asset_details(docs, "p", "d", "gone", "id", "text").select("id", "match").first()) == ("p.d.one", "search")
-    reports = spark.createDataFrame([("d", "two", "# report")], "dataset_id string, table_id string, markdown string")
+    reports = spark.createDataFrame(
+        [("p", "d", "two", "# report"), ("q", "d", "two", "# of another project")], "project_id string, dataset_id string, table_id string, markdown string"
+    )
     assert rows(search.with_report_text(docs, reports, "text"), "id", "text") == [("p.d.one", "d one first"), ("p.d.two", "# report")]
     hits = search.hit_fields(docs.withColumn("score", F.lit(1.0)), "text", "root")
-    assert rows(hits, "title", "snippet", "report_path") == [("d.one", "d one first", "root/d/one.md"), ("d.two", "No content available", "root/d/two.md")]
+    assert rows(hits, "title", "snippet", "report_path") == [
+        ("d.one", "d one first", "root/project_id=p/dataset_id=d/table_id=one"), ("d.two", "No content available", "root/project_id=p/dataset_id=d/table_id=two"),
+    ]
     assert search.hits_as_json(hits, ["project_id", "environment"]).filter("id = 'p.d.one'").first().hit == (
         '{"id":"p.d.one","title":"d.one","score":1.0,"metadata":{"project_id":"p"},"snippet":"d one first"}'
     )
