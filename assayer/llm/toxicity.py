@@ -32,15 +32,17 @@ BEGINNINGS = (3, 4, 5, 6)
 
 @dataclass(frozen=True)
 class Settings:
-    #: Most labelled documents that the model is fitted to, and most words of them.
-    fit_rows: int = 12_000
+    #: Most labelled documents that the model is fitted to.
+    fit_rows: int = 16_000
     #: Words are hashed into 2 ** bits buckets.
     bits: int = 20
     #: A word counts if so many documents of the sample have it.
-    least_documents: int = 5
+    least_documents: int = 3
     #: Standard errors by which toxic documents must have a word more often.
-    least_z: float = 4.0
-    epochs: int = 400
+    least_z: float = 2.5
+    #: Least log odds between toxic and clean documents.
+    least_odds: float = 1.2
+    epochs: int = 250
     penalty: float = 1e-4
     threshold: float = 0.3
 
@@ -90,54 +92,58 @@ class Model:
         return noisy_or(p, doc, len(starts) - 1), p, doc, spans
 
 
-def fitted(bags: list[np.ndarray], ends: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
-    """A model from each document's word buckets, its sentences' ends among them, and its label."""
-    size = 1 << settings.bits
-    none = Model(np.zeros(size, np.float32), -40.0, settings.bits)
+def chosen_buckets(counts: np.ndarray, n: np.ndarray, settings: Settings) -> np.ndarray:
+    """Which buckets toxic documents have clearly more often: a test of two shares for each.
+
+    ``counts`` has a row (clean documents with it, toxic documents with it) for each bucket, ``n`` all clean and all toxic documents.
+    """
+    if not n.all():
+        return np.zeros(len(counts), bool)
+    share = counts.sum(1) / n.sum()
+    z = (counts[:, 1] / n[1] - counts[:, 0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
+    return (counts.sum(1) >= settings.least_documents) & (z >= settings.least_z) & (log_odds(counts, n) >= settings.least_odds)
+
+
+def log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.log((counts[:, 1] + 0.5) / (n[1] + 1)) - np.log((counts[:, 0] + 0.5) / (n[0] + 1))
+
+
+def fitted(sentence: np.ndarray, bucket: np.ndarray, of: np.ndarray, n: np.ndarray, labels: np.ndarray, odds: np.ndarray, settings: Settings) -> Model:
+    """A model from pairs of sentence and bucket (each once), the document of each such pair, and the documents' numbers of sentences and labels.
+
+    Weights start at, and are drawn to, the buckets' log odds between toxic and clean documents: a document that one
+    sentence explains teaches nothing about its others, so from zero some words would never be learnt.
+    """
+    weights = np.zeros(1 << settings.bits, np.float32)
     if not ((labels == 1).any() and (labels == 0).any()):
-        return none
-    # only what toxic documents have clearly more often can offend: a test of two shares for each bucket
-    counts = np.zeros((2, size), np.int32)
-    for x, y in zip(bags, labels, strict=True):
-        counts[int(y), np.unique(x)] += 1
-    n = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
-    share = counts.sum(0) / n.sum()
-    z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
-    slot = np.full(size, -1, np.int64)
-    chosen = np.flatnonzero((counts.sum(0) >= settings.least_documents) & (z >= settings.least_z))
-    slot[chosen] = np.arange(len(chosen))
-    word = np.concatenate(bags)
-    n_sentences = np.array([len(x) for x in ends])
-    doc = np.repeat(np.arange(len(bags)), n_sentences)
-    sizes = np.concatenate([np.diff(x, prepend=0) for x in ends])
-    sentence = np.repeat(np.arange(len(doc)), sizes)
-    place = slot[word]
-    place, sentence = place[place >= 0], sentence[place >= 0]
-    # a word counts once in a sentence
-    both = np.unique(sentence * (len(chosen) + 1) + place)
-    sentence, place = both // (len(chosen) + 1), both % (len(chosen) + 1)
-    w = np.zeros(len(chosen) + 1)
-    w[-1] = -7.0
+        return Model(weights, -40.0, settings.bits)
+    chosen, place = np.unique(bucket, return_inverse=True)
+    # sentences without a chosen bucket all have the same score: they are counted, not listed
+    listed, first, own = np.unique(sentence, return_index=True, return_inverse=True)
+    of = of[first]
+    others = n - np.bincount(of, minlength=len(labels))
+    start = odds[chosen] / (1 + len(BEGINNINGS))
+    w = np.append(start, -7.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, settings.epochs + 1):
-        z = np.bincount(sentence, w[place], len(doc)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        total = np.clip(noisy_or(p, doc, len(bags)), 1e-9, 1 - 1e-9)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[place], len(listed)) + w[-1], -40, 40)))
+        plain = 1 / (1 + np.exp(-np.clip(w[-1], -40, 40)))
+        clean = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + others * np.log1p(-plain)
+        total = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for a clean document, -p (1 - P) / P for a toxic one
-        back = np.where(labels == 1, -(1 - total) / total, 1.0)[doc] * p
-        g = np.append(np.bincount(place, back[sentence], len(chosen)), back.sum()) / len(bags)
-        g[:-1] += settings.penalty * w[:-1]
+        back = np.where(labels == 1, -(1 - total) / total, 1.0)
+        g = np.append(np.bincount(place, (back[of] * p)[own], len(chosen)), (back[of] * p).sum() + (back * others * plain).sum()) / len(labels)
+        g[:-1] += settings.penalty * (w[:-1] - start)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    weights = np.zeros(size, np.float32)
     weights[chosen] = w[:-1]
     return Model(weights, float(w[-1]), settings.bits)
 
 
 def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit to the labelled documents that are not held out."""
+    """Fit to the labelled documents that are not held out. Counts of buckets are added up in Spark; only chosen buckets come to the driver."""
     known = (
-        labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
+        labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[label_col].cast("int") > 0).cast("int").alias("label"))
         .dropna()
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -149,27 +155,58 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_co
     # the sampled labels are at most about fit_rows small rows, a proven bound, so the texts of other documents are not moved
     docs = documents(df, id_col, text_col).filter(~held_out(F.col("doc_id")))
     picked = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    size = 1 << settings.bits
 
-    def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = {0: [], 1: []}, [0, 0]
         for batch in batches:
+            label = np.asarray(batch.column(1))
             for a, b in chunks(batch):
                 buckets, at, doc, _ = sentences(*flat(batch.column(2)[a:b]), settings.bits)
-                begins = np.searchsorted(doc, np.arange(b - a + 1))
-                rows = []
-                for i in range(b - a):
-                    x, y = begins[i], begins[i + 1]
-                    rows.append((buckets[at[x] : at[y]].astype("<i4").tobytes(), (at[x + 1 : y + 1] - at[x]).astype("<i4").tobytes()))
-                yield pa.record_batch(
-                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                    ["doc_id", "label", "words", "ends"],
-                )
+                once = np.unique(np.repeat(doc, np.diff(at)) * size + buckets)
+                for y in (0, 1):
+                    found[y].append(once[label[a:b][once // size] == y] % size)
+                    n[y] += int((label[a:b] == y).sum())
+        for y in (0, 1):
+            if n[y]:
+                bucket, times = np.unique(np.concatenate(found[y]), return_counts=True)
+                bucket, times = np.append(bucket, size), np.append(times, n[y])
+                yield pa.record_batch([pa.array(bucket), pa.array(times * (1 - y)), pa.array(times * y)], ["bucket", "clean", "toxic"])
+
+    counted = picked.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # at most one row a bucket, whatever the input
+    counted = counted.filter((F.col("clean") + F.col("toxic") >= settings.least_documents) & (F.col("toxic") > 0) | (F.col("bucket") == size)).toArrow()
+    counts = np.zeros((size + 1, 2))
+    counts[np.asarray(counted.column("bucket"))] = np.stack([np.asarray(counted.column("clean")), np.asarray(counted.column("toxic"))], 1).reshape(-1, 2)
+    chosen = chosen_buckets(counts[:-1], counts[-1], settings)
+    odds = log_odds(counts[:-1], counts[-1])
 
-    found = picked.mapInArrow(example, "doc_id long, label int, words binary, ends binary").toArrow().sort_by("doc_id")
-    if not found.num_rows:
-        return fitted([], [], np.zeros(0), settings)
-    bags = [np.frombuffer(x, "<i4") for x in found.column("words").to_pylist()]
-    ends = [np.frombuffer(x, "<i4") for x in found.column("ends").to_pylist()]
-    return fitted(bags, ends, np.asarray(found.column("label")), settings)
+    def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch):
+                buckets, at, doc, _ = sentences(*flat(batch.column(2)[a:b]), settings.bits)
+                hit = np.flatnonzero(chosen[buckets])
+                first = np.searchsorted(doc, np.arange(b - a))
+                pairs = np.unique((np.searchsorted(at, hit, "right") - 1) * size + buckets[hit])
+                place, of = pairs // size, doc[pairs // size] if len(doc) else pairs
+                ends = np.searchsorted(of, np.arange(b - a + 1))
+                rows = [
+                    ((place[x:y] - f).astype("<i4").tobytes(), (pairs[x:y] % size).astype("<i4").tobytes())
+                    for x, y, f in zip(ends[:-1].tolist(), ends[1:].tolist(), first.tolist(), strict=True)
+                ]
+                columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.bincount(doc, minlength=b - a))]
+                columns += [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]
+                yield pa.record_batch(columns, ["doc_id", "label", "n", "sentences", "buckets"])
+
+    found = picked.mapInArrow(example, "doc_id long, label int, n long, sentences binary, buckets binary").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("buckets", "ascending")])
+    n = np.asarray(found.column("n")).astype(np.int64)
+    own = [np.frombuffer(x, "<i4") for x in found.column("sentences").to_pylist()]
+    pairs = np.array([len(x) for x in own], np.int64)
+    base = np.repeat(np.cumsum(n) - n, pairs)
+    flat_own = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
+    bucket = np.frombuffer(b"".join(found.column("buckets").to_pylist()), "<i4").astype(np.int64)
+    return fitted(base + flat_own, bucket, np.repeat(np.arange(len(n)), pairs), n, np.asarray(found.column("label")), odds, settings)
 
 
 def _broadcast(df: DataFrame, model: Model):
