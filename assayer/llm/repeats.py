@@ -13,7 +13,7 @@ whose tokens also start in a document with a smaller id. Steps, each a Spark sta
 5. *Marks* return to the blocks, which put the documents' texts together.
 
 No group grows with a hot text: an anchor has at most one row for each block and distinct segment, and an anchor with more than
-``HOT`` documents is split further: each of its windows goes to the bucket of its own hash, where only equal windows meet.
+``HOT`` documents is split further: each of its windows goes to the bucket of its own hash with a second hash, where only equal windows meet.
 Blocks and buckets have a fixed size in bytes; their number grows with the input. All is one lazy plan, so lost tasks are repeated by Spark.
 """
 
@@ -32,9 +32,13 @@ from assayer.llm.words import Hashes, words
 #: UTF-8 bytes of text in a block of documents.
 BLOCK_BYTES = 8_000_000
 #: Documents of an anchor beyond which its windows are dealt by their own hashes.
-HOT = 250
+HOT = 16_384
 #: Text that is turned into arrays at once.
 CHUNK = 600_000
+#: The largest count that is sent.
+MOST = 65_535
+#: Keys that a task collects before it sends them; a key is sent once for each such part and block.
+HELD_KEYS = 1_500_000
 #: Stands for a null id: larger than any other.
 NO_ID = 2**63 - 1
 
@@ -113,7 +117,8 @@ def anchored_runs(found: Tokens, hashes: Hashes, window: int, gram: int) -> tupl
     new = np.ones(len(at), bool)
     new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
-    return own[begin], at[begin], np.diff(np.append(begin, len(at))), doc[begin]
+    # least hashes crowd at the lower end; mixed again they spread evenly over the buckets
+    return mixed(~own[begin]), at[begin], np.diff(np.append(begin, len(at))), doc[begin]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,14 +127,14 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _keys_out(keys: np.ndarray, extra: np.ndarray) -> bytes:
-    """Sorted keys of 48 bits and a byte for each; the upper bits hardly vary and compress well."""
-    return (keys >> np.uint64(32)).astype("<u2").tobytes() + keys.astype("<u4").tobytes() + extra.astype("u1").tobytes()
+    """Sorted keys of 48 bits and a number of 16 bits for each; the upper bits hardly vary and compress well."""
+    return (keys >> np.uint64(32)).astype("<u2").tobytes() + keys.astype("<u4").tobytes() + extra.astype("<u2").tobytes()
 
 
 def _keys_in(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 7
+    n = len(blob) // 8
     upper = np.frombuffer(blob, "<u2", n).astype(np.uint64) << np.uint64(32)
-    return upper | np.frombuffer(blob, "<u4", n, 2 * n), np.frombuffer(blob, "u1", n, 6 * n)
+    return upper | np.frombuffer(blob, "<u4", n, 2 * n), np.frombuffer(blob, "<u2", n, 6 * n)
 
 
 def _short(anchor: np.ndarray) -> np.ndarray:
@@ -197,32 +202,21 @@ def anchors_of(kind: Kind) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarra
 
 
 def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, blocks: int, buckets: int) -> DataFrame:
-    """Rows (block, anchors): the keys (their upper 48 bits) of the block that at least two documents have, and of how many (255: or more).
+    """Rows (block, anchors): the keys (their upper 48 bits) of the block that at least two documents have, and of how many (MOST: or more).
 
-    Documents are counted by task and block, so a key has a row for each task and block at most.
+    Documents are counted in parts of a task, by block, so a hot key has few rows.
     """
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(F.pmod(F.xxhash64(df[id_col].cast("long"), text), F.lit(blocks)).cast("int").alias("block"), text.alias("text"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, places = [], []
-        for batch in batches:
-            block = np.asarray(batch.column(0))
-            for a, b in chunks(batch, CHUNK):
-                key, doc = keys(*flat(batch.column(1)[a:b]))
-                key, doc = distinct_keys(_short(key), doc)
-                found.append(key)
-                places.append(block[a:b][doc].astype(np.int32))
-        if not found:
-            return
+    def rows(found: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, place = np.concatenate(found), np.concatenate(places)
-        del found, places
         order = np.lexsort((key, place))
         key, place = key[order], place[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
         begin = np.flatnonzero(new)
-        count = np.minimum(np.diff(np.append(begin, len(key))), 255)
+        count = np.minimum(np.diff(np.append(begin, len(key))), MOST)
         key, place = key[begin], place[begin]
         part = place.astype(np.int64) * buckets + _bucket(key << np.uint64(16), buckets)
         edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
@@ -237,6 +231,22 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
                 ["bucket", "block", "anchors"],
             )
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, places, held = [], [], 0
+        for batch in batches:
+            block = np.asarray(batch.column(0))
+            for a, b in chunks(batch, CHUNK):
+                key, doc = keys(*flat(batch.column(1)[a:b]))
+                key, doc = distinct_keys(_short(key), doc)
+                found.append(key)
+                places.append(block[a:b][doc].astype(np.int32))
+                held += len(key)
+                if held >= HELD_KEYS:
+                    yield from rows(found, places)
+                    found, places, held = [], [], 0
+        if found:
+            yield from rows(found, places)
+
     def common(group: pa.Table) -> pa.Table:
         rows = [_keys_in(x) for x in group.column("anchors").to_pylist()]
         block = np.repeat(np.asarray(group.column("block")), [len(x[0]) for x in rows])
@@ -246,7 +256,7 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
         begin = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
         total = np.repeat(np.add.reduceat(count, begin), np.diff(np.append(begin, len(key))))
         keep = total >= 2
-        key, block, total = key[keep], block[keep], np.minimum(total[keep], 255)
+        key, block, total = key[keep], block[keep], np.minimum(total[keep], MOST)
         order = np.lexsort((key, block))
         key, block, total = key[order], block[order], total[order]
         once = np.ones(len(key), bool)
@@ -265,6 +275,8 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
     return sent.groupBy("bucket").applyInArrow(common, "block int, anchors binary")
 
 
+#: What stands for a window of a hot anchor; any other segment is longer.
+HASH_BYTES = 8
 #: Of each segment: key, document, row in the block, first window, windows, bytes.
 _FIELDS = (("key", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("size", "<u4"), ("bytes", "<u4"))
 
@@ -289,17 +301,25 @@ def _segments_of(table: pa.Table, reply: pa.Table, kind: Kind, buckets: int) ->
                 at = np.minimum(np.searchsorted(shared, _short(anchor)), len(shared) - 1)
                 hit = shared[at] == _short(anchor)
                 anchor, pos, size, doc, own = anchor[hit], pos[hit], size[hit], doc[hit], hot[at[hit]]
-                # a hot anchor's windows go their own ways
+                # a hot anchor's windows go their own ways, as two hashes each
                 single = ragged(pos[own], size[own])
+                half = single + kind.window // 2
+                second = mixed(hashes.of(single, half)) ^ hashes.of(half, single + kind.window)
                 key = np.concatenate([anchor[~own], hashes.of(single, single + kind.window)])
                 doc = np.concatenate([doc[~own], np.repeat(doc[own], size[own])])
                 pos, size = np.concatenate([pos[~own], single]), np.concatenate([size[~own], np.ones(len(single), np.int64)])
                 last = pos + size + kind.window - 1
                 name = mixed(hashes.of(pos, last) ^ mixed(key))
-                begin, end = found.begin(pos), found.begin(last)
-                parts.append((key, name, doc + first, pos - found.at[doc], size, begin + base, end - begin))
-            kept.append(found.data)
-            base += len(found.data)
+                begin = found.begin(pos).copy()
+                length = found.begin(last) - begin
+                if len(single):
+                    begin[-len(single) :] = len(found.data) + HASH_BYTES * np.arange(len(single))
+                    length[-len(single) :] = HASH_BYTES
+                parts.append((key, name, doc + first, pos - found.at[doc], size, begin + base, length))
+                kept.append(np.concatenate([found.data, second.view(np.uint8)]))
+            else:
+                kept.append(found.data)
+            base += len(kept[-1])
         if parts:
             key, name, row, pos, size, begin, length = (np.concatenate(x) for x in zip(*parts, strict=True))
             data = np.concatenate(kept)
@@ -388,7 +408,7 @@ def _compared(group: pa.Table, kind: Kind) -> pa.Table:
         marks = [(block[known], row[known], pos[known], pos[known] + size[known] + kind.window - 1)]
         # anchors with several different segments
         anchor = (np.cumsum(new_key) - 1)[head]
-        several = np.bincount(anchor)[anchor] > 1
+        several = (np.bincount(anchor)[anchor] > 1) & (length[head] > HASH_BYTES)
         chosen = np.flatnonzero(several)
         # the members of each segment with the least id, for which the windows must be compared
         open_ = np.flatnonzero(~known & several[segment])
