@@ -57,6 +57,8 @@ def _selected(df: DataFrame, columns: list[str] | None) -> list[Field]:
 
 
 def _counted_pairs(df: DataFrame, chosen: list[Field], value: str, expr) -> DataFrame:
+    if not chosen:
+        return df.sparkSession.createDataFrame([], f"column_name string, {value} string, n bigint")
     pairs = q.rows([q.struct(column_name=q.text(f.dotted), **{value: expr(f)}) for f in chosen])
     return df.selectExpr(pairs).groupBy("column_name", value).agg(F.count(F.lit(1)).alias("n"))
 

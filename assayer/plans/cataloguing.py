@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import schemas
 from assayer.functions import cost, display, naming
-from assayer.operators import catalog, classify, frequencies, lineage, quality, report, selection
+from assayer.operators import catalog, classify, collection, frequencies, lineage, quality, report, selection
 from assayer.operators.profile import profile_tables
 from assayer.operators.usage import cache_ttl, volatility
 from assayer.plans import data, profiling
 from assayer.session import cut_lineage, scratch_path
 from assayer.sources import documents as docs_io
-from assayer.sources.tables import columns_frame, file_facts, table_metadata, union_all
+from assayer.sources.tables import Asset, columns_frame, file_facts, table_metadata, union_all
 
 DOCS = data.DOCUMENT_ASSETS_SQL
 RUN = "2024-02-01 00:00:00"
@@ -584,6 +584,22 @@ def asset_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.reports(catalog_with_reports(spark, sf)[1])
 
 
+def collection_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over the estate and a table that is not there: one outcome each, with what was stored of it."""
+    assets = [*data.assets(sf), Asset(data.PROJECT, "web", "gone", path=f"{sf}/gone.parquet")]
+    done = collection.collect(spark, assets, scratch_path(spark, "collection"), RUN, _table_edges(spark))
+    stored = done.read(spark, "facts").select("table_ref", "row_count")
+    profiled = done.read(spark, "profile").groupBy(F.col("table_id").alias("table_ref")).agg(F.count(F.lit(1)).alias("n_columns"))
+    found = done.read(spark, "outcomes").join(stored, "table_ref", "left").join(profiled, "table_ref", "left")
+    return found.select("dataset_id", "table_id", "outcome", "row_count", "n_columns")
+
+
+COLLECTION_RUN_SQL = profiling._union_sql([
+    f"SELECT '{d}' AS dataset_id, '{t}' AS table_id, 'formatted' AS outcome, count(*) AS row_count, CAST({len(profiling.ALL_COLUMNS[t])} AS BIGINT) AS n_columns FROM {t}"
+    for d, names in data.DATASETS.items() for t in names
+]) + " UNION ALL SELECT 'web', 'gone', 'error', NULL, NULL"
+
+
 def _document_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Document assets in the catalog schema, without profiles."""
     docs = data.document_assets(spark, sf).withColumn(
@@ -865,6 +881,7 @@ QUERIES = {
     "view_dependencies": (view_dependencies, VIEW_DEPENDENCIES_SQL),
     "view_dependencies_substring": (view_dependencies_substring, VIEW_SUBSTRING_SQL),
     "lineage_neighbours": (lineage_neighbours, LINEAGE_NEIGHBOURS_SQL),
+    "collection_run": (collection_run, COLLECTION_RUN_SQL),
     "clean_edges": (clean_edges, CLEAN_EDGES_SQL),
     "reference_edges": (reference_edges, REFERENCE_EDGES_SQL),
     "lineage_downstream": (lineage_downstream, LINEAGE_DOWNSTREAM_SQL),

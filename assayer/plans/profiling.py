@@ -16,22 +16,7 @@ from assayer.sources.tables import columns_frame, file_facts, sample_rows, sampl
 
 NO_DISTINCT = ProfileOptions(cardinality=False, quartiles=False)
 
-# Column names and kinds per table, for the generated SQL below.
-NUMERIC = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
-    "documents": ["doc_id", "n_chars"],
-}
-STRINGS = {
-    "lineitem": ["l_returnflag", "l_linestatus"],
-    "orders": ["o_orderstatus", "o_orderpriority"],
-    "customer": ["c_name", "c_mktsegment"],
-    "documents": ["text", "lang", "source"],
-}
-OTHER = {"lineitem": ["l_shipdate"], "orders": ["o_orderdate"], "customer": [], "documents": []}
-PROFILED = list(NUMERIC)
-
+# Column names per table, for the generated SQL below.
 ALL_COLUMNS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
@@ -39,7 +24,7 @@ ALL_COLUMNS = {
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "lineitem": NUMERIC["lineitem"] + STRINGS["lineitem"] + OTHER["lineitem"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "pages": ["page_id", "url", "html"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
@@ -48,6 +33,13 @@ ALL_COLUMNS = {
     "conversations": ["conv_id", "turn", "role", "text"],
     "embeddings": ["vec_id", "embedding", "label"],
 }
+# Kinds: doubles, columns that are neither numbers nor text, and whole numbers; what is left is text.
+DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+OTHERS = {"l_shipdate", "o_orderdate", "ts", "embedding"}
+INTEGERS = {c for columns in ALL_COLUMNS.values() for c in columns if c.endswith(("key", "_id", "number", "size", "chars"))} | {"quality", "toxic", "turn", "label"}
+NUMERIC = {t: [c for c in columns if c in DOUBLES | INTEGERS] for t, columns in ALL_COLUMNS.items()}
+STRINGS = {t: [c for c in columns if c not in DOUBLES | INTEGERS | OTHERS] for t, columns in ALL_COLUMNS.items()}
+PROFILED = list(ALL_COLUMNS)
 
 
 def _union_sql(parts: list[str]) -> str:
@@ -124,14 +116,7 @@ def profile_approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_id", "column_name", "total_rows", "distinct_count", "distinct_percentage")
 
 
-DISTINCT_COLUMNS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "embeddings": ["vec_id", "embedding", "label"],
-    "pages": ["page_id", "url", "html"],
-    "conversations": ["conv_id", "turn", "role", "text"],
-}
+DISTINCT_COLUMNS = ALL_COLUMNS
 
 
 def profile_exact_distinct(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,11 +193,7 @@ def first_numeric_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_id", "column_name", "rank", "min", "max")
 
 
-NUMBERS = {
-    t: [c for c in columns if c.endswith(("key", "_id", "number", "quantity", "price", "discount", "tax", "acctbal", "size", "chars"))
-        or c in ("value", "quality", "toxic", "turn", "label")]
-    for t, columns in ALL_COLUMNS.items()
-}
+NUMBERS = NUMERIC
 FIRST_NUMERIC_SQL = _union_sql([
     f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST({i} AS BIGINT) AS rank, CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max FROM {t}"
     for t, columns in NUMBERS.items() for i, c in enumerate(columns, 1)
@@ -312,12 +293,8 @@ def table_files(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- values -------------------------------------------------------------------------------------
 
-VALUE_COLUMNS = {
-    "orders": ["o_custkey", "o_orderstatus", "o_orderpriority"],
-    "part": ["p_name", "p_brand", "p_type", "p_size"],
-    "events": ["user_id", "event_type", "props"],
-    "documents": ["lang", "source", "text"],
-}
+# All columns whose text is the same in any engine: doubles and times are left to the profile queries.
+VALUE_COLUMNS = {t: [c for c in columns if c not in DOUBLES | OTHERS] for t, columns in ALL_COLUMNS.items()}
 
 
 def _pairs_sql(wanted: dict[str, list[str]], expr: str = "CAST({c} AS VARCHAR)") -> str:
@@ -345,7 +322,8 @@ TOP_VALUES_SQL = f"""
     FROM r JOIN t USING (table_id, column_name) WHERE rank <= 10
 """
 
-SAMPLE_COLUMNS = {"lineitem": ["l_quantity", "l_shipdate", "l_returnflag"], "orders": ["o_orderkey", "o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand"], "documents": ["lang", "text"], "pages": ["url"]}
+# Every column but the embeddings: an array's smallest values have no common text.
+SAMPLE_COLUMNS = {t: [c for c in columns if c not in ("embedding", "ts")] for t, columns in ALL_COLUMNS.items()}
 
 
 def sample_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,10 +341,7 @@ def top_values_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return _per_table(spark, sf, VALUE_COLUMNS, frequencies.top_values_sketch)
 
 
-PATTERN_COLUMNS = {
-    "customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
-    "events": ["event_type", "props"], "pages": ["url"],
-}
+PATTERN_COLUMNS = {t: columns for t, columns in STRINGS.items() if columns}
 
 
 def string_patterns(spark: SparkSession, sf: str) -> DataFrame:
