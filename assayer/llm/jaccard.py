@@ -79,7 +79,7 @@ def _described(table: pa.Table, reply: pa.Table) -> pa.Table:
     if table.num_rows:
         table = _sorted_rows(table)
         ids = np.asarray(table.column("doc_id").fill_null(NO_ID)).astype(np.int64)
-        pairs = [_keys_in(x) for x in reply.column("anchors").to_pylist()] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+        pairs = [_keys_in(x) for x in reply.column("anchors").to_pylist()] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
         shared, times = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
         order = np.argsort(shared)
         shared, times = shared[order], times[order]

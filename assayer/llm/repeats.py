@@ -137,6 +137,18 @@ def _keys_in(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return upper | np.frombuffer(blob, "<u4", n, 2 * n), np.frombuffer(blob, "<u2", n, 6 * n)
 
 
+def _runs_out(blocks: np.ndarray) -> bytes:
+    """Sorted numbers as runs: how many runs, their numbers, their lengths."""
+    head = np.flatnonzero(np.diff(blocks, prepend=-1))
+    return len(head).to_bytes(8, "little") + blocks[head].astype("<u4").tobytes() + np.diff(np.append(head, len(blocks))).astype("<u4").tobytes()
+
+
+def _runs_in(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The numbers, and what follows them."""
+    n = int.from_bytes(blob[:8], "little")
+    return np.repeat(np.frombuffer(blob, "<u4", n, 8).astype(np.int32), np.frombuffer(blob, "<u4", n, 8 + 4 * n)), blob[8 + 8 * n :]
+
+
 def _short(anchor: np.ndarray) -> np.ndarray:
     return anchor >> np.uint64(16)
 
@@ -204,7 +216,7 @@ def anchors_of(kind: Kind) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarra
 def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, blocks: int, buckets: int) -> DataFrame:
     """Rows (block, anchors): the keys (their upper 48 bits) of the block that at least two documents have, and of how many (MOST: or more).
 
-    Documents are counted in parts of a task, by block, so a hot key has few rows.
+    Documents are counted in parts of a task, by block, so a hot key is sent a few times for each block; a part sends one row for each bucket.
     """
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(F.pmod(F.xxhash64(df[id_col].cast("long"), text), F.lit(blocks)).cast("int").alias("block"), text.alias("text"))
@@ -218,18 +230,13 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
         begin = np.flatnonzero(new)
         count = np.minimum(np.diff(np.append(begin, len(key))), MOST)
         key, place = key[begin], place[begin]
-        part = place.astype(np.int64) * buckets + _bucket(key << np.uint64(16), buckets)
-        edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-        for a in range(0, len(edges) - 1, 4096):
-            some = [(x, y) for x, y in zip(edges[a : a + 4096], edges[a + 1 : a + 4097], strict=False)]
-            yield pa.record_batch(
-                [
-                    pa.array([int(part[x] % buckets) for x, _ in some], pa.int32()),
-                    pa.array([int(place[x]) for x, _ in some], pa.int32()),
-                    pa.array([_keys_out(key[x:y], count[x:y]) for x, y in some], pa.binary()),
-                ],
-                ["bucket", "block", "anchors"],
-            )
+        bucket = _bucket(key << np.uint64(16), buckets)
+        order = np.argsort(bucket, kind="stable")
+        key, place, count, bucket = key[order], place[order], count[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+        some = list(zip(edges, edges[1:], strict=False))
+        blobs = [_runs_out(place[x:y]) + _keys_out(key[x:y], count[x:y]) for x, y in some]
+        yield pa.record_batch([pa.array([int(bucket[x]) for x, _ in some], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "anchors"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, places, held = [], [], 0
@@ -248,9 +255,11 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
             yield from rows(found, places)
 
     def common(group: pa.Table) -> pa.Table:
-        rows = [_keys_in(x) for x in group.column("anchors").to_pylist()]
-        block = np.repeat(np.asarray(group.column("block")), [len(x[0]) for x in rows])
+        runs = [_runs_in(x) for x in group.column("anchors").to_pylist()]
+        rows = [_keys_in(rest) for _, rest in runs]
+        block = np.concatenate([x[0] for x in runs])
         key, count = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows]).astype(np.int64)
+        del runs, rows
         order = np.argsort(key, kind="stable")
         key, block, count = key[order], block[order], count[order]
         begin = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
@@ -271,7 +280,7 @@ def shared_keys(df: DataFrame, id_col: str, text_col: str, keys: Callable, block
             }
         )
 
-    sent = docs.mapInArrow(send, "bucket int, block int, anchors binary")
+    sent = docs.mapInArrow(send, "bucket int, anchors binary")
     return sent.groupBy("bucket").applyInArrow(common, "block int, anchors binary")
 
 
