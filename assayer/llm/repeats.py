@@ -463,8 +463,13 @@ def _slices(sizes: np.ndarray, most: int, group: np.ndarray | None = None) -> It
         a = b
 
 
-def without_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``n_removed``, ``n_spans``, ``kept`` (bytes of what stays) and the carried columns of every row."""
+def without_repeats(
+    df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, counted: str = "n_tokens", kept: str = "binary"
+) -> DataFrame:
+    """``doc_id``, the number of tokens (named ``counted``), ``n_removed``, ``n_spans``, ``kept`` (what stays, as this type) and the carried columns of every row.
+
+    Carried columns may have any names, also these.
+    """
     carry = list(carry or [])
     total = df.agg(F.sum(F.octet_length(df[text_col].cast("string")))).first()[0] or 0
     blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
@@ -477,7 +482,7 @@ def without_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col:
     carried = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
     schema = "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary" + (f", {carried}" if carry else "")
     out = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda table, found: _cut(table, found, kind, len(carry)), schema)
-    return out.select("doc_id", "n_tokens", "n_removed", "n_spans", "kept", *(out[f"c{i}"].alias(c) for i, c in enumerate(carry)))
+    return out.select("doc_id", F.col("n_tokens").alias(counted), "n_removed", "n_spans", F.col("kept").cast(kept).alias("kept"), *(out[f"c{i}"].alias(c) for i, c in enumerate(carry)))
 
 
 def _cut(table: pa.Table, found: pa.Table, kind: Kind, carried: int) -> pa.Table:

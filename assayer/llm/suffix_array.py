@@ -140,4 +140,4 @@ def byte_windows(window: int = 50) -> Kind:
 
 def deduplicated(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) and the carried columns."""
-    return without_repeats(df, byte_windows(window), id_col, text_col, carry).withColumnRenamed("n_tokens", "n_bytes")
+    return without_repeats(df, byte_windows(window), id_col, text_col, carry, "n_bytes")

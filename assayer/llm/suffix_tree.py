@@ -92,5 +92,4 @@ def word_windows(window: int = 13) -> Kind:
 
 def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``n_spans``, ``kept`` (the remaining words joined by one space) and the carried columns."""
-    out = without_repeats(df, word_windows(window), id_col, text_col, carry)
-    return out.withColumnRenamed("n_tokens", "n_words").withColumn("kept", out["kept"].cast("string"))
+    return without_repeats(df, word_windows(window), id_col, text_col, carry, "n_words", "string")
