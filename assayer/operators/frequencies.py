@@ -81,10 +81,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most common values of every column, with their share of all rows."""
-    counted = value_frequencies(df, columns)
-    totals = counted.groupBy("column_name").agg(F.sum("n").alias("total_rows"))
-    ranked = _top(counted.filter("value IS NOT NULL"), k, F.desc("n"), "value")
-    return ranked.join(totals, "column_name").select(
+    counted = value_frequencies(df, columns).filter("value IS NOT NULL")
+    ranked = _top(counted, k, F.desc("n"), "value")
+    rows = df.agg(F.count(F.lit(1))).scalar()  # from file footers; the values are scanned once
+    return ranked.withColumn("total_rows", rows).select(
         "column_name", "rank", _shown(_selected(df, columns)).alias("value"), F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
     )
 

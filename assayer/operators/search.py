@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 import re
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions.display import snippet
 from assayer.functions.fixed import BOOSTS, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
@@ -140,6 +141,25 @@ def index_statistics(documents: DataFrame, text: str) -> DataFrame:
     return documents.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.regexp_count(text, F.lit(_WORD))).alias("avg_len"))
 
 
+def _term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
+
+
+def write_index(documents: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+    """Postings in folders by a hash of the term, and the corpus figures: a query opens the folders of its words only."""
+    postings = build_index(documents, key, text).withColumn("bucket", _term_bucket(F.col("term"), buckets))
+    # a hot word's postings are spread over several tasks and files
+    postings.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/postings")
+    index_statistics(documents, text).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/statistics")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, key: str, buckets: int = 64) -> DataFrame:
+    """The scores of :func:`bm25` from a written index (with the number of buckets it was written with)."""
+    words = sorted({zlib.crc32(t.encode()) % buckets for t in query_terms(query)})
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(words))
+    return search_index(postings.drop("bucket"), spark.read.parquet(f"{path}/statistics"), query, key)
+
+
 def search_index(postings: DataFrame, statistics: DataFrame, query: str, key: str) -> DataFrame:
     """The same scores as :func:`bm25`, from stored postings: only the query's terms are read."""
     hits = postings.filter(F.col("term").isin(query_terms(query)))

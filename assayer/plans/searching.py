@@ -8,6 +8,7 @@ from assayer.functions import display
 from assayer.operators import catalog, report, requests, search
 from assayer.operators.search import B, K1, SearchRequest
 from assayer.plans import data
+from assayer.session import scratch_path
 from assayer.operators.quality import completeness
 from assayer.operators.usage import usage
 
@@ -50,9 +51,10 @@ BM25_SQL = f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql('SELECT *
 
 
 def bm25_index_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The same search over postings."""
-    docs = data.table(spark, sf, "documents")
-    hits = search.search_index(search.build_index(docs, "doc_id", "text"), search.index_statistics(docs, "text"), QUERY, "doc_id")
+    """The same search over a written index, of which it opens the query's folders only."""
+    path = scratch_path(spark, "index")
+    search.write_index(data.table(spark, sf, "documents"), "doc_id", "text", path)
+    hits = search.search_stored(spark, path, QUERY, "doc_id")
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 

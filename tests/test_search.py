@@ -41,10 +41,16 @@ def test_bm25(texts, query):
     assert {r.id: round(r.score, 9) for r in search.bm25(texts, query, "id", "text").collect()} == brute_bm25(query)
 
 
-def test_index_gives_the_same_scores(texts):
+def test_index_gives_the_same_scores(spark, texts, tmp_path):
     stats, index = search.index_statistics(texts, "text"), search.build_index(texts, "id", "text")
     direct = {r.id: round(r.score, 9) for r in search.bm25(texts, "big orders of", "id", "text").collect()}
     assert {r.id: round(r.score, 9) for r in search.search_index(index, stats, "big orders of", "id").collect()} == direct
+    path = str(tmp_path / "index")
+    search.write_index(texts, "id", "text", path, 16)
+    stored = search.search_stored(spark, path, "big orders of", "id", 16)
+    assert {r.id: round(r.score, 9) for r in stored.collect()} == direct
+    plan = stored._jdf.queryExecution().optimizedPlan().toString() + stored._jdf.queryExecution().sparkPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan.split("term")[0]
 
 
 def test_empty_query_keeps_all(texts):
