@@ -191,7 +191,7 @@ def compare_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for rows, p, guest in ((None, part, False), (guests, own, True)):
                 some = pa.array(range(batch.num_rows) if rows is None else rows, pa.int64())
                 yield pa.record_batch(
-                    [pa.array(p, pa.int32()), pa.array([guest] * len(some)), batch.column(0).take(some), text.take(some)], ["part", "guest", "doc_id", "text"]
+                    [pa.array(p, pa.int32()), pa.array([guest] * len(some), pa.bool_()), batch.column(0).take(some), text.take(some)], ["part", "guest", "doc_id", "text"]
                 )
 
     def run(group: pa.Table) -> pa.Table:
