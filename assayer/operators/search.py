@@ -14,6 +14,7 @@ from assayer.functions.display import snippet
 from assayer.functions.fixed import BOOSTS, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
 from assayer.functions.naming import report_path, run_id
 from assayer.operators.ranking import top_ranked
+from assayer.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -325,26 +326,107 @@ def similar(
 
 # --- many requests at once --------------------------------------------------------------------
 
+# Levels of halved ranges: enough for 2 ** 24 different numbers among all requests.
+_LEVELS = 25
 
-def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str]) -> DataFrame:
+
+def _below(numbers: Column, value: Column) -> Column:
+    """How many of the sorted numbers are smaller than the value."""
+    steps = F.array(*[F.lit(1 << k) for k in range(_LEVELS - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(numbers, low + step - 1) < value, low + step).otherwise(low))
+
+
+def _place(numbers: Column, value: Column) -> Column:
+    """A value's place among the requests' numbers: odd on a number, even between two; null for null."""
+    low = _below(numbers, value)
+    return F.when(value.isNotNull(), low * 2 + F.coalesce((F.get(numbers, low) == value).cast("int"), F.lit(0)))
+
+
+def _halved(first: Column, last: Column) -> Column:
+    """The few (level, node) whose places make up first..last; place p lies in node p >> level of each level."""
+    start = F.struct(
+        first.cast("int").alias("a"), (last + 1).cast("int").alias("b"),
+        F.array().cast("array<struct<level:int,node:int>>").alias("nodes"),
+    )
+
+    def node(level: Column, x: Column, wanted: Column) -> Column:
+        one = F.array(F.struct(level.cast("int").alias("level"), x.cast("int").alias("node")))
+        return F.when(wanted, one).otherwise(F.array().cast("array<struct<level:int,node:int>>"))
+
+    def step(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        nodes = F.concat(state["nodes"], node(level, a, left), node(level, b - 1, right))
+        return F.struct(
+            F.floor((a + left.cast("int")) / 2).cast("int").alias("a"), F.floor((b - right.cast("int")) / 2).cast("int").alias("b"), nodes.alias("nodes")
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS + 1)), start, step, lambda state: state["nodes"])
+
+
+def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numbers: list[str] = []) -> DataFrame:
     """How many assets (and rows) each request's filters select, for a whole table of requests.
 
-    A null filter means any value, so each request is one cell of the catalog's cube over the filter fields.
-    Requests are made distinct per cell and joined by equality: no request meets every asset.
+    A null filter means any value. ``names`` are compared for equality; of ``numbers`` a request has ``<name>_op`` and
+    ``<name>_value``. The catalog is counted once by its names and by where its numbers lie among the numbers that requests
+    name. Which filters occur together is known from the requests, so a count is kept for each such choice, and requests meet
+    counts by equality: of their names, or, for requests with bounds alone, of the halved ranges that make up the first bound.
     """
-    cells = catalog.cube(*names).agg(
-        F.grouping_id().alias("_free"), F.count(F.lit(1)).alias("matches"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("matched_rows")
-    ).select(*[F.col(n).alias(f"_{n}") for n in names], "_free", "matches", "matched_rows")
-    free = reduce(
-        lambda a, b: a + b,
-        [F.when(F.col(n).isNull(), F.lit(1 << (len(names) - 1 - i))).otherwise(0) for i, n in enumerate(names)],
-    ).cast("bigint")
-    wanted = requests.select(*names).distinct().withColumn("_free", free)
-    condition = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
-    counted = wanted.join(cells.withColumnRenamed("_free", "_cell"), condition & (F.col("_free") == F.col("_cell")), "left").select(
-        *[F.col(n).alias(f"_{n}") for n in names],
-        F.coalesce("matches", F.lit(0).cast("bigint")).alias("matches"),
-        F.coalesce("matched_rows", F.lit(0).cast("bigint")).alias("matched_rows"),
+    conditions = [*names, *[f"{n}_{x}" for n in numbers for x in ("op", "value")]]
+    requests = cut_lineage(requests)  # parsed once: the plan below reads the conditions in several places
+    distinct = requests.select(*conditions).distinct()
+    filters = [F.col(n).isNotNull() for n in names] + [F.col(f"{n}_op").isNotNull() & F.col(f"{n}_value").isNotNull() for n in numbers]
+    mask = reduce(lambda a, b: a + b, [F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(filters)], F.lit(0))
+    asked = distinct.withColumn("_mask", mask)
+    masks = [r[0] for r in asked.select("_mask").distinct().collect()]  # at most 2 ** filters, whatever the number of requests
+    lists = {n: distinct.agg(F.sort_array(F.collect_set(f"{n}_value"))).scalar() for n in numbers}
+
+    def has(i: int) -> Column:
+        return F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0
+
+    def key(names_: list[str]) -> Column:
+        return F.to_json(F.struct("_mask", *[F.when(has(i), F.col(n).cast("string")).alias(f"f{i}") for i, n in enumerate(names_)]))
+
+    named = F.col("_mask").bitwiseAND(F.lit((1 << len(names)) - 1)) > 0
+    alone = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("node")))
+
+    def nodes(of_number) -> Column:
+        """Where a row meets others: in its key alone, or in the ranges of the first bound if it has no name."""
+        choice = alone
+        for i in reversed(range(len(numbers))):
+            choice = F.when(has(len(names) + i), of_number(numbers[i])).otherwise(choice)
+        return F.when(named, alone).otherwise(choice)
+
+    listed = {n: F.col(f"_t_{n}") for n in numbers}
+    with_lists = catalog.withColumns({f"_t_{n}": lists[n] for n in numbers}) if numbers else catalog
+    placed = with_lists.select(*names, F.col("row_count").alias("_rows"), *[_place(listed[n], F.col(n).cast("double")).alias(f"_p_{n}") for n in numbers])
+    places = [f"_p_{n}" for n in numbers]
+    cells = placed.groupBy(*names, *places).agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_r"))
+    cells = cells.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>")))
+    kept = [F.when(has(len(names) + i), F.col(f"_p_{n}")).alias(f"_p_{n}") for i, n in enumerate(numbers)]
+    cells = cells.select(key(names).alias("_key"), "_mask", *kept, "_n", "_r").groupBy("_key", "_mask", *places).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+    up = lambda n: F.transform(F.sequence(F.lit(0), F.lit(_LEVELS + 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col(f"_p_{n}") / F.pow(F.lit(2.0), k)).cast("int").alias("node")))
+    cells = cells.select("_key", *places, "_n", "_r", F.inline(nodes(up)))
+
+    wanted = asked.select("*", key(names).alias("_key"), *[lists[n].alias(f"_t_{n}") for n in numbers])
+    for n in numbers:
+        on, top = _place(listed[n], F.col(f"{n}_value")), F.size(listed[n]) * 2
+        op = F.col(f"{n}_op")
+        wanted = wanted.withColumns({
+            f"_a_{n}": F.when(op == ">", on + 1).when(op.isin(">=", "="), on).otherwise(F.lit(0)),
+            f"_b_{n}": F.when(op == "<", on - 1).when(op.isin("<=", "="), on).otherwise(top),
+        })
+    bounds = [f"_{x}_{n}" for n in numbers for x in "ab"]
+    wanted = wanted.select(*conditions, "_mask", "_key", *bounds, F.inline(nodes(lambda n: _halved(F.col(f"_a_{n}"), F.col(f"_b_{n}")))))
+    inside = reduce(
+        lambda a, b: a & b,
+        [~has(len(names) + i) | F.col(f"_p_{n}").between(F.col(f"_a_{n}"), F.col(f"_b_{n}")) for i, n in enumerate(numbers)], F.lit(True),
+    )
+    met = wanted.join(cells, ["_key", "level", "node"]).filter(inside)
+    counted = met.groupBy(*conditions).agg(F.sum("_n").alias("matches"), F.sum("_r").alias("matched_rows"))
+    counted = counted.withColumnsRenamed({c: f"_{c}" for c in conditions})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in conditions])
+    zero = F.lit(0).cast("bigint")
+    return requests.join(counted, same, "left").select(
+        *requests.columns, F.coalesce("matches", zero).alias("matches"), F.coalesce("matched_rows", zero).alias("matched_rows")
     )
-    back = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
-    return requests.join(counted, back).drop(*[f"_{n}" for n in names])

@@ -361,16 +361,20 @@ INSPECT_SQL = f"""
 # Request texts are made from every turn: its words around the filters a user might type.
 _ROLE_FILTER = {
     "user": "find project: {0} tables in dataset=src{1} with PII data, size > {2}GB",
-    "assistant": "Expensive tables cost >= ${2} env:prod rows<{2} owner=team_{1}",
-    "system": "dataset with PHI {1} philadelphia project status, bytes <= {2}KB records = {2}",
+    "assistant": "Expensive tables cost >= ${2} env:prod rows<{2}000 owner=team_{0}",
+    "system": "dataset with PHI {1} philadelphia project status, bytes <= {2}0000KB records > {2}",
 }
 
 
+_LANGUAGES = ["en", "de", "fr", "es"]
+
+
 def request_texts(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for template in _ROLE_FILTER.values():
-        pieces = template.replace("{0}", "\x00conv\x00").replace("{1}", "\x00turn\x00").replace("{2}", "\x00conv\x00").split("\x00")
-        fields = {"conv": F.col("conv_id").cast("string"), "turn": F.col("turn").cast("string")}
+        pieces = template.replace("{0}", "\x00lang\x00").replace("{1}", "\x00turn\x00").replace("{2}", "\x00conv\x00").split("\x00")
+        lang = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("conv_id") % 4 + 1).cast("int"))
+        fields = {"conv": F.col("conv_id").cast("string"), "turn": F.col("turn").cast("string"), "lang": lang}
         parts.append(F.concat(*[fields.get(p, F.lit(p)) for p in pieces if p]))
     text = F.when(F.col("role") == "user", parts[0]).when(F.col("role") == "assistant", parts[1]).otherwise(parts[2])
     return data.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", text, F.col("text")).alias("request"))
@@ -378,7 +382,7 @@ def request_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _request_sql() -> str:
     def template(t: str) -> str:
-        return "'" + t.replace("{0}", "' || conv_id || '").replace("{1}", "' || turn || '").replace("{2}", "' || conv_id || '") + "'"
+        return "'" + t.replace("{0}", f"' || ({_LANGUAGES})[1 + conv_id % 4] || '").replace("{1}", "' || turn || '").replace("{2}", "' || conv_id || '") + "'"
 
     user, assistant, system = (template(t) for t in _ROLE_FILTER.values())
     return (f"SELECT conv_id, turn, CASE role WHEN 'user' THEN {user} WHEN 'assistant' THEN {assistant} ELSE {system} END || ' ' || text AS request FROM conversations")
@@ -430,24 +434,24 @@ def _parse_sql(patterns: dict[str, str], bound: str) -> str:
 PARSE_STRICT_SQL = _parse_sql(requests.STRICT, "\\b")
 PARSE_LOOSE_SQL = _parse_sql(requests.LOOSE, "")
 
-_MATCH_FIELDS = ["project_id", "dataset_id", "has_phi", "environment"]
+_MATCH_FIELDS = ["project_id", "dataset_id", "has_pii", "has_phi", "environment", "team"]
 
 
 def request_match_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """How many assets each parsed request selects by its structured filters."""
-    parsed = requests.parse(request_texts(spark, sf), "request").withColumn(
-        "project_id", F.when(F.col("turn") < 2, F.lit("en"))  # the languages are the projects of the document assets
-    )
-    counted = search.match_counts(parsed, data.document_assets(spark, sf), _MATCH_FIELDS)
+    """How many assets each parsed request selects, by all its names and bounds."""
+    parsed = requests.parse(request_texts(spark, sf), "request")
+    counted = search.match_counts(parsed, data.document_assets(spark, sf), _MATCH_FIELDS, _NUMBERS)
     return counted.select("conv_id", "turn", "matches", "matched_rows")
 
 
+_BOUND = "({q}_value IS NULL OR {q}_op IS NULL OR CASE {q}_op WHEN '>' THEN d.{n} > {q}_value WHEN '>=' THEN d.{n} >= {q}_value WHEN '<' THEN d.{n} < {q}_value WHEN '<=' THEN d.{n} <= {q}_value ELSE d.{n} = {q}_value END)"
 REQUEST_MATCHES_SQL = f"""
-    WITH q AS (SELECT * REPLACE (CASE WHEN turn < 2 THEN 'en' END AS project_id) FROM ({PARSE_STRICT_SQL})), d AS ({DOCS})
-    SELECT conv_id, turn, count(d.id) AS matches, CAST(coalesce(sum(d.row_count), 0) AS BIGINT) AS matched_rows
-    FROM q LEFT JOIN d ON (q.project_id IS NULL OR q.project_id = d.project_id) AND (q.dataset_id IS NULL OR q.dataset_id = d.dataset_id)
-      AND (q.has_phi IS NULL OR q.has_phi = d.has_phi) AND (q.environment IS NULL OR q.environment = d.environment)
-    GROUP BY conv_id, turn
+    WITH q AS ({PARSE_STRICT_SQL}), d AS ({DOCS}),
+    u AS (SELECT DISTINCT {', '.join(_MATCH_FIELDS)}, {', '.join(f'{n}_{x}' for n in _NUMBERS for x in ('op', 'value'))} FROM q),
+    c AS (SELECT u.*, count(d.id) AS matches, CAST(coalesce(sum(d.row_count), 0) AS BIGINT) AS matched_rows FROM u LEFT JOIN d ON
+      {' AND '.join(f'(u.{n} IS NULL OR u.{n} = d.{n})' for n in _MATCH_FIELDS)} AND {' AND '.join(_BOUND.format(q='u.' + n, n=n) for n in _NUMBERS)} GROUP BY ALL)
+    SELECT conv_id, turn, matches, matched_rows FROM q JOIN c ON
+      {' AND '.join(f'q.{n} IS NOT DISTINCT FROM c.{n}' for n in [*_MATCH_FIELDS, *[f'{n}_{x}' for n in _NUMBERS for x in ('op', 'value')]])}
 """
 
 QUERIES = {

@@ -149,6 +149,29 @@ def test_match_counts_against_brute_force(spark, assets):
     assert len(got) == 7
 
 
+def test_match_counts_with_bounds_against_brute_force(spark, assets):
+    import itertools
+    import random
+
+    random.seed(6)
+    ops = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
+    asked = []
+    for rid in range(120):
+        bound = lambda values: (random.choice(list(ops)), random.choice(values)) if random.random() < 0.6 else (None, None)
+        asked.append((rid, random.choice([None, "p", "q"]), random.choice([None, None, True]), *bound([0.0, 100.0, 150.0, 155.5, 290.0, 1e9]), *bound([-1.0, 3.0, 7.5, 30.0])))
+    frame = spark.createDataFrame(asked, "rid int, project_id string, has_pii boolean, row_count_op string, row_count_value double, monthly_cost_usd_op string, monthly_cost_usd_value double")
+    with_null = assets.withColumn("monthly_cost_usd", F.when(F.col("row_count") % 50 != 0, F.col("monthly_cost_usd")))
+    got = {r.rid: (r.matches, r.matched_rows) for r in search.match_counts(frame, with_null, ["project_id", "has_pii"], ["row_count", "monthly_cost_usd"]).collect()}
+    known = [r.asDict() for r in with_null.collect()]
+    for rid, project, pii, o1, v1, o2, v2 in asked:
+        hit = [
+            a for a in known if project in (None, a["project_id"]) and pii in (None, a["has_pii"]) and (o1 is None or ops[o1](a["row_count"], v1))
+            and (o2 is None or a["monthly_cost_usd"] is not None and ops[o2](a["monthly_cost_usd"], v2))
+        ]
+        assert got[rid] == (len(hit), sum(a["row_count"] for a in hit)), rid
+    assert len(got) == len(asked) and len(set(itertools.chain(got.values()))) > 10
+
+
 def parsed(spark, text, strict):
     df = requests.parse(spark.createDataFrame([(text,)], "q string"), "q", strict)
     return {k: v for k, v in df.first().asDict().items() if v is not None and k != "q"}
