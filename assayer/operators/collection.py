@@ -103,7 +103,7 @@ def collect(
 ) -> Collected:
     """Run over all assets and store below ``root``: profile, samples, patterns, columns, facts, files, outcomes, catalog, reports, documents, events.
 
-    ``edges`` (source, target, edge_type) is the lineage known between the assets.
+    ``edges`` (source, target, edge_type) is the lineage known between the assets; without it, tables are linked by the keys they share.
     """
     if opts.batch < 1:
         raise ValueError("a batch has at least one table")
@@ -125,9 +125,8 @@ def collect(
 
 
 def _assemble(spark: SparkSession, done: Collected, descriptions: dict[str, str], run_timestamp: str, edges: DataFrame | None, opts: CollectionOptions) -> None:
-    edges = edges if edges is not None else spark.createDataFrame([], lineage.EDGES)
-    edges = lineage.clean_edges(edges)
     profile, columns = done.read(spark, "profile"), done.read(spark, "columns")
+    edges = lineage.clean_edges(edges if edges is not None else lineage.key_edges(profile))
     kind = volatility(F.col("table_type"), F.lit(False), F.lit(None).cast("double"))
     given = spark.createDataFrame(list(descriptions.items()), "table_ref string, _given string")
     made = display.table_description(opts.system, F.col("table_id"), F.col("table_type"), F.col("row_count"), F.col("column_count"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from assayer import schemas
 from assayer.functions import cost, display, naming
 from assayer.operators import catalog, classify, collection, frequencies, lineage, quality, report, selection
-from assayer.operators.profile import profile_tables
+from assayer.operators.profile import ProfileOptions, profile_tables
 from assayer.operators.usage import cache_ttl, volatility
 from assayer.plans import data, profiling
 from assayer.session import cut_lineage, scratch_path
@@ -529,13 +529,22 @@ JOB_EVENTS_SQL = f"""
 # --- catalog rows and reports -------------------------------------------------------------------
 
 
-def _table_edges(spark: SparkSession) -> DataFrame:
-    """Which table feeds which, from the key references between them."""
-    pairs = [
-        ("sales.region", "sales.nation"), ("sales.nation", "sales.customer"), ("sales.nation", "sales.supplier"), ("sales.customer", "sales.orders"),
-        ("sales.orders", "sales.lineitem"), ("sales.part", "sales.lineitem"), ("sales.supplier", "sales.lineitem"), ("text.documents", "text.labels"),
-    ]
-    return spark.createDataFrame([(f"lake.{s}", f"lake.{t}", "reference") for s, t in pairs], lineage.EDGES)
+# Whole-number columns of the estate that are no measures, with the key they may be.
+_KEYS = [(t, c, c[2:] if c[1] == "_" else c) for t, columns in profiling.ALL_COLUMNS.items() for c in columns if c in profiling.INTEGERS | profiling.DOUBLES]
+
+
+def key_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Which table feeds which, from the keys they share."""
+    tables = {a.table_id: a.read(spark) for a in data.assets(sf)}
+    options = ProfileOptions(nulls=False, distribution=False, relative_error=0.01)
+    return lineage.key_edges(cut_lineage(profile_tables(tables, options)))  # the profile is read twice
+
+
+KEY_EDGES_SQL = f"""
+    WITH k AS ({profiling._union_sql([f"SELECT '{t}' AS table_id, '{k}' AS key, count(*) AS total_rows, count(DISTINCT {c}) / count(*) AS share FROM {t}" for t, c, k in _KEYS])}),
+         h AS (SELECT key, table_id AS source FROM k WHERE share >= 0.9 QUALIFY row_number() OVER (PARTITION BY key ORDER BY total_rows DESC, table_id) = 1)
+    SELECT DISTINCT source, table_id AS target, 'reference' AS edge_type FROM k JOIN h USING (key) WHERE table_id <> source
+"""
 
 
 def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -546,6 +555,7 @@ def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
     assets = {a.id: a for a in data.assets(sf)}
     tables = {i: a.read(spark) for i, a in assets.items()}
     profile = cut_lineage(profile_tables(tables))
+    edges = cut_lineage(lineage.key_edges(profile))
     samples = cut_lineage(union_all(frequencies.sample_values(df).select(F.lit(i).alias("table_id"), "*") for i, df in tables.items()))
     columns = columns_frame(spark, {i: df.schema for i, df in tables.items()})
     facts = union_all(table_metadata(tables[i], a) for i, a in assets.items())
@@ -561,12 +571,12 @@ def catalog_with_reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
             "environment": F.lit("prod"), "volatility": kind, "cache_ttl": cache_ttl(kind),
         })
     )
-    rows = catalog.catalog_rows(flat, columns, profile, samples, _table_edges(spark), F.lit(RUN).cast("timestamp"))
+    rows = catalog.catalog_rows(flat, columns, profile, samples, edges, F.lit(RUN).cast("timestamp"))
     extras = flat.select(
         "table_ref", "completeness_score", "volatility", "cache_ttl",
         cost.storage_cost(F.col("size_bytes")).alias("storage_cost_usd"), cost.query_cost(F.col("size_bytes")).alias("query_cost_usd"),
         cost.total_cost(F.col("size_bytes")).alias("monthly_cost_usd"),
-    ).join(catalog.lineage_totals(_table_edges(spark)), "table_ref", "left")
+    ).join(catalog.lineage_totals(edges), "table_ref", "left")
     return rows, catalog.report_input(rows, extras, profile)
 
 
@@ -587,7 +597,7 @@ def asset_report(spark: SparkSession, sf: str) -> DataFrame:
 def collection_run(spark: SparkSession, sf: str) -> DataFrame:
     """A run over the estate and a table that is not there: one outcome each, with what was stored of it."""
     assets = [*data.assets(sf), Asset(data.PROJECT, "web", "gone", path=f"{sf}/gone.parquet")]
-    done = collection.collect(spark, assets, scratch_path(spark, "collection"), RUN, _table_edges(spark))
+    done = collection.collect(spark, assets, scratch_path(spark, "collection"), RUN)
     stored = done.read(spark, "facts").select("table_ref", "row_count")
     profiled = done.read(spark, "profile").groupBy(F.col("table_id").alias("table_ref")).agg(F.count(F.lit(1)).alias("n_columns"))
     found = done.read(spark, "outcomes").join(stored, "table_ref", "left").join(profiled, "table_ref", "left")
@@ -881,6 +891,7 @@ QUERIES = {
     "view_dependencies": (view_dependencies, VIEW_DEPENDENCIES_SQL),
     "view_dependencies_substring": (view_dependencies_substring, VIEW_SUBSTRING_SQL),
     "lineage_neighbours": (lineage_neighbours, LINEAGE_NEIGHBOURS_SQL),
+    "key_edges": (key_edges, KEY_EDGES_SQL),
     "collection_run": (collection_run, COLLECTION_RUN_SQL),
     "clean_edges": (clean_edges, CLEAN_EDGES_SQL),
     "reference_edges": (reference_edges, REFERENCE_EDGES_SQL),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.functions.fixed import INFO_TYPES, PHI_KEYWORDS, PII_KEYWORDS, REPORT_SENSITIVE_KEYWORDS
 from assayer.operators import classify, frequencies, quality, usage
 from assayer.operators.profile import (
-    ProfileOptions, first_of_kind, most_null, profile_table, profile_tables, ratios, store_profile, stored_profile,
+    ProfileOptions, counts_from_ratios, first_of_kind, most_null, profile_table, profile_tables, ratios, store_profile, stored_profile,
 )
 from assayer.plans import data
 from assayer.session import scratch_path
@@ -166,6 +166,12 @@ def profile_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("column_name", "total_rows", "null_count", F.round("null_ratio", 6).alias("null_ratio"))
 
 
+def profile_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts taken back from a profile that only stores ratios, truncated to whole rows."""
+    stored = ratios(profile_table(labelled(spark, sf), "labelled", options=ProfileOptions(distribution=False))).drop("null_count", "distinct_count")
+    return counts_from_ratios(stored).select("column_name", "total_rows", "null_count", F.round("null_percentage", 6).alias("null_percentage"))
+
+
 PROFILE_RATIOS_SQL = f"WITH t AS ({LABELLED_SQL}) " + _union_sql([
     f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count,"
     f" round((count(*) - count({c})) / count(*), 6) AS null_ratio FROM t" for c in LABELLED_COLUMNS
@@ -200,6 +206,12 @@ FIRST_NUMERIC_SQL = _union_sql([
 ])
 
 
+PROFILE_COUNTS_SQL = f"WITH t AS ({LABELLED_SQL}) " + _union_sql([
+    f"SELECT '{c}' AS column_name, count(*) AS total_rows, CAST(floor(count(*) * ((count(*) - count({c})) / count(*))) AS BIGINT) AS null_count,"
+    f" round((count(*) - count({c})) / count(*) * 100.0, 6) AS null_percentage FROM t" for c in LABELLED_COLUMNS
+])
+
+
 # --- sampled and filtered scans -----------------------------------------------------------------
 
 
@@ -656,6 +668,7 @@ QUERIES = {
     "profile_quartiles": (profile_quartiles, PROFILE_QUARTILES_SQL),
     "profile_approx_distinct": (profile_approx_distinct, None),
     "profile_exact_distinct": (profile_exact_distinct, PROFILE_EXACT_DISTINCT_SQL),
+    "profile_counts": (profile_counts, PROFILE_COUNTS_SQL),
     "profile_ratios": (profile_ratios, PROFILE_RATIOS_SQL),
     "profile_filtered": (profile_filtered, PROFILE_FILTERED_SQL),
     "profile_sampled": (profile_sampled, None),
