@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 
@@ -23,7 +23,7 @@ class PieceEncoder:
     """Token ids of texts; ``encode_new`` encodes strings that were not seen before, each on its own, in an order that it chooses:
     it returns the strings, all their ids in a row, and the number of ids of each.
 
-    The cache is emptied once it holds ``most`` pieces: that bounds memory and changes no result.
+    Once the cache holds ``most`` pieces, only those are kept that were met in more than one batch: that bounds memory and changes no result.
     """
 
     def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000):
@@ -37,6 +37,7 @@ class PieceEncoder:
         self.pool = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.count = self.used = 0
+        self.met = np.zeros(1 << 12, np.uint8)
         self._add(list(self.special), np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -48,10 +49,28 @@ class PieceEncoder:
         self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
         while self.count + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         self.ends[self.count + 1 : self.count + 1 + len(pieces)] = self.used + np.cumsum(sizes)
         self.count += len(pieces)
         self.used += total
 
+    def _forget(self) -> None:
+        """Keep pieces of several batches; if these are too many as well, none."""
+        keep = np.flatnonzero(self.met[: self.count] > 1)
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        flags = np.zeros(self.count, bool)
+        flags[keep] = True
+        names = list(compress(self.known, flags.tolist()))
+        starts = self.ends[keep]
+        sizes = self.ends[keep + 1] - starts
+        ids = self.pool[ragged(starts, sizes)]
+        self._clear()
+        own = [i for i, x in enumerate(names) if x not in self.special]
+        if len(own) < len(names):
+            names, sizes, ids = [names[i] for i in own], sizes[own], ids[ragged((np.cumsum(sizes) - sizes)[own], sizes[own])]
+        self._add(names, ids, sizes)
+
     def pieces(self, text: str) -> list[str]:
         """``text`` in pieces that are encoded on their own; joined they give the text."""
         if not text:
@@ -60,8 +79,11 @@ class PieceEncoder:
             return list(chain.from_iterable([part] if part in self.special else self.pieces(part) for part in self.cut.split(text)))
         if UNSAFE.search(text):
             return [text] if len(text) < 200 else self._by_line(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        if "\x00" in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        pieces = text.replace(" ", "\x00 ").split("\x00")
+        return pieces if pieces[0] else pieces[1:]
 
     def _by_line(self, text: str) -> list[str]:
         """Cut before those spaces that stand after no white space and before none."""
@@ -70,7 +92,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin (one offset more than texts)."""
         if self.count > self.most:
-            self._clear()
+            self._forget()
         split = [self.pieces(x) for x in texts]
         flat = list(chain.from_iterable(split))
         found = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
@@ -79,6 +101,9 @@ class PieceEncoder:
             own = [flat[i] for i in missing]
             self._add(*self.encode_new(list(dict.fromkeys(own))))
             found[missing] = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        here = np.zeros(self.count, np.uint8)
+        here[found] = 1
+        self.met[: self.count] = np.minimum(self.met[: self.count], 250) + here
         starts = self.ends[found]
         sizes = self.ends[found + 1] - starts
         ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,9 @@ def library(path: str) -> tuple[PieceEncoder, int]:
         rest, order, ids, sizes = [], [], [np.zeros(0, np.int32)], []
         rows: list[list[str]] = []
         if plain:
-            simple = [x for x in texts if SIMPLE.fullmatch(x)]
-            rest = [x for x in texts if not SIMPLE.fullmatch(x)]
+            plainly = [SIMPLE.fullmatch(x) is not None for x in texts]
+            simple = list(compress(texts, plainly))
+            rest = list(compress(texts, [not x for x in plainly]))
             rows = [simple[a : a + 512] for a in range(0, len(simple), 512)]
         else:
             rest = texts

@@ -43,9 +43,10 @@ def test_compatible_pairs_are_those_that_merging_keeps():
     assert own.compatible(a, b).tolist() == expected and 0 < sum(expected) < 4000
 
 
-def test_cache_may_be_emptied_at_any_time(library):
+@pytest.mark.parametrize("most", [5, 40, 200])
+def test_cache_may_forget_at_any_time(library, most):
     own = bpe.Codec(PATH)
-    own.encoder.most = 5
+    own.encoder.most = most
     for t in texts()[:200]:
         assert own.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
