@@ -78,12 +78,12 @@ def view_dependencies_by_substring(views: DataFrame, tables: DataFrame) -> DataF
 
 
 def key_edges(profile: DataFrame, at_least: float = 0.9) -> DataFrame:
-    """Which table feeds which, from shared keys: a numeric column of the same name (but for a one-letter prefix) in both.
+    """Which table feeds which, from shared keys: a whole-number column of the same name (but for a one-letter prefix) in both.
 
     A key's home is the table in which it tells rows apart (at least this share of distinct values, which a sketch may
     miscount a little); of several the one with most rows, then the first by name. The other tables with the key read it.
     """
-    keys = profile.filter("profile_type = 'numeric'").select(
+    keys = profile.filter("data_type IN ('tinyint', 'smallint', 'int', 'bigint')").select(
         "table_id", F.regexp_replace("column_name", "^[A-Za-z]_", "").alias("key"), "total_rows", F.try_divide("distinct_count", "total_rows").alias("share")
     )
     homes = keys.filter(F.col("share") >= at_least).groupBy("key").agg(F.min(F.struct((-F.col("total_rows")).alias("n"), "table_id")).alias("home"))

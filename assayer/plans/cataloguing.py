@@ -529,13 +529,14 @@ JOB_EVENTS_SQL = f"""
 # --- catalog rows and reports -------------------------------------------------------------------
 
 
-# Whole-number columns of the estate that are no measures, with the key they may be.
-_KEYS = [(t, c, c[2:] if c[1] == "_" else c) for t, columns in profiling.ALL_COLUMNS.items() for c in columns if c in profiling.INTEGERS | profiling.DOUBLES]
+# Whole-number columns of the estate, with the key they may be.
+_KEYS = [(t, c, c[2:] if c[1] == "_" else c) for t, columns in profiling.ALL_COLUMNS.items() for c in columns if c in profiling.INTEGERS]
 
 
 def key_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Which table feeds which, from the keys they share."""
     tables = {a.table_id: a.read(spark) for a in data.assets(sf)}
+    tables = {t: df.select([c for c, kind in df.dtypes if kind in ("int", "bigint")]) for t, df in tables.items() if t in {k[0] for k in _KEYS}}
     options = ProfileOptions(nulls=False, distribution=False, relative_error=0.01)
     return lineage.key_edges(cut_lineage(profile_tables(tables, options)))  # the profile is read twice
 
