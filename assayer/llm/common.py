@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bytes of text that a task turns into arrays at once: a few dozen MB of arrays, whatever the size of the table.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text that a task turns into arrays at once: some MB of arrays, whatever the size of the table.
+CHUNK_BYTES = 500_000
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ CLASSES = 64
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Bytes of text in a range of ids, and bytes turned into arrays at once.
 RANGE_BYTES = 16_000_000
-CHUNK = 1_000_000
+CHUNK = 400_000
 NO_ID = -(2**63)
 
 

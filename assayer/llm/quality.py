@@ -26,7 +26,7 @@ from assayer.llm.words import Hashes, lookup, sums, words
 @dataclass(frozen=True)
 class Settings:
     #: Most documents to which the scorer is fitted; counts of votes always cover all documents.
-    fit_rows: int = 12_000
+    fit_rows: int = 6_000
     buckets: int = 2048
     rounds: int = 60
     #: Share of bad documents from which expectation-maximisation starts.
@@ -147,9 +147,10 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, settings: Settings = Se
 
 
 def fitted(x: np.ndarray, target: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer for soft targets; features that hardly vary stay small."""
+    """Weights and bias of a logistic scorer for soft targets; features that hardly vary stay small. ``x`` is used up."""
     scale = 1 / np.maximum(x.std(0), FLOOR)
-    z = x * scale.astype(np.float32)
+    z = x
+    z *= scale.astype(np.float32)
     middle = z.mean(0)
     z -= middle
     w, bias, m, v = np.zeros(x.shape[1] + 1), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -213,13 +214,14 @@ def fit(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
                 x = np.bincount(doc * settings.buckets + bucket, weight, (b - a) * settings.buckets).reshape(b - a, -1)
                 target = [good[p] for p in _pattern(votes(data, starts))]
                 full = np.diff(words(data, starts).at) > 0
-                rows = [x.astype("<f4").tobytes() for x in x[full]]
+                # half precision: a share of a text needs no more, and the driver holds all examples
+                rows = [x.astype("<f2").tobytes() for x in x[full]]
                 yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(np.array(target)[full])], ["x", "target"])
 
     found = picked.mapInArrow(example, "x binary, target double").limit(2 * settings.fit_rows).toArrow()
     if not found.num_rows:
         return Model(np.zeros(settings.buckets), 0.0, good)
-    x = np.frombuffer(b"".join(found.column(0).to_pylist()), "<f4").reshape(found.num_rows, settings.buckets)
+    x = flat(found.column(0).combine_chunks())[0].view("<f2").reshape(found.num_rows, settings.buckets).astype(np.float32)
     target = np.asarray(found.column(1))
     if not ((target >= 0.5).any() and (target < 0.5).any()):
         return Model(np.zeros(settings.buckets), float(np.where(target.mean() >= 0.5, 3, -3)), good)

@@ -34,7 +34,7 @@ BLOCK_BYTES = 8_000_000
 #: Documents of an anchor beyond which its windows are dealt by their own hashes.
 HOT = 16_384
 #: Text that is turned into arrays at once.
-CHUNK = 600_000
+CHUNK = 400_000
 #: The largest count that is sent.
 MOST = 65_535
 #: Keys that a task collects before it sends them; a key is sent once for each such part and block.
