@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import os
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task turns into arrays at once: some MB of arrays, whatever the size of the table.
 CHUNK_BYTES = 500_000
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers look for this package where the driver found it.
+
+    In local mode, and on machines that share the folder, nothing else is needed; elsewhere ship the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text`` (null: empty); other columns cannot clash with ours."""
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))

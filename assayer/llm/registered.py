@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import bpe, fingerprints, jaccard, near_vectors, packing, quality, suffix_array, suffix_tree, token_files, toxicity
-from assayer.llm.common import held_out
+from assayer.llm.common import held_out, ready
 from assayer.session import scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:

@@ -9,27 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import jaccard, packing, quality, suffix_tree, toxicity
+from assayer.llm.common import ready
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
+    ready(spark)
     return quality.kept(docs, quality.fit(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the model learns from the labels of documents that are still there."""
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    labels = ready(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return toxicity.kept(docs, toxicity.fit(docs, labels))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Texts without words are no duplicates."""
+    ready(spark)
     others = jaccard.join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
     return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words that repeat an earlier document's passage of 13 words or more; other texts stay as they are."""
+    ready(spark)
     columns = docs.columns
     kept = suffix_tree.deduplicated(docs, carry=columns)
     # the carried columns are taken by position: their names may equal the operator's own
@@ -44,4 +48,5 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of the documents' texts."""
+    ready(spark)
     return packing.pack_documents(docs)

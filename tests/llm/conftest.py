@@ -13,7 +13,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bl
 def spark():
     from assayer.session import local_session
 
-    session = local_session(8, app="tests")
+    from assayer.llm.common import ready
+
+    session = ready(local_session(8, app="tests"))
     yield session
     session.stop()
 
