@@ -39,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 80
 #: Sets of a family that are compared in one tile, and sets that all tiles of a family have.
 TILE, PIVOTS = 128, 6
+#: Parts into which a large family's sets are dealt when something that holds for the family is joined to them.
+SALTS = 32
 
 
 def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,17 +203,23 @@ def _compared(sets: DataFrame) -> DataFrame:
     return sets.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_tile_links, "a long, b long")
 
 
+def _with_family(sets: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``sets`` with ``facts`` of large families (few rows), joined by family and a part of it, so no task gets a whole family."""
+    salted = sets.withColumn("_salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["family", "_salt"], how).drop("_salt")
+
+
 def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
     """Links that connect all linked sets: ``sets`` (rep, shingles), ``meetings`` (token, rep)."""
     least = meetings.groupBy("token").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     family = components(meetings.join(least, "token").select(F.col("rep").alias("a"), "b"))
     family = family.select(F.col("node").alias("rep"), F.col("label").alias("family"))
     sets = cut_lineage(sets.join(family, "rep"))
-    size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
-    tiles = F.ceil(F.col("c") / TILE).cast("long")
-    # a tile is its family and a number; the last bits of the family's hash are not needed to tell tiles apart
-    number = F.pmod(F.xxhash64("rep"), tiles)
-    dealt = sets.join(size, "family").withColumn("tiles", tiles).withColumn("number", number)
+    size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > TILE)
+    tiles = F.coalesce(F.ceil(F.col("c") / TILE), F.lit(1)).cast("long")
+    # a tile is its family and a number
+    dealt = _with_family(sets, size, "left").withColumn("tiles", tiles).withColumn("number", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     dealt = cut_lineage(dealt.select("family", "tiles", "number", "rep", "shingles"))
     large = dealt.filter("tiles > 1")
     # pivots: a few sets of each large family, by the hash of their ids
@@ -233,15 +241,14 @@ def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
     known = cut_lineage(known)
     count = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     main = count.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m")).select("family", F.col("m.label").alias("main"))
-    known = known.join(main, "family")
-    chunk = F.lit(TILE)
+    known = _with_family(known, main)
     visitors = known.filter("label <> main").select("family", "tiles", "number", "rep", "label", "shingles")
     # the visitors of one tile go together; a pair of tiles has at most TILE members and TILE visitors
     away = visitors.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).filter("to <> number")
     pair = F.xxhash64("family", "to", "number").alias("tile")
     guests = away.select(pair, "rep", "label", "shingles")
     from_ = visitors.select("family", F.col("number").alias("from")).distinct()
-    hosts = known.join(from_, "family").filter("from <> number")
+    hosts = _with_family(known, from_).filter("from <> number")
     hosts = hosts.select(F.xxhash64("family", "number", "from").alias("tile"), "rep", "label", "shingles")
     return links.union(cut_lineage(_compared(guests.union(hosts)))).union(label.select("node", "label"))
 
