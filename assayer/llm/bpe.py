@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from assayer.llm.common import chunks, documents, flat, ragged
-from assayer.llm.pieces import PieceEncoder
+from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
 
 # The pattern by which byte-level tokenizers cut texts into words.
 WORDS = regex.compile(
@@ -255,7 +255,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch):
+            for a, b in chunks(batch, BATCH_BYTES):
                 ids, at = codec(path).encode(batch.column(1)[a:b].to_pylist())
                 yield pa.record_batch([batch.column(0)[a:b], pa.ListArray.from_arrays(at.astype(np.int32), ids)], ["doc_id", "ids"])
 
@@ -283,7 +283,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for a, b in chunks(batch):
+            for a, b in chunks(batch, BATCH_BYTES):
                 ids, at = own.encode(batch.column(1)[a:b].to_pylist())
                 names, edges = [own.names[i] for i in ids.tolist()], at.tolist()
                 yield pa.record_batch(

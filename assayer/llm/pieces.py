@@ -15,6 +15,8 @@ import numpy as np
 
 from assayer.llm.common import ragged
 
+#: Bytes of text that are encoded together: each batch looks through the whole cache once.
+BATCH_BYTES = 2_000_000
 #: Where a text must not be cut; Python's white space covers the tokenizers' and four control characters more, which is harmless.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm.common import chunks, documents, local_path
-from assayer.llm.pieces import PieceEncoder
+from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
 
 NO_ID = -(2**63)
 #: Pieces that can be encoded in a row.
@@ -115,7 +115,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc
         with open(f"{own}.ids", "wb") as ids_file, open(f"{own}.ends", "wb") as ends_file, open(f"{own}.docs", "wb") as docs_file:
             ends_file.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                for a, b in chunks(batch):
+                for a, b in chunks(batch, BATCH_BYTES):
                     ids, at = encoder.encode(batch.column(1)[a:b].to_pylist())
                     ids_file.write(np.insert(ids, at[1:], end_id).astype(kind).tobytes())
                     ends_file.write((n_ids + at[1:] + np.arange(1, b - a + 1)).astype("<i8").tobytes())
