@@ -6,6 +6,7 @@ bitmap of its sources and clusters; a search tree over the rests has the common
 goes up from the smallest sufficient rest, passes over whole subtrees in which every bin conflicts, and ends at the tightest bin
 that takes the document; if there is none, a bin is opened. So a source or cluster with a third of all rows costs no scan over its bins.
 
+A document's size is the number of its tokens, counted in the tasks; without a vocabulary it is estimated from its bytes.
 Shards of about ``SHARD_ROWS`` documents, dealt by the hash of the id, are packed on their own; only ids, sizes and hashes are shuffled.
 A document over the capacity is cut: its full pieces fill bins of their own, the rest is placed like any other.
 
@@ -23,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.llm import token_files
+
 #: Tokens that a bin holds.
 CAPACITY = 2048
 #: Rows that are packed together: a task's memory, whatever the table's size.
@@ -30,7 +33,7 @@ SHARD_ROWS = 4096
 
 
 def estimated_tokens(text: Column) -> Column:
-    """About four UTF-8 bytes a token."""
+    """About four UTF-8 bytes a token: needs no vocabulary, and can be far below the real number."""
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
@@ -140,15 +143,15 @@ def packed(sizes: list[int], sources: list, clusters: list, capacity: int) -> li
     return out
 
 
-def pack(df: DataFrame, size: Column, source: Column, cluster: Column, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``piece``, ``n_tokens``, ``bin_id`` and ``bin_start`` of every piece of every document."""
+def pack(df: DataFrame, size: Column, source: Column, cluster: Column, capacity: int = CAPACITY, id_col: str = "doc_id", total: int | None = None) -> DataFrame:
+    """``doc_id``, ``piece``, ``n_tokens``, ``bin_id`` and ``bin_start`` of every piece of every document; ``total`` are the rows, if they are known."""
     rows = df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"),
         F.when(source.isNotNull(), F.xxhash64(source)).alias("source"),
         F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster"),
     )
-    shards = max(1, -(-df.count() // SHARD_ROWS))
+    shards = max(1, -(-(df.count() if total is None else total) // SHARD_ROWS))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(x, "ascending") for x in ("doc_id", "size", "source", "cluster")])
@@ -170,6 +173,11 @@ def pack(df: DataFrame, size: Column, source: Column, cluster: Column, capacity:
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, n_tokens long, bin_id long, bin_start long")
 
 
-def pack_documents(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Documents with ``text`` and ``source``, packed by estimated tokens; equal texts are clusters."""
-    return pack(df, estimated_tokens(df["text"]), df["source"], text_cluster(df["text"]), capacity)
+def pack_documents(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """Documents with ``text`` and ``source``, packed by the tokens that the vocabulary file at that path makes of them (none: by estimated
+    tokens); equal texts are clusters."""
+    if vocabulary is None:
+        return pack(df, estimated_tokens(df["text"]), df["source"], text_cluster(df["text"]), capacity)
+    # texts are encoded once: the rows are counted before
+    sized = token_files.counted(df.select("doc_id", "source", text_cluster(df["text"]).alias("cluster"), "text"), vocabulary)
+    return pack(sized, sized["n_tokens"], sized["source"], sized["cluster"], capacity, total=df.count())

@@ -91,8 +91,8 @@ class PieceEncoder:
         """Cut before those spaces that stand after no white space and before none."""
         return re.split(r"(?<=\S)(?= \S)", text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and where each text's begin (one offset more than texts)."""
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' pieces in a row, and where each text's begin; new pieces are encoded."""
         if self.count > self.most:
             self._forget()
         split = [self.pieces(x) for x in texts]
@@ -106,7 +106,18 @@ class PieceEncoder:
         here = np.zeros(self.count, np.uint8)
         here[found] = 1
         self.met[: self.count] = np.minimum(self.met[: self.count], 250) + here
+        return found, np.cumsum([0, *map(len, split)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin (one offset more than texts)."""
+        found, at = self._looked_up(texts)
         starts = self.ends[found]
         sizes = self.ends[found + 1] - starts
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.pool[ragged(starts, sizes)], ends[np.cumsum([0, *map(len, split)])]
+        return self.pool[ragged(starts, sizes)], ends[at]
+
+    def counted(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has; the ids are not put together."""
+        found, at = self._looked_up(texts)
+        ends = np.concatenate([[0], np.cumsum(self.ends[found + 1] - self.ends[found])])
+        return np.diff(ends[at])

@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"))
+    return packing.pack_documents(table(spark, folder, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:

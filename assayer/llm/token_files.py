@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.llm.common import chunks, documents, local_path
 from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
@@ -97,6 +98,21 @@ def library(path: str) -> tuple[PieceEncoder, int]:
     return encoder, largest
 
 
+def counted(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with the number of tokens of every whole text (null: 0) as ``n_tokens`` in place of the text; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = library(path)
+        for batch in batches:
+            for a, b in chunks(batch, BATCH_BYTES):
+                n = encoder.counted(batch.column(batch.num_columns - 1)[a:b].to_pylist())
+                yield pa.record_batch([*[x[a:b] for x in batch.columns[:-1]], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
+
+    others = [df[c] for c in df.columns if c != text_col]
+    picked = df.select(*others, F.coalesce(df[text_col].cast("string"), F.lit("")).alias("n_tokens"))
+    return picked.mapInArrow(run, StructType([*picked.schema.fields[:-1], StructField("n_tokens", LongType())]))
+
+
 def write(df: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> list[dict]:
     """Encode every whole text and write the files; returns the parts with their bases, in order."""
     docs = documents(df, id_col, text_col)

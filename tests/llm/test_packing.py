@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import packing
+from assayer.llm import bpe, packing, registered
 
 
 def plain(sizes, sources, clusters, capacity):
@@ -79,3 +79,20 @@ def test_hot_source_and_hot_cluster_stay_apart(spark):
     rows = packing.pack(df, F.col("n"), F.col("source"), F.col("text"), 2048).collect()
     check(df, rows, 2048)
     assert len(rows) == 6000 and len({r.bin_id for r in rows if r.doc_id % 2 == 0}) == 3000
+
+
+def test_sizes_are_the_numbers_of_tokens(spark, odd, corpus, empty, tmp_path):
+    path = registered.vocabulary("byte_bpe_50k.json")
+    for df, capacity in ((odd, 100), (corpus, 512)):
+        rows = packing.pack_documents(df, capacity, path).collect()
+        check(df, rows, capacity)
+        size, total = {}, {}
+        for r in bpe.encode(df, path).collect():
+            size[r.doc_id] = size.get(r.doc_id, 0) + len(r.ids)
+        for r in rows:
+            total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+        assert total == size
+    assert packing.pack_documents(empty, vocabulary=path).count() == 0
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    found = registered.op1_packing(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
+    assert dict(map(tuple, found)) == size
