@@ -17,7 +17,7 @@ connected already need not be computed. Steps:
    then visit its other tiles, ``TILE`` at a time. So all pairs of a family are connected or compared.
 
 Null texts and texts without words have an empty set and link with nothing; so do rows without id (their component is null). Rows that share an
-id are one node. Texts with fewer than five words have their whole sequence as one shingle. An empty table gives no rows.
+id are one node; a set is told by its digest, so different texts of one id keep all their links. Texts with fewer than five words have their whole sequence as one shingle. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +55,13 @@ def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return Hashes(names).of(begin, end), doc
 
 
+def set_digests(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits for each set of keys, equal for equal sets wherever they stand: sums that wrap around, never as floats."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mixed(key), mixed(key ^ np.uint64(0x5DEECE66D)))]
+        return np.stack([np.diff(x[at]) for x in sums], 1)
+
+
 def needed(n: np.ndarray) -> np.ndarray:
     """How many shingles a set of n must share at least with any set that it links with."""
     return -(-n * THRESHOLD // 100)
@@ -91,8 +98,7 @@ def _described(table: pa.Table, reply: pa.Table) -> pa.Table:
             n = np.bincount(doc, minlength=last - first)
             at = np.concatenate([[0], np.cumsum(n)])
             sizes.append(n)
-            with np.errstate(over="ignore"):
-                digests.append(np.stack([np.diff(np.concatenate([[0], np.cumsum(x)]).astype(np.uint64)[at]) for x in (mixed(key), mixed(key ^ np.uint64(0x5DEECE66D)))], 1))
+            digests.append(set_digests(key, at))
             if not len(key):
                 continue
             place = np.minimum(np.searchsorted(shared, _short(key)), max(len(shared) - 1, 0))
@@ -116,10 +122,11 @@ def _described(table: pa.Table, reply: pa.Table) -> pa.Table:
         add(0, len(ids), doc_id=np.where(real, ids, NO_ID), n=n, rep=rep)
         head = head[(n[head] > 0) & real[head]]
         add(1, len(head), rep=ids[head], n=n[head], d1=digest[head, 0], d2=digest[head, 1])
-        chosen = [i for i in head.tolist() if i in kept]
-        add(2, len(chosen), rep=ids[chosen], n=n[chosen], shingles=[kept[i][0].tobytes() for i in chosen])
-        tokens = [kept[i][1].view(np.int64) for i in chosen]
-        add(3, sum(map(len, tokens)), rep=np.repeat(ids[chosen], [len(x) for x in tokens]), token=np.concatenate([*tokens, np.zeros(0, np.int64)]))
+        chosen = np.array([i for i in head.tolist() if i in kept], np.int64)
+        add(2, len(chosen), rep=ids[chosen], n=n[chosen], d1=digest[chosen, 0], d2=digest[chosen, 1], shingles=[kept[i][0].tobytes() for i in chosen.tolist()])
+        tokens = [kept[i][1].view(np.int64) for i in chosen.tolist()]
+        times = [len(x) for x in tokens]
+        add(3, sum(times), rep=np.repeat(ids[chosen], times), d1=np.repeat(digest[chosen, 0], times), token=np.concatenate([*tokens, np.zeros(0, np.int64)]))
     columns = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items() if k != "shingles"}
     return pa.table({k: pa.array(v, pa.int32() if k == "kind" else pa.int64()) for k, v in columns.items()} | {"shingles": pa.array(out["shingles"], pa.binary())})
 
@@ -205,28 +212,31 @@ def _compared(sets: DataFrame) -> DataFrame:
 
 def _with_family(sets: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
     """``sets`` with ``facts`` of large families (few rows), joined by family and a part of it, so no task gets a whole family."""
-    salted = sets.withColumn("_salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    salted = sets.withColumn("_salt", F.pmod(F.xxhash64("d1", "d2", F.lit("salt")), F.lit(SALTS)).cast("int"))
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, ["family", "_salt"], how).drop("_salt")
 
 
 def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Links that connect all linked sets: ``sets`` (rep, shingles), ``meetings`` (token, rep)."""
-    least = meetings.groupBy("token").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    family = components(meetings.join(least, "token").select(F.col("rep").alias("a"), "b"))
-    family = family.select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    sets = cut_lineage(sets.join(family, "rep"))
+    """Links (of reps) that connect all linked sets: ``sets`` (rep, d1, d2, shingles), ``meetings`` (token, d1).
+
+    A set is its digest (d1, d2); its rep may stand for other texts of the same id too, which is one node anyway. Two sets with the
+    same d1 alone only share a family."""
+    least = meetings.groupBy("token").agg(F.min("d1").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    family = components(meetings.join(least, "token").select(F.col("d1").alias("a"), "b"))
+    family = family.select(F.col("node").alias("d1"), F.col("label").alias("family"))
+    sets = cut_lineage(sets.join(family, "d1"))
     size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > TILE)
     tiles = F.coalesce(F.ceil(F.col("c") / TILE), F.lit(1)).cast("long")
     # a tile is its family and a number
-    dealt = _with_family(sets, size, "left").withColumn("tiles", tiles).withColumn("number", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    dealt = cut_lineage(dealt.select("family", "tiles", "number", "rep", "shingles"))
+    dealt = _with_family(sets, size, "left").withColumn("tiles", tiles).withColumn("number", F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")))
+    dealt = cut_lineage(dealt.select("family", "tiles", "number", "rep", "d1", "d2", "shingles"))
     large = dealt.filter("tiles > 1")
-    # pivots: a few sets of each large family, by the hash of their ids
-    ranked = large.select("family", "tiles", "number", "rep", F.xxhash64("rep", F.lit("pivot")).alias("h"))
-    pivots = ranked.groupBy("family", "number").agg(F.min(F.struct("h", "rep", "tiles")).alias("p"))
-    pivots = pivots.filter(f"number < {PIVOTS}").select("family", F.col("number").alias("home"), F.col("p.rep").alias("rep"), F.col("p.tiles").alias("tiles"))
-    spread = pivots.join(large.select("rep", "shingles"), "rep").select(
+    # pivots: a few sets of each large family, by the hash of their digests
+    ranked = large.select("family", "tiles", "number", "d1", "d2", F.xxhash64("d1", "d2", F.lit("pivot")).alias("h"))
+    pivots = ranked.groupBy("family", "number").agg(F.min(F.struct("h", "d1", "d2", "tiles")).alias("p"))
+    pivots = pivots.filter(f"number < {PIVOTS}").select("family", F.col("number").alias("home"), "p.d1", "p.d2", "p.tiles")
+    spread = pivots.join(large.select("d1", "d2", "rep", "shingles"), ["d1", "d2"]).select(
         "family", "home", "rep", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("number")
     )
     tile = F.xxhash64("family", "number").alias("tile")
@@ -237,7 +247,7 @@ def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
         return links
     # sets outside their family's largest component visit its other tiles
     label = components(links)
-    known = large.join(label, large["rep"] == label["node"], "left").select("family", "tiles", "number", "rep", F.coalesce("label", "rep").alias("label"), "shingles")
+    known = large.join(label, large["rep"] == label["node"], "left").select("family", "tiles", "number", "rep", "d1", "d2", F.coalesce("label", "rep").alias("label"), "shingles")
     known = cut_lineage(known)
     count = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     main = count.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m")).select("family", F.col("m.label").alias("main"))
@@ -267,13 +277,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     same = cut_lineage(classes.groupBy("n", "d1", "d2").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")))
     # equal sets of different blocks: one stands for all
     copies = classes.join(same.filter("c > 1"), ["n", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("least").alias("b")).filter("a <> b")
-    ones = same.select(F.col("least").alias("rep"))
-    sets = described.filter("kind = 2").select("rep", "shingles").join(ones, "rep", "left_semi").dropDuplicates(["rep"])
-    meetings = described.filter("kind = 3").select("token", "rep").join(ones, "rep", "left_semi").distinct()
+    ones = same.select(F.col("least").alias("rep"), "n", "d1", "d2")
+    sets = described.filter("kind = 2").select("rep", "n", "d1", "d2", "shingles").join(ones, ["rep", "n", "d1", "d2"], "left_semi")
+    sets = sets.dropDuplicates(["n", "d1", "d2"]).drop("n")
+    meetings = described.filter("kind = 3").select("token", "rep", "d1").join(ones, ["rep", "d1"], "left_semi").select("token", "d1").distinct()
     links = copies.union(_connected_sets(sets, meetings))
     docs = described.filter("kind = 0")
-    # rows that share an id are one node, though they lie in different blocks
-    links = links.union(docs.filter(f"doc_id <> {NO_ID} and n > 0").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c").select("b", "c"))
+    # rows that share an id are one node, though they lie in different blocks or have different texts
+    named = docs.filter(f"doc_id <> {NO_ID}").select("doc_id", "rep")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c").select("doc_id", "b")
+    links = links.union(named.join(several, "doc_id").filter("rep <> b").select("rep", "b"))
     label = components(links)
     out = docs.join(label, docs["rep"] == label["node"], "left")
     return out.select(

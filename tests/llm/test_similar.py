@@ -67,6 +67,26 @@ def test_a_large_family_of_near_copies(spark, monkeypatch):
     assert got(df) == want and 1 < len({r[2] for r in want}) < 150
 
 
+@pytest.mark.parametrize("tile", [8, 128])
+def test_different_texts_of_one_id_keep_all_their_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    text = lambda name, *changed: " ".join(f"{name}x{i}" if i in changed else f"{name}{i}" for i in range(150))
+    names = [f"t{k}_" for k in range(12)]
+    # ids 1..3 have four texts each, every one near a text of another id, and an empty one
+    rows = [(1 + k % 3, text(n)) for k, n in enumerate(names)] + [(100 + k, text(n, 5)) for k, n in enumerate(names)]
+    rows += [(100 + k, text(n)) for k, n in enumerate(names[:2])] + [(200 + k, text(names[0], k)) for k in range(40)]
+    rows += [(2, ""), (101, ""), (7, text("u")), (9, text("u")), (9, ""), (9, text("v")), (8, text("v", 1)), (9, text("w")), (6, text("w"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = expected(df)
+    assert got(df) == want and {r[2] for r in want} == {1, 2, 3, 6}
+
+
+def test_equal_sets_have_equal_digests_wherever_they_stand():
+    key = np.random.default_rng(8).integers(0, 2**63, 300).astype(np.uint64)
+    found = jaccard.set_digests(np.concatenate([key[:100], key, key[:100]]), np.array([0, 100, 400, 500]))
+    assert found.dtype == np.uint64 and (found[0] == found[2]).all() and (found[0] != found[1]).all()
+
+
 def test_connected_finds_all_components():
     rng = np.random.default_rng(7)
     for _ in range(40):
