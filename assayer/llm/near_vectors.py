@@ -141,18 +141,19 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     return i, j
 
 
-def compared(rep_a, count_a, unit_a, rep_b, count_b, unit_b, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of two tiles (``rep_b`` None: of one with itself): vectors with links, their number of links, and a vector of their component."""
-    alone = rep_b is None
+def compared(key_a, count_a, unit_a, key_b, count_b, unit_b, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two tiles (``key_b`` None: of one with itself): keys of vectors with links, their number of links, and the key of a vector of their
+    component. A key is a row of the class's id and digest."""
+    alone = key_b is None
     if alone:
-        rep_b, count_b, unit_b = rep_a, count_a, unit_a
+        key_b, count_b, unit_b = key_a, count_a, unit_a
     turned_a, turned_b = unit_a @ basis, unit_b @ basis
-    n = len(rep_a)
-    links_a, links_b = np.zeros(n, np.int64), np.zeros(len(rep_b), np.int64)
-    label = np.arange(n if alone else n + len(rep_b))
+    n = len(key_a)
+    links_a, links_b = np.zeros(n, np.int64), np.zeros(len(key_b), np.int64)
+    label = np.arange(n if alone else n + len(key_b))
     shift = 0 if alone else n
     for x in range(0, n, ROWS):
-        for y in range(x if alone else 0, len(rep_b), ROWS):
+        for y in range(x if alone else 0, len(key_b), ROWS):
             i, j = survivors(turned_a[x : x + ROWS], turned_b[y : y + ROWS], threshold)
             i, j = i + x, j + y
             if alone:
@@ -169,11 +170,11 @@ def compared(rep_a, count_a, unit_a, rep_b, count_b, unit_b, basis: np.ndarray,
                 if len(own) > 1:
                     label[np.isin(label, own)] = own[0]
     if alone:
-        rep, links = rep_a, links_a
+        key, links = key_a, links_a
     else:
-        rep, links = np.concatenate([rep_a, rep_b]), np.concatenate([links_a, links_b])
+        key, links = np.concatenate([key_a, key_b]), np.concatenate([links_a, links_b])
     hit = links > 0
-    return rep[hit], links[hit], rep[label[hit]]
+    return key[hit], links[hit], key[label[hit]]
 
 
 def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -184,7 +185,7 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
     rows = cut_lineage(prepared(df, id_col, vector_col))
     good = rows.filter("dim > 0")
     classes = cut_lineage(good.groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("raw").alias("raw")))
-    members = good.select("vec_id", "dim", "d1", "d2").join(classes.select("dim", "d1", "d2", "rep", "c"), ["dim", "d1", "d2"]).select("vec_id", "rep", "c")
+    members = good.select("vec_id", "dim", "d1", "d2").join(classes.select("dim", "d1", "d2", "rep", "c"), ["dim", "d1", "d2"])
     total = classes.count()
     share = min(1.0, FIT_ROWS / max(total, 1))
     sample = classes.select("dim", "raw").filter(F.pmod(F.xxhash64("d1", "d2"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * FIT_ROWS).toArrow()
@@ -205,16 +206,17 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
             for n in np.unique(dim).tolist():
                 own = np.flatnonzero(dim == n)
                 basis, root = axes_of(n)
-                unit = units(batch.column(3).take(pa.array(own)).to_pylist(), n)
+                unit = units(batch.column(5).take(pa.array(own)).to_pylist(), n)
                 leaf[own] = leaf_of(root, (unit @ basis)[:, : min(n, 8)])
-            yield pa.record_batch([*batch.columns, pa.array(leaf)], ["dim", "rep", "c", "raw", "leaf"])
+            yield pa.record_batch([*batch.columns, pa.array(leaf)], ["dim", "rep", "d1", "d2", "c", "raw", "leaf"])
 
-    at = cut_lineage(classes.select("dim", "rep", "c", "raw").mapInArrow(placed, "dim int, rep long, c long, raw binary, leaf long"))
+    at = cut_lineage(classes.select("dim", "rep", "d1", "d2", "c", "raw").mapInArrow(placed, "dim int, rep long, d1 long, d2 long, c long, raw binary, leaf long"))
     size = at.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("parts"))
-    at = at.join(size, ["dim", "leaf"]).withColumn("tile", F.xxhash64("dim", "leaf", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    at = at.join(size, ["dim", "leaf"]).withColumn("tile", F.xxhash64("dim", "leaf", F.pmod(F.xxhash64("d1", "d2"), F.col("parts"))))
 
     def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
+        group = group.sort_by([(x, "ascending") for x in ("rep", "d1", "d2")])
+        keys = np.stack([group.column(x).to_numpy() for x in ("rep", "d1", "d2")], 1).astype(np.int64)
         dim = group.column("dim")[0].as_py()
         lead = (units(group.column("raw").to_pylist(), dim) @ axes_of(dim)[0])[:, : min(dim, 8)]
         return pa.table(
@@ -223,14 +225,14 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
                 "dim": pa.array([dim], pa.int32()),
                 "low": pa.array([lead.min(0).tolist()], pa.list_(pa.float64())),
                 "high": pa.array([lead.max(0).tolist()], pa.list_(pa.float64())),
-                "reps": pa.array([group.column("rep").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                "keys": pa.array([keys.tobytes()], pa.binary()),
                 "counts": pa.array([group.column("c").to_numpy().astype(np.int64).tobytes()], pa.binary()),
                 "raw": pa.array([b"".join(group.column("raw").to_pylist())], pa.binary()),
             }
         )
 
-    schema = "tile long, dim int, low array<double>, high array<double>, reps binary, counts binary, raw binary"
-    tiles = cut_lineage(at.select("tile", "dim", "rep", "c", "raw").groupBy("tile").applyInArrow(packed, schema))
+    schema = "tile long, dim int, low array<double>, high array<double>, keys binary, counts binary, raw binary"
+    tiles = cut_lineage(at.select("tile", "dim", "rep", "d1", "d2", "c", "raw").groupBy("tile").applyInArrow(packed, schema))
     # tiles meet in cells of the first axis as wide as linked unit vectors can be apart, then by the distance of their boxes
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
     width = max(reach, 1e-3)
@@ -252,14 +254,16 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
         dim = group.column("dim")[0].as_py()
         parts = []
         for r in range(group.num_rows):
-            parts += [np.frombuffer(group.column(x)[r].as_py(), np.int64) for x in ("reps", "counts")] + [units([group.column("raw")[r].as_py()], dim)]
-        rep, n, root = compared(*parts, *((None,) * (6 - len(parts))), axes_of(dim)[0], threshold)
-        return pa.table({"rep": rep, "n": n, "root": root})
+            keys, counts = (np.frombuffer(group.column(x)[r].as_py(), np.int64) for x in ("keys", "counts"))
+            parts += [keys.reshape(-1, 3), counts, units([group.column("raw")[r].as_py()], dim)]
+        key, n, root = compared(*parts, *((None,) * (6 - len(parts))), axes_of(dim)[0], threshold)
+        return pa.table({"dim": np.full(len(key), dim, np.int32), "rep": key[:, 0], "d1": key[:, 1], "d2": key[:, 2], "n": n, "root": root[:, 0]})
 
-    found = cut_lineage(sides.join(tiles.drop("low", "high"), "tile").groupBy("pair").applyInArrow(links, "rep long, n long, root long"))
+    found = cut_lineage(sides.join(tiles.drop("low", "high"), "tile").groupBy("pair").applyInArrow(links, "dim int, rep long, d1 long, d2 long, n long, root long"))
     label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(members.filter("c > 1").select("vec_id", "rep")))
-    n_links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = members.join(n_links, "rep", "left").select("vec_id", "rep", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"))
+    # links are counted by class: one id can stand for several
+    n_links = found.groupBy("dim", "d1", "d2").agg(F.sum("n").alias("n"))
+    known = members.join(n_links, ["dim", "d1", "d2"], "left").select("vec_id", "rep", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"))
     known = known.join(label, known["rep"] == label["node"], "left").select("vec_id", "n_links", F.coalesce("label", "rep").alias("component_id"))
     alone = rows.filter("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -144,6 +144,22 @@ def test_links_of_vectors(spark, monkeypatch, tile):
     assert near_vectors.linked(df.limit(0)).count() == 0
 
 
+def test_different_vectors_of_one_id_keep_their_own_links(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = np.eye(12)[:4] * 2
+    near = lambda x: x + rng.normal(size=12) * 0.05
+    rows = [(5, a), (5, b), (9, a), (11, b), (3, c), (5, c), (5, a), (40, d), (40, near(d))]
+    rows += [(20 + i, near(a)) for i in range(3)] + [(30 + i, near(b)) for i in range(5)]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    label = groups([(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(hit))], [i for i, _ in rows])
+    want = sorted((i, int(h.sum()) - 1, label[i], label[i] == i) for (i, _), h in zip(rows, hit))
+    assert sorted(tuple(r) for r in near_vectors.linked(df).collect()) == want
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 40)) + 3 * rng.normal(size=(1, 40))
