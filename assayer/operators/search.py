@@ -326,42 +326,46 @@ def similar(
 
 # --- many requests at once --------------------------------------------------------------------
 
-# Levels of halved ranges: enough for 2 ** 24 different numbers among all requests.
-_LEVELS = 25
+def _places(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """``_value`` and ``_place`` of every number of both tables (one column each), and how many different numbers are asked for.
 
-
-def _below(numbers: Column, value: Column) -> Column:
-    """How many of the sorted numbers are smaller than the value."""
-    steps = F.array(*[F.lit(1 << k) for k in range(_LEVELS - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(numbers, low + step - 1) < value, low + step).otherwise(low))
-
-
-def _place(numbers: Column, value: Column) -> Column:
-    """A value's place among the requests' numbers: odd on a number, even between two; null for null."""
-    low = _below(numbers, value)
-    return F.when(value.isNotNull(), low * 2 + F.coalesce((F.get(numbers, low) == value).cast("int"), F.lit(0)))
-
-
-def _halved(first: Column, last: Column) -> Column:
+    A number's place is odd on a number that is asked for, even between two. The numbers are sorted in ranges; only one row
+    for each range comes back to the driver, whose counts become the places at which the ranges begin.
+    """
+    one = lambda df, listed: df.toDF("_value").filter(F.col("_value").isNotNull()).withColumn("_listed", F.lit(listed))
+    both = one(asked, 1).union(one(known, 0)).groupBy("_value").agg(F.max("_listed").cast("bigint").alias("_listed"))
+    ranges = cut_lineage(both.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()))
+    found = ranges.groupBy("_part").agg(F.min("_value").alias("_first"), F.sum("_listed").alias("_n")).orderBy("_first").collect()
+    begins, total = [], 0
+    for row in found:
+        begins.append((row["_part"], total))
+        total += row["_n"]
+    begins = asked.sparkSession.createDataFrame(begins, "_part int, _begin bigint")
+    upto = F.sum("_listed").over(Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = ranges.withColumn("_upto", upto).join(begins, "_part")
+    return cut_lineage(counted.select("_value", ((F.col("_begin") + F.col("_upto")) * 2 - F.col("_listed")).alias("_place"))), total
+
+
+def _halved(first: Column, last: Column, levels: int) -> Column:
     """The few (level, node) whose places make up first..last; place p lies in node p >> level of each level."""
     start = F.struct(
-        first.cast("int").alias("a"), (last + 1).cast("int").alias("b"),
-        F.array().cast("array<struct<level:int,node:int>>").alias("nodes"),
+        first.cast("bigint").alias("a"), (last + 1).cast("bigint").alias("b"),
+        F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"),
     )
 
     def node(level: Column, x: Column, wanted: Column) -> Column:
-        one = F.array(F.struct(level.cast("int").alias("level"), x.cast("int").alias("node")))
-        return F.when(wanted, one).otherwise(F.array().cast("array<struct<level:int,node:int>>"))
+        one = F.array(F.struct(level.cast("int").alias("level"), x.cast("bigint").alias("node")))
+        return F.when(wanted, one).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
 
     def step(state: Column, level: Column) -> Column:
         a, b = state["a"], state["b"]
         left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
         nodes = F.concat(state["nodes"], node(level, a, left), node(level, b - 1, right))
         return F.struct(
-            F.floor((a + left.cast("int")) / 2).cast("int").alias("a"), F.floor((b - right.cast("int")) / 2).cast("int").alias("b"), nodes.alias("nodes")
+            F.shiftright(a + left.cast("bigint"), 1).alias("a"), F.shiftright(b - right.cast("bigint"), 1).alias("b"), nodes.alias("nodes")
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS + 1)), start, step, lambda state: state["nodes"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda state: state["nodes"])
 
 
 def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numbers: list[str] = []) -> DataFrame:
@@ -379,7 +383,16 @@ def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numb
     mask = reduce(lambda a, b: a + b, [F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(filters)], F.lit(0))
     asked = distinct.withColumn("_mask", mask)
     masks = [r[0] for r in asked.select("_mask").distinct().collect()]  # at most 2 ** filters, whatever the number of requests
-    lists = {n: distinct.agg(F.sort_array(F.collect_set(f"{n}_value"))).scalar() for n in numbers}
+    values = [f"_v_{n}" for n in numbers]
+    known = catalog.select(*names, F.col("row_count").alias("_rows"), *[F.col(n).cast("double").alias(f"_v_{n}") for n in numbers])
+    known = known.groupBy(*names, *values).agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_r"))
+    known = cut_lineage(known) if numbers else known
+    found = {n: _places(distinct.select(F.col(f"{n}_value").cast("double")), known.select(f"_v_{n}")) for n in numbers}
+    levels = {n: (2 * total + 1).bit_length() for n, (_, total) in found.items()}
+
+    def with_place(df: DataFrame, n: str, value: str, place: str) -> DataFrame:
+        own = found[n][0].select(F.col("_value").alias("_known"), F.col("_place").alias(place))
+        return df.join(own, F.col(value).cast("double") == F.col("_known"), "left").drop("_known")
 
     def has(i: int) -> Column:
         return F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0
@@ -388,7 +401,7 @@ def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numb
         return F.to_json(F.struct("_mask", *[F.when(has(i), F.col(n).cast("string")).alias(f"f{i}") for i, n in enumerate(names_)]))
 
     named = F.col("_mask").bitwiseAND(F.lit((1 << len(names)) - 1)) > 0
-    alone = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("node")))
+    alone = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))
 
     def nodes(of_number) -> Column:
         """Where a row meets others: in its key alone, or in the ranges of the first bound if it has no name."""
@@ -397,27 +410,26 @@ def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numb
             choice = F.when(has(len(names) + i), of_number(numbers[i])).otherwise(choice)
         return F.when(named, alone).otherwise(choice)
 
-    listed = {n: F.col(f"_t_{n}") for n in numbers}
-    with_lists = catalog.withColumns({f"_t_{n}": lists[n] for n in numbers}) if numbers else catalog
-    placed = with_lists.select(*names, F.col("row_count").alias("_rows"), *[_place(listed[n], F.col(n).cast("double")).alias(f"_p_{n}") for n in numbers])
+    placed = reduce(lambda df, n: with_place(df, n, f"_v_{n}", f"_p_{n}"), numbers, known)
     places = [f"_p_{n}" for n in numbers]
-    cells = placed.groupBy(*names, *places).agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_r"))
+    cells = placed.groupBy(*names, *places).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
     cells = cells.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>")))
     kept = [F.when(has(len(names) + i), F.col(f"_p_{n}")).alias(f"_p_{n}") for i, n in enumerate(numbers)]
     cells = cells.select(key(names).alias("_key"), "_mask", *kept, "_n", "_r").groupBy("_key", "_mask", *places).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
-    up = lambda n: F.transform(F.sequence(F.lit(0), F.lit(_LEVELS + 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col(f"_p_{n}") / F.pow(F.lit(2.0), k)).cast("int").alias("node")))
+    up = lambda n: F.transform(F.array(*[F.lit(k) for k in range(levels[n] + 1)]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(f"_p_{n}"), k).alias("node")))
     cells = cells.select("_key", *places, "_n", "_r", F.inline(nodes(up)))
 
-    wanted = asked.select("*", key(names).alias("_key"), *[lists[n].alias(f"_t_{n}") for n in numbers])
+    wanted = asked.select("*", key(names).alias("_key"))
     for n in numbers:
-        on, top = _place(listed[n], F.col(f"{n}_value")), F.size(listed[n]) * 2
+        wanted = with_place(wanted, n, f"{n}_value", f"_on_{n}")
+        on, top = F.col(f"_on_{n}"), F.lit(2 * found[n][1])
         op = F.col(f"{n}_op")
         wanted = wanted.withColumns({
             f"_a_{n}": F.when(op == ">", on + 1).when(op.isin(">=", "="), on).otherwise(F.lit(0)),
             f"_b_{n}": F.when(op == "<", on - 1).when(op.isin("<=", "="), on).otherwise(top),
         })
     bounds = [f"_{x}_{n}" for n in numbers for x in "ab"]
-    wanted = wanted.select(*conditions, "_mask", "_key", *bounds, F.inline(nodes(lambda n: _halved(F.col(f"_a_{n}"), F.col(f"_b_{n}")))))
+    wanted = wanted.select(*conditions, "_mask", "_key", *bounds, F.inline(nodes(lambda n: _halved(F.col(f"_a_{n}"), F.col(f"_b_{n}"), levels[n]))))
     inside = reduce(
         lambda a, b: a & b,
         [~has(len(names) + i) | F.col(f"_p_{n}").between(F.col(f"_a_{n}"), F.col(f"_b_{n}")) for i, n in enumerate(numbers)], F.lit(True),

@@ -172,6 +172,25 @@ def test_match_counts_with_bounds_against_brute_force(spark, assets):
     assert len(got) == len(asked) and len(set(itertools.chain(got.values()))) > 10
 
 
+def test_places_of_many_numbers_come_from_ranges(spark):
+    known = spark.range(0, 3000).selectExpr("id / 2.0D AS v")
+    asked = spark.range(0, 1000).selectExpr("double(id) AS v").union(spark.createDataFrame([(None,)], "v double"))
+    places, total = search._places(asked, known)
+    got = {r[0]: r[1] for r in places.collect()}
+    assert total == 1000 and len(got) == 3000
+    assert all(p == 2 * min(-int(-v // 1), 1000) + (v < 1000 and v % 1 == 0) for v, p in got.items())
+    assert places.filter("_value is null").count() == 0
+
+
+def test_match_counts_sends_no_list_of_numbers(spark, assets):
+    asked = spark.range(5000).selectExpr("id", "'>' AS row_count_op", "double(id) AS row_count_value")
+    found = search.match_counts(asked, assets, [], ["row_count"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "scalar-subquery" not in plan
+    counts = [r["row_count"] for r in assets.collect()]
+    assert all(r.matches == sum(c > r.row_count_value for c in counts) for r in found.collect())
+
+
 def parsed(spark, text, strict):
     df = requests.parse(spark.createDataFrame([(text,)], "q string"), "q", strict)
     return {k: v for k, v in df.first().asDict().items() if v is not None and k != "q"}
