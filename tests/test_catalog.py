@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from helpers import rows
 import pytest
 from pyspark.sql import functions as F
 

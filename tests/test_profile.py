@@ -1,7 +1,7 @@
 import datetime as dt
 import decimal
 
-from conftest import rows
+from helpers import rows
 import pytest
 from pyspark.sql import functions as F
 
