@@ -46,6 +46,3 @@ def empty(spark):
 def corpus(spark):
     """The smallest given documents, over several partitions."""
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
-
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
