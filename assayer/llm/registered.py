@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, filter_audit, fingerprints, jaccard, near_vectors, packing, quality, suffix_array, suffix_tree, token_files, toxicity
+from assayer.llm import bpe, filter_audit, fingerprints, jaccard, near_vectors, packing, quality, sharding, suffix_array, suffix_tree, token_files, toxicity
 from assayer.llm.common import held_out, ready
 from assayer.session import scratch_path
 
@@ -123,6 +123,10 @@ FROM walked
 """
 
 
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
+
+
 def registry() -> dict:
     """Query and SQL (None where SQL cannot express it; those are tested against brute force)."""
     return {
@@ -137,4 +141,5 @@ def registry() -> dict:
         "op6_token_files": (op6_token_files, None),
         "op10_quality": (op10_quality, None),
         "op11_filter_audit": (op11_filter_audit, FILTER_AUDIT_SQL),
+        "op13_sharding": (op13_sharding, None),
     }
