@@ -69,7 +69,7 @@ def _cells(rows: DataFrame, shards: int, room: int) -> DataFrame:
 
 def _together(room: int) -> list[Column]:
     """What stays together where pieces are dealt by hash: the piece, or a cell of a large one."""
-    return [F.col("unit"), F.when(F.col("unit_n") > max(1, room // BUCKETS), F.col("salt")).otherwise(-1)]
+    return [F.col("unit"), F.when(F.col("unit_n") > room // 8, F.col("salt")).otherwise(-1)]
 
 
 def _proposals(cells: DataFrame, load: np.ndarray, shards: int, room: int, step: int) -> DataFrame:
@@ -118,7 +118,7 @@ def propagated(cells: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -
 
 def _filled(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """Exact shards and slots; ``label`` is the propagated shard, -1 without one, ``whole`` what should stay together."""
-    buckets = max(1, min(-(-total // 2000), 20_000), -(-total // 1_000_000))
+    buckets = max(1, min(-(-total // 200), 20_000), -(-total // 1_000_000))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("whole"), F.lit(buckets)))
     sizes = cut_lineage(rows.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")))
     load = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row a shard
