@@ -72,7 +72,9 @@ def test_equal_rows_without_ids(spark):
 def test_links_of_another_kind(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") < 400, F.col("id") % 40).otherwise(F.col("id")).alias("family"))
     found = sharding.sharded(sharding.described(docs, link=F.col("family")), 5)
-    assert {r[0] for r in found.groupBy("link").agg(F.countDistinct("shard")).select(F.col("count(DISTINCT shard)")).collect()} == {1}
+    spread = [r[1] for r in found.groupBy("link").agg(F.countDistinct("shard")).filter("link < 40").collect()]
+    # what a shard holds beyond its share leaves it at the end: at most one family a shard is cut
+    assert len(spread) == 40 and sum(n > 1 for n in spread) <= 5
     assert sorted(r[1] for r in found.groupBy("shard").count().collect()) == [120] * 5
 
 
