@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import bpe, filter_audit, fingerprints, jaccard, near_vectors, packing, quality, sharding, suffix_array, suffix_tree, token_files, toxicity
+from assayer.llm import bpe, filter_audit, fingerprints, jaccard, lexical, near_vectors, packing, quality, sharding, suffix_array, suffix_tree, token_files, toxicity
 from assayer.llm.common import held_out, ready
 from assayer.session import scratch_path
 
@@ -123,6 +123,42 @@ FROM walked
 """
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: Every document is scored for every item.
+RANKED_SEARCH_SQL = r"""
+WITH found AS (
+  SELECT doc_id, text, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+sizes AS (SELECT row_number() OVER () AS d, doc_id, len(terms) AS n, terms FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+postings AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM sizes) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+),
+items AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+scored AS (
+  SELECT item_id, text, d, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+
 def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
 
@@ -141,5 +177,6 @@ def registry() -> dict:
         "op6_token_files": (op6_token_files, None),
         "op10_quality": (op10_quality, None),
         "op11_filter_audit": (op11_filter_audit, FILTER_AUDIT_SQL),
+        "op12_ranked_search": (op12_ranked_search, RANKED_SEARCH_SQL),
         "op13_sharding": (op13_sharding, None),
     }
