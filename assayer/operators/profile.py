@@ -141,8 +141,9 @@ def profile_tables(
 
 
 def store_profile(profile: DataFrame, path: str, scan_id: str, state: str = "ACTIVE") -> None:
-    """Keep a profile under its scan id."""
-    profile.withColumns({"scan_id": F.lit(scan_id), "state": F.lit(state)}).write.mode("append").partitionBy("scan_id").parquet(path)
+    """Keep a profile under its scan id; a profile stored earlier under the same id is replaced, others stay."""
+    rows = profile.withColumns({"scan_id": F.lit(scan_id), "state": F.lit(state)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
 def stored_profile(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
