@@ -326,24 +326,33 @@ def similar(
 
 # --- many requests at once --------------------------------------------------------------------
 
-def _places(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
-    """``_value`` and ``_place`` of every number of both tables (one column each), and how many different numbers are asked for.
+def _all_places(asked: DataFrame, known: DataFrame, numbers: list[str]) -> tuple[DataFrame, list[int]]:
+    """``_number``, ``_value`` and ``_place`` of every number of both tables (a column for each of ``numbers``), and how many different ones are asked for.
 
-    A number's place is odd on a number that is asked for, even between two. The numbers are sorted in ranges; only one row
-    for each range comes back to the driver, whose counts become the places at which the ranges begin.
+    A number's place is odd on a number that is asked for, even between two. All numbers are sorted together in ranges; only
+    one row for each range and column comes back to the driver, whose counts become the places at which the ranges begin.
     """
-    one = lambda df, listed: df.toDF("_value").filter(F.col("_value").isNotNull()).withColumn("_listed", F.lit(listed))
-    both = one(asked, 1).union(one(known, 0)).groupBy("_value").agg(F.max("_listed").cast("bigint").alias("_listed"))
-    ranges = cut_lineage(both.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()))
-    found = ranges.groupBy("_part").agg(F.min("_value").alias("_first"), F.sum("_listed").alias("_n")).orderBy("_first").collect()
-    begins, total = [], 0
+    def values(df: DataFrame, listed: int) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("_number"), F.col(n).cast("double").alias("_value")) for i, n in enumerate(numbers)])
+        return df.select(F.inline(pairs)).filter(F.col("_value").isNotNull()).withColumn("_listed", F.lit(listed))
+
+    both = values(asked, 1).union(values(known, 0)).groupBy("_number", "_value").agg(F.max("_listed").cast("bigint").alias("_listed"))
+    ranges = cut_lineage(both.repartitionByRange("_number", "_value").withColumn("_part", F.spark_partition_id()))
+    found = ranges.groupBy("_number", "_part").agg(F.min("_value").alias("_first"), F.sum("_listed").alias("_n")).orderBy("_number", "_first").collect()
+    begins, totals = [], [0] * len(numbers)
     for row in found:
-        begins.append((row["_part"], total))
-        total += row["_n"]
-    begins = asked.sparkSession.createDataFrame(begins, "_part int, _begin bigint")
-    upto = F.sum("_listed").over(Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = ranges.withColumn("_upto", upto).join(begins, "_part")
-    return cut_lineage(counted.select("_value", ((F.col("_begin") + F.col("_upto")) * 2 - F.col("_listed")).alias("_place"))), total
+        begins.append((row["_number"], row["_part"], totals[row["_number"]]))
+        totals[row["_number"]] += row["_n"]
+    begins = asked.sparkSession.createDataFrame(begins, "_number int, _part int, _begin bigint")
+    upto = F.sum("_listed").over(Window.partitionBy("_number", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = ranges.withColumn("_upto", upto).join(begins, ["_number", "_part"])
+    return cut_lineage(counted.select("_number", "_value", ((F.col("_begin") + F.col("_upto")) * 2 - F.col("_listed")).alias("_place"))), totals
+
+
+def _places(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """``_value`` and ``_place`` of the numbers of one column."""
+    found, (total,) = _all_places(asked.toDF("_n"), known.toDF("_n"), ["_n"])
+    return found.drop("_number"), total
 
 
 def _halved(first: Column, last: Column, levels: int) -> Column:
@@ -374,11 +383,31 @@ def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numb
     A null filter means any value. ``names`` are compared for equality; of ``numbers`` a request has ``<name>_op`` and
     ``<name>_value``. The catalog is counted once by its names and by where its numbers lie among the numbers that requests
     name. Which filters occur together is known from the requests, so a count is kept for each such choice, and requests meet
-    counts by equality: of their names, or, for requests with bounds alone, of the halved ranges that make up the first bound.
+    counts by equality: of their names, of the halved ranges that make up their first bound, and, inside these, of those that make
+    up the second. So a bound meets a few counts for each halving, however many bounds and assets share a name; only a
+    third bound is looked at count by count.
     """
     conditions = [*names, *[f"{n}_{x}" for n in numbers for x in ("op", "value")]]
     requests = cut_lineage(requests)  # parsed once: the plan below reads the conditions in several places
-    distinct = requests.select(*conditions).distinct()
+    counted = _counted_conditions(requests.select(*conditions).distinct(), catalog, names, numbers)
+    counted = counted.withColumnsRenamed({c: f"_{c}" for c in conditions})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in conditions])
+    zero = F.lit(0).cast("bigint")
+    return requests.join(counted, same, "left").select(
+        *requests.columns, F.coalesce("matches", zero).alias("matches"), F.coalesce("matched_rows", zero).alias("matched_rows")
+    )
+
+
+def _counted_conditions(distinct: DataFrame, catalog: DataFrame, names: list[str], numbers: list[str]) -> DataFrame:
+    """``matches`` and ``matched_rows`` of each different choice of conditions that selects anything."""
+    conditions = distinct.columns
+    met = _met(distinct, catalog, names, numbers)
+    return met.groupBy(*conditions).agg(F.sum("_n").alias("matches"), F.sum("_r").alias("matched_rows"))
+
+
+def _met(distinct: DataFrame, catalog: DataFrame, names: list[str], numbers: list[str]) -> DataFrame:
+    """The counts that each choice of conditions is made of, one row each."""
+    conditions = distinct.columns
     filters = [F.col(n).isNotNull() for n in names] + [F.col(f"{n}_op").isNotNull() & F.col(f"{n}_value").isNotNull() for n in numbers]
     mask = reduce(lambda a, b: a + b, [F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(filters)], F.lit(0))
     asked = distinct.withColumn("_mask", mask)
@@ -386,59 +415,68 @@ def match_counts(requests: DataFrame, catalog: DataFrame, names: list[str], numb
     values = [f"_v_{n}" for n in numbers]
     known = catalog.select(*names, F.col("row_count").alias("_rows"), *[F.col(n).cast("double").alias(f"_v_{n}") for n in numbers])
     known = known.groupBy(*names, *values).agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_r"))
-    known = cut_lineage(known) if numbers else known
-    found = {n: _places(distinct.select(F.col(f"{n}_value").cast("double")), known.select(f"_v_{n}")) for n in numbers}
-    levels = {n: (2 * total + 1).bit_length() for n, (_, total) in found.items()}
+    known, totals = cut_lineage(known) if numbers else known, []
+    if numbers:
+        places, totals = _all_places(distinct.select(*[F.col(f"{n}_value").alias(n) for n in numbers]), known.toDF(*names, *numbers, "_n", "_r"), numbers)
 
-    def with_place(df: DataFrame, n: str, value: str, place: str) -> DataFrame:
-        own = found[n][0].select(F.col("_value").alias("_known"), F.col("_place").alias(place))
+    def with_place(df: DataFrame, i: int, value: str, place: str) -> DataFrame:
+        own = places.filter(F.col("_number") == i).select(F.col("_value").alias("_known"), F.col("_place").alias(place))
         return df.join(own, F.col(value).cast("double") == F.col("_known"), "left").drop("_known")
 
+    def bounded(m: int) -> list[int]:
+        return [i for i in range(len(numbers)) if m >> (len(names) + i) & 1]
+
     def has(i: int) -> Column:
         return F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0
 
-    def key(names_: list[str]) -> Column:
-        return F.to_json(F.struct("_mask", *[F.when(has(i), F.col(n).cast("string")).alias(f"f{i}") for i, n in enumerate(names_)]))
-
-    named = F.col("_mask").bitwiseAND(F.lit((1 << len(names)) - 1)) > 0
     alone = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))
 
-    def nodes(of_number) -> Column:
-        """Where a row meets others: in its key alone, or in the ranges of the first bound if it has no name."""
+    def nodes(nth: int, of_number) -> Column:
+        """Where a row meets others by its n-th bound: -1 without one."""
         choice = alone
-        for i in reversed(range(len(numbers))):
-            choice = F.when(has(len(names) + i), of_number(numbers[i])).otherwise(choice)
-        return F.when(named, alone).otherwise(choice)
-
-    placed = reduce(lambda df, n: with_place(df, n, f"_v_{n}", f"_p_{n}"), numbers, known)
-    places = [f"_p_{n}" for n in numbers]
-    cells = placed.groupBy(*names, *places).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
-    cells = cells.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>")))
-    kept = [F.when(has(len(names) + i), F.col(f"_p_{n}")).alias(f"_p_{n}") for i, n in enumerate(numbers)]
-    cells = cells.select(key(names).alias("_key"), "_mask", *kept, "_n", "_r").groupBy("_key", "_mask", *places).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
-    up = lambda n: F.transform(F.array(*[F.lit(k) for k in range(levels[n] + 1)]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(f"_p_{n}"), k).alias("node")))
-    cells = cells.select("_key", *places, "_n", "_r", F.inline(nodes(up)))
-
-    wanted = asked.select("*", key(names).alias("_key"))
-    for n in numbers:
-        wanted = with_place(wanted, n, f"{n}_value", f"_on_{n}")
-        on, top = F.col(f"_on_{n}"), F.lit(2 * found[n][1])
-        op = F.col(f"{n}_op")
+        for m in masks:
+            if len(bounded(m)) > nth:
+                choice = F.when(F.col("_mask") == m, of_number(bounded(m)[nth])).otherwise(choice)
+        return choice
+
+    def spread(df: DataFrame, of_number) -> DataFrame:
+        for nth in (0, 1):
+            df = df.select("*", F.inline(nodes(nth, of_number))).withColumnsRenamed({"level": f"_level{nth}", "node": f"_node{nth}"})
+        return df
+
+    own = [f"_f{i}" for i in range(len(names))]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """Names that a choice does not ask for are null; a name that it asks for is never null."""
+        return df.withColumns({f"_f{i}": F.when(has(i), F.col(n)) for i, n in enumerate(names)})
+
+    levels = [(2 * total + 1).bit_length() for total in totals]
+    third = lambda i: reduce(lambda a, b: a | b, [F.col("_mask") == m for m in masks if i in bounded(m)[2:]], F.lit(False))
+    cells = known
+    for i, n in enumerate(numbers):
+        cells = with_place(cells, i, f"_v_{n}", f"_p{i}")
+    place = [f"_p{i}" for i in range(len(numbers))]
+    cells = cells.groupBy(*names, *place).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+    cells = keyed(cells.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>"))))
+    cells = cells.filter(reduce(lambda a, b: a & b, [~has(i) | F.col(f"_f{i}").isNotNull() for i in range(len(names))] + [~has(len(names) + i) | F.col(f"_p{i}").isNotNull() for i in range(len(numbers))], F.lit(True)))
+    cells = cells.withColumns({f"_p{i}": F.when(has(len(names) + i), F.col(f"_p{i}")) for i in range(len(numbers))})
+    cells = cells.groupBy("_mask", *own, *place).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+    up = lambda i: F.transform(F.array(*[F.lit(k) for k in range(levels[i] + 1)]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(f"_p{i}"), k).alias("node")))
+    cells = spread(cells, up).withColumns({f"_p{i}": F.when(third(i), F.col(f"_p{i}")) for i in range(len(numbers))})
+    at = ["_level0", "_node0", "_level1", "_node1"]
+    cells = cells.groupBy("_mask", *own, *at, *place).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+
+    wanted = keyed(asked)
+    for i, n in enumerate(numbers):
+        wanted = with_place(wanted, i, f"{n}_value", f"_on{i}")
+        on, op = F.col(f"_on{i}"), F.col(f"{n}_op")
         wanted = wanted.withColumns({
-            f"_a_{n}": F.when(op == ">", on + 1).when(op.isin(">=", "="), on).otherwise(F.lit(0)),
-            f"_b_{n}": F.when(op == "<", on - 1).when(op.isin("<=", "="), on).otherwise(top),
+            f"_a{i}": F.when(op == ">", on + 1).when(op.isin(">=", "="), on).otherwise(F.lit(0)),
+            f"_b{i}": F.when(op == "<", on - 1).when(op.isin("<=", "="), on).otherwise(F.lit(2 * totals[i])),
         })
-    bounds = [f"_{x}_{n}" for n in numbers for x in "ab"]
-    wanted = wanted.select(*conditions, "_mask", "_key", *bounds, F.inline(nodes(lambda n: _halved(F.col(f"_a_{n}"), F.col(f"_b_{n}"), levels[n]))))
-    inside = reduce(
-        lambda a, b: a & b,
-        [~has(len(names) + i) | F.col(f"_p_{n}").between(F.col(f"_a_{n}"), F.col(f"_b_{n}")) for i, n in enumerate(numbers)], F.lit(True),
-    )
-    met = wanted.join(cells, ["_key", "level", "node"]).filter(inside)
-    counted = met.groupBy(*conditions).agg(F.sum("_n").alias("matches"), F.sum("_r").alias("matched_rows"))
-    counted = counted.withColumnsRenamed({c: f"_{c}" for c in conditions})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in conditions])
-    zero = F.lit(0).cast("bigint")
-    return requests.join(counted, same, "left").select(
-        *requests.columns, F.coalesce("matches", zero).alias("matches"), F.coalesce("matched_rows", zero).alias("matched_rows")
-    )
+    wanted = spread(wanted, lambda i: _halved(F.col(f"_a{i}"), F.col(f"_b{i}"), levels[i]))
+    wanted = wanted.withColumnsRenamed({c: f"_w{c}" for c in ["_mask", *own, *at]})
+    equal = [F.col(f"_w{c}") == F.col(c) for c in ["_mask", *at]] + [F.col(f"_w{c}").eqNullSafe(F.col(c)) for c in own]
+    inside = [~third(i) | F.col(f"_p{i}").between(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(numbers))]
+    met = wanted.join(cells, reduce(lambda a, b: a & b, equal)).filter(reduce(lambda a, b: a & b, inside, F.lit(True)))
+    return met.select(*conditions, "_n", "_r")

@@ -191,6 +191,26 @@ def test_match_counts_sends_no_list_of_numbers(spark, assets):
     assert all(r.matches == sum(c > r.row_count_value for c in counts) for r in found.collect())
 
 
+def test_bounds_of_one_name_meet_few_counts(spark):
+    catalog = spark.range(20_000).selectExpr("'prod' AS environment", "id % 5000 AS row_count", "double(id % 777) AS monthly_cost_usd")
+    asked = spark.range(10_000).selectExpr(
+        "'prod' AS environment", "IF(id % 2 = 0, '>', '<=') AS row_count_op", "double(id % 5000) AS row_count_value", "IF(id % 4 < 2, '<', '>=') AS monthly_cost_usd_op",
+        "IF(id % 3 = 0, double(id % 700), NULL) AS monthly_cost_usd_value",
+    )
+    numbers = ["row_count", "monthly_cost_usd"]
+    distinct = asked.select("environment", *[f"{n}_{x}" for n in numbers for x in ("op", "value")])
+    # a bound is made of at most 13 ranges, two bounds of 13 * 11; every request with every asset would be 200 million rows
+    assert search._met(distinct, catalog, ["environment"], numbers).count() < 10_000 * 13 * 11 / 2
+    got = search.match_counts(asked.withColumn("id", F.monotonically_increasing_id()), catalog, ["environment"], numbers)
+    known = [(r[1], r[2]) for r in catalog.collect()]
+    for r in got.orderBy(F.xxhash64("id")).limit(25).collect():
+        want = [
+            c for c, m in known if (c > r.row_count_value if r.row_count_op == ">" else c <= r.row_count_value)
+            and (r.monthly_cost_usd_value is None or (m < r.monthly_cost_usd_value if r.monthly_cost_usd_op == "<" else m >= r.monthly_cost_usd_value))
+        ]
+        assert (r.matches, r.matched_rows) == (len(want), sum(want))
+
+
 def parsed(spark, text, strict):
     df = requests.parse(spark.createDataFrame([(text,)], "q string"), "q", strict)
     return {k: v for k, v in df.first().asDict().items() if v is not None and k != "q"}
