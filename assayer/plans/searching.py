@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions import display
-from assayer.operators import catalog, report, requests, search
+from assayer.operators import catalog, report, requests, search, similarity
 from assayer.operators.search import B, K1, SearchRequest
 from assayer.plans import data
 from assayer.session import scratch_path
@@ -258,6 +258,22 @@ SIMILAR_SQL = """
 """
 
 
+def similar_for_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten items most like each reference, for every item whose number is divisible by 100, against all items."""
+    items = data.table(spark, sf, "embeddings")
+    references = items.filter("vec_id % 100 = 0")
+    found = similarity.similar_for(items, references, "embedding", "vec_id", "vec_id", threshold=0.2, k=10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+SIMILAR_FOR_SQL = """
+    SELECT ref_vec_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY ref_vec_id ORDER BY s DESC, vec_id) AS rank FROM (
+        SELECT r.vec_id AS ref_vec_id, e.vec_id, list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s
+        FROM embeddings r, embeddings e WHERE r.vec_id % 100 = 0) WHERE s >= 0.2) WHERE rank <= 10
+"""
+
+
 # --- hits ---------------------------------------------------------------------------------------
 
 
@@ -470,6 +486,7 @@ QUERIES = {
     "order_facets": (order_facets, ORDER_FACETS_SQL),
     "group_topk": (group_topk, GROUP_TOPK_SQL),
     "similar_items": (similar_items, SIMILAR_SQL),
+    "similar_for_references": (similar_for_references, SIMILAR_FOR_SQL),
     "hit_fields": (hit_fields, HIT_FIELDS_SQL),
     "hits_json": (hits_json, None),
     "hits_with_reports": (hits_with_reports, HITS_WITH_REPORTS_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,15 @@ def local_session(cores: int | str = 8, app: str = "assayer", **conf: str) -> Sp
     return spark
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers look for this package where the driver found it; on other machines ship it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
