@@ -344,9 +344,13 @@ def with_reports_of_run(catalog: DataFrame, report_rows: DataFrame) -> DataFrame
 
 
 def write_reports(report_rows: DataFrame, path: str) -> None:
-    """Reports under run, project, dataset and table folders, one text file each; tables share the write tasks."""
+    """Reports under run, project, dataset and table folders, one text file each; tables share the write tasks.
+
+    A report that is written again replaces the file of its own run and table.
+    """
     keys = ["run", "project_id", "dataset_id", "table_id"]
-    report_rows.select(*keys, F.col("markdown").alias("value")).write.mode("append").partitionBy(*keys).text(path)
+    rows = report_rows.select(*keys, F.col("markdown").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
 
 
 def documents(catalog: DataFrame) -> DataFrame:

@@ -55,3 +55,58 @@ def test_a_hits_path_is_where_the_report_lies(spark, run):
     hit = hit_fields(rows, "text", f"{root}/report_files").filter("table_id = 'nation'").first()
     text = "\n".join(r.value for r in spark.read.text(hit.report_path).collect())
     assert text.startswith("# sales.nation") and "region" in text
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    """A run, a failed attempt at a second one, and both repeated."""
+    root = str(tmp_path_factory.mktemp("runs"))
+    two = [a for a in data.assets(FOLDER) if a.table_id in ("region", "nation")]
+    collection.collect(spark, two, root, "2024-02-01 00:00:00")
+    with pytest.raises(Exception):
+        collection.collect(spark, two, root, "2024-02-02 00:00:00", edges=spark.createDataFrame([("a",)], "nothing string"))
+    after_failure = {name: collection.committed(spark, root, name).count() for name in ("facts", "catalog", "reports", "documents", "outcomes")}
+    collection.collect(spark, two[:1], root, "2024-02-01 00:00:00")
+    collection.collect(spark, two, root, "2024-02-02 00:00:00")
+    return root, after_failure
+
+
+def test_a_failed_attempt_is_never_read(store):
+    assert store[1] == dict.fromkeys(store[1], 2)
+
+
+def test_a_repeated_run_replaces_itself(spark, store):
+    root, _ = store
+    for name in ("facts", "catalog", "reports", "outcomes", "assets"):
+        rows = sorted((r.run_id, r.table_id) for r in collection.committed(spark, root, name).collect())
+        assert rows == [("20240201000000", "region"), ("20240202000000", "nation"), ("20240202000000", "region")], name
+    assert collection.committed(spark, root, "documents").count() == 3
+    newest = collection.committed(spark, root, "catalog", newest_only=True).collect()
+    assert {(r.run_id, r.table_id) for r in newest} == {("20240202000000", "region"), ("20240202000000", "nation")}
+    paths = [p for p, _, names in os.walk(f"{root}/report_files") for n in names if n.endswith(".txt")]
+    assert len(paths) == len(set(paths)) == 4
+
+
+def test_the_run_table(spark, store):
+    found = sorted((r.run_id, r.state, r.tables, r.formatted) for r in collection.runs(spark, store[0]).collect())
+    first, second = "20240201000000", "20240202000000"
+    assert found == [(first, "COMPLETED", 1, 1), (first, "COMPLETED", 2, 2), (second, "COMPLETED", 2, 2), (second, "FAILED", 2, 2)]
+    for r in collection.runs(spark, store[0]).collect():
+        assert r.started < r.ended and r.process == "discovery/collect" and bool(r.error) == (r.state == "FAILED")
+    events = collection.committed(spark, store[0], "events").collect()
+    assert len(events) == 3 and all(e.start_time < e.end_time for e in events)
+
+
+def test_an_attempt_that_died_is_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    assert collection.committed(spark, root, "facts") is None and collection.runs(spark, root).count() == 0
+    done = collection.Collected(root, "r1", "a1")
+    spark.range(3).write.parquet(done.folder("facts"))
+    collection._record(spark, done, "RUNNING", collection.datetime.now(collection.UTC), None, [], [])
+    assert collection.committed(spark, root, "facts") is None and collection.runs(spark, root).first().state == "RUNNING"
+
+
+def test_run_ids_are_names_of_folders(spark, tmp_path):
+    for bad in ("", "a/b", "../x", "a b", "a=b"):
+        with pytest.raises(ValueError):
+            collection.collect(spark, [], str(tmp_path), "2024-02-01 00:00:00", run_id=bad)
