@@ -37,6 +37,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
+def about(rows: int, total: int, *key: Column | str) -> Column:
+    """About ``rows`` of ``total`` rows, by a hash of their key: the same ones in any order. 62 bits, so that the share of no table is 0."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 62)) < F.lit(min(rows * (1 << 62) // max(total, 1), 1 << 62))
+
+
 def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts (last column) have about ``most`` bytes together; a longer text is alone."""
     return parts(batch.column(batch.num_columns - 1), most)

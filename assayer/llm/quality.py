@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.common import chunks, documents, flat, mixed, parts
+from assayer.llm.common import about, chunks, documents, flat, mixed, parts
 from assayer.llm.words import Hashes, lookup, sums, words
 
 
@@ -201,10 +201,8 @@ def fit(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
 
     # the sample by the hash of ids: the same rows in any order, at most fit_rows of them
     total = sum(counted.values())
-    share = min(1.0, settings.fit_rows / max(total, 1))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    if share == 1.0:
-        picked = docs
+    sampled = total > settings.fit_rows
+    picked = docs.filter(about(settings.fit_rows, total, "doc_id", F.lit("fit"))) if sampled else docs
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,6 +218,8 @@ def fit(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
 
     found = picked.mapInArrow(example, "x binary, target double").limit(2 * settings.fit_rows).toArrow()
     if not found.num_rows:
+        if sampled and docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).limit(1).count():
+            raise RuntimeError("no example to fit the scorer to: ids that most rows share cannot be sampled by")
         return Model(np.zeros(settings.buckets), 0.0, good)
     x = flat(found.column(0).combine_chunks())[0].view("<f2").reshape(found.num_rows, settings.buckets).astype(np.float32)
     target = np.asarray(found.column(1))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import jaccard, packing, quality, suffix_tree, toxicity
 from assayer.llm.common import ready
+from assayer.llm.registered import vocabulary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +48,6 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents' texts."""
+    """Bins of the documents' texts, sized by their tokens; an empty table gives no rows."""
     ready(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, vocabulary=vocabulary("byte_bpe_50k.json"))

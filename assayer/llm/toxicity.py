@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.common import chunks, documents, flat, held_out, mixed, parts
+from assayer.llm.common import about, chunks, documents, flat, held_out, mixed, parts
 from assayer.llm.words import LOWER, Hashes, lookup, words
 
 #: Words are runs of letters, digits and bytes beyond ASCII; a sentence ends at one of these.
@@ -151,7 +151,7 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_co
     )
     total = known.count()
     if total > settings.fit_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(settings.fit_rows / total * (1 << 20)))
+        known = known.filter(about(settings.fit_rows, total, "doc_id", F.lit("fit")))
     # the sampled labels are at most about fit_rows small rows, a proven bound, so the texts of other documents are not moved
     docs = documents(df, id_col, text_col).filter(~held_out(F.col("doc_id")))
     picked = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")

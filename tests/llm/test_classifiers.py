@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.llm import quality, toxicity
-from assayer.llm.common import flat, held_out
+from assayer.llm.common import about, flat, held_out
 from assayer.llm.words import Hashes, words
 
 FOLDER = "/root/testdata/sf0.1"
@@ -127,3 +127,22 @@ def test_words_and_hashes():
     assert found.doc.tolist() == [0, 0, 0, 2, 3, 3] and found.at.tolist() == [0, 3, 3, 4, 6]
     names = Hashes(data).of(found.start, found.end)
     assert names[1] == names[4] == names[5] and len(set(names.tolist())) == 4
+
+
+def test_examples_are_drawn_from_tables_of_any_size(spark):
+    ids = spark.range(20_000)
+    drawn = {i for (i,) in ids.filter(about(5_000, 20_000, "id")).collect()}
+    assert 4_500 < len(drawn) < 5_500
+    assert ids.filter(about(20_000, 20_000, "id")).count() == ids.filter(about(9, 3, "id")).count() == 20_000
+    # a share far below one in 2**20 still has a bound of its own
+    plan = ids.filter(about(6_000, 5 * 10**10, "id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert str(6_000 * 2**62 // (5 * 10**10)) in plan
+
+
+def test_ids_that_all_rows_share_are_an_error(spark):
+    docs = spark.range(9_000).selectExpr("7L AS doc_id", "concat('some words of text number ', id) AS text")
+    settings = quality.Settings(fit_rows=1)
+    with pytest.raises(RuntimeError):
+        quality.fit(docs, settings)
+    empty = docs.selectExpr("doc_id", "'  ' AS text")
+    assert quality.score(empty, quality.fit(empty, settings)).count() == 9_000
