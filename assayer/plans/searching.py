@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions import display
-from assayer.operators import catalog, report, requests, search, similarity
+from assayer.operators import catalog, report, requests, retrieval, search, similarity
 from assayer.operators.search import B, K1, SearchRequest
 from assayer.plans import data
 from assayer.session import scratch_path
@@ -58,6 +58,21 @@ def bm25_index_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def bm25_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page from an index in two segments: every fifth document was stored with another text first and then replaced."""
+    docs, path = data.table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "segments")
+    fifth = F.col("doc_id") % 5 == 0
+    retrieval.upsert(docs.withColumn("text", F.when(fifth, F.concat(F.lit("the old big que "), F.reverse("text"))).otherwise(F.col("text"))), "doc_id", "text", path)
+    retrieval.upsert(docs.filter(fifth), "doc_id", "text", path)
+    return retrieval.page(spark, path, QUERY, "doc_id", 20).hits.withColumn("score", F.round("score", 6))
+
+
+BM25_PAGE_SQL = f"""
+    SELECT CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM
+      (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({_bm25_sql('SELECT * FROM documents', WORDS)})) WHERE rank <= 20
+"""
+
+
 def term_index(spark: SparkSession, sf: str) -> DataFrame:
     """Document and total frequency of every term: the size of each posting list."""
     return search.build_index(data.table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(
@@ -473,6 +488,7 @@ REQUEST_MATCHES_SQL = f"""
 QUERIES = {
     "bm25_search": (bm25_search, BM25_SQL),
     "bm25_index_search": (bm25_index_search, BM25_SQL),
+    "bm25_page": (bm25_page, BM25_PAGE_SQL),
     "term_index": (term_index, TERM_INDEX_SQL),
     "boosted_search": (boosted_search, BOOSTED_SQL),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
