@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from assayer.functions import sqltext as q
 from assayer.operators.profile import unsigned_zero
 from assayer.operators.ranking import top_ranked
+from assayer.session import cut_lineage
 from assayer.sources.tables import Field, profilable
 
 
@@ -72,20 +73,50 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return _counted_pairs(df, _selected(df, columns), "value", whole_value)
 
 
+#: Longer values are counted by their beginning and digest, so what crosses the network for a distinct value has a bound.
+LONGEST_KEY = 64
+
+
+def key_of(f: Field) -> str:
+    """A short value as it is, a longer one as its first ``LONGEST_KEY`` characters and SHA-256."""
+    value = whole_value(f)
+    return f"CASE WHEN length({value}) <= {LONGEST_KEY} THEN {value} ELSE concat(substring({value}, 1, {LONGEST_KEY}), sha2({value}, 256)) END"
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct counts from the same counted pairs, without expanding whole rows once per column."""
-    return value_frequencies(df, columns).groupBy("column_name").agg(
+    """Exact distinct counts from counted keys, without expanding whole rows once per column or shuffling long texts."""
+    return _counted_pairs(df, _selected(df, columns), "value", key_of).groupBy("column_name").agg(
         F.sum("n").alias("total_rows"), F.count("value").alias("distinct_count")
     )
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
-    """The ``k`` most common values of every column, with their share of all rows."""
-    counted = value_frequencies(df, columns).filter("value IS NOT NULL")
-    ranked = _top(counted, k, F.desc("n"), "value")
-    rows = df.agg(F.count(F.lit(1))).scalar()  # from file footers; the values are scanned once
+    """The ``k`` most common values of every column, with their share of all rows.
+
+    Values are counted by their keys, so long texts are not shuffled. Equally common values go by their text; a key has its
+    beginning, so only winners, and texts that begin like the last of them, are fetched by a second scan of their columns.
+    """
+    chosen = _selected(df, columns)
+    counted = _counted_pairs(df, chosen, "key", key_of).filter("key IS NOT NULL")
+    by_count = F.rank().over(Window.partitionBy("column_name").orderBy(F.desc("n"), F.substring("key", 1, LONGEST_KEY)))
+    texts = [f for f in chosen if not isinstance(f.data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if texts:
+        near = cut_lineage(counted.withColumn("_place", by_count).filter(F.col("_place") <= k).drop("_place"))
+        long = near.filter(F.length("key") > LONGEST_KEY)
+        with_long = {r[0] for r in long.select("column_name").distinct().collect()}  # names of columns
+        fetch = [f for f in texts if f.dotted in with_long]
+        pairs = q.rows([q.struct(column_name=q.text(f.dotted), key=key_of(f), value=whole_value(f)) for f in fetch])
+        whole = near.filter(F.length("key") <= LONGEST_KEY).withColumn("value", F.col("key"))
+        if fetch:
+            wanted = long.withColumnsRenamed({"column_name": "_c", "key": "_k"})
+            found = df.selectExpr(pairs).filter(F.length("key") > LONGEST_KEY).join(wanted, (F.col("column_name") == F.col("_c")) & (F.col("key") == F.col("_k")))
+            whole = whole.unionByName(found.groupBy("column_name", "key").agg(F.first("n").alias("n"), F.first("value").alias("value")))
+    else:
+        whole = counted.withColumn("value", F.col("key"))
+    ranked = _top(whole, k, F.desc("n"), "value")
+    rows = df.agg(F.count(F.lit(1))).scalar()  # from file footers
     return ranked.withColumn("total_rows", rows).select(
-        "column_name", "rank", _shown(_selected(df, columns)).alias("value"), F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
+        "column_name", "rank", _shown(chosen).alias("value"), F.col("n").alias("value_count"), F.try_divide(F.col("n") * F.lit(100.0), F.col("total_rows")).alias("percentage")
     )
 
 

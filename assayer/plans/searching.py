@@ -329,8 +329,10 @@ def asset_details(spark: SparkSession, sf: str) -> DataFrame:
     """One known asset by name, and the nearest hit for a name that does not exist."""
     docs = data.document_assets(spark, sf).withColumn("text", F.concat_ws(" ", "dataset_id", "table_id", "text"))
     known = docs.agg(F.min(F.struct("id", "project_id", "dataset_id", "table_id"))).first()[0]
-    found = search.asset_details(docs, known.project_id, known.dataset_id, known.table_id, "id", "text")
     lost = search.asset_details(docs, "en", "src3", "no_such_table", "id", "text")
+    if known is None:  # an empty catalog has no asset to ask for
+        return lost.select("id", "match")
+    found = search.asset_details(docs, known.project_id, known.dataset_id, known.table_id, "id", "text")
     return found.union(lost).select("id", "match")
 
 

@@ -207,3 +207,17 @@ def test_quality_issues_and_status(mixed):
     assert rows(graded.select("s", quality.status(F.col("s")))) == [
         (0.79, "POOR"), (0.8, "FAIR"), (0.949, "FAIR"), (0.95, "GOOD"), (None, None)
     ]
+
+
+def test_common_values_with_long_texts(spark):
+    start = "x" * 70
+    texts = [start + "b"] * 3 + [start + "a"] * 3 + [start] * 3 + ["x" * 64] * 3 + ["y"] * 5 + [f"{start}{i:03d}" for i in range(200)] + ["z" * 64, None, ""]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").repartition(4)
+    found = [(r["rank"], r.value, r.value_count) for r in frequencies.top_values(df, ["t"], 8).orderBy("rank").collect()]
+    import collections
+
+    want = sorted(collections.Counter(t for t in texts if t is not None).items(), key=lambda x: (-x[1], x[0]))[:8]
+    assert found == [(n, t, c) for n, (t, c) in enumerate(want, 1)]
+    assert {r.column_name: r.distinct_count for r in frequencies.distinct_counts(df).collect()} == {"t": len(set(texts)) - 1, "i": len(texts)}
+    unique = spark.range(5000).selectExpr("concat(repeat('text', 30), lpad(id, 6, '0')) AS t")
+    assert [r.value[-6:] for r in frequencies.top_values(unique, k=3).orderBy("rank").collect()] == ["000000", "000001", "000002"]
