@@ -13,6 +13,9 @@ from assayer.session import cut_lineage
 
 EDGES = "source string, target string, edge_type string"
 
+#: Edges of one node that a task gets, about.
+HUB = 50_000
+
 # Comments and string literals hold no references.
 _NO_CODE = r"--[^\n]*|/\*(?s:.*?)\*/|'[^']*'"
 _QUOTED = r"`([^`.]+\.[^`.]+\.[^`.]+)`"
@@ -137,6 +140,47 @@ def reach(edges: DataFrame, roots: list[str], direction: str = "downstream", max
     return seen.filter("depth > 0")
 
 
+def reach_from(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int = 3, hub: int = HUB) -> DataFrame:
+    """``(root, node, depth)`` for every node that a root of the table ``roots`` reaches, with its smallest depth, without the root itself.
+
+    ``roots`` has a column ``root`` and may have ``max_depth`` (1 to 10), the depth of that root; of several rows of a root the deepest
+    counts, a null depth is ``max_depth``, a null root is none. All roots walk together: a round joins the frontier to the edges, which
+    are written once by node. The edges of a node with more than ``hub`` of them are dealt into parts, so no task gets a whole hub.
+    """
+    if direction not in ("downstream", "upstream"):
+        raise ValueError("direction must be downstream or upstream")
+    if not 1 <= max_depth <= 10:
+        raise ValueError("max_depth must lie between 1 and 10")
+    near, far = ("source", "target") if direction == "downstream" else ("target", "source")
+    limit = F.coalesce(F.col("max_depth").cast("int"), F.lit(max_depth)) if "max_depth" in roots.columns else F.lit(max_depth)
+    starts = roots.filter("root IS NOT NULL").groupBy("root").agg(F.max(limit).alias("max_depth"))
+    starts = cut_lineage(starts)
+    deepest, shallowest = starts.agg(F.max("max_depth"), F.min("max_depth")).first()
+    if deepest is not None and not 1 <= shallowest <= deepest <= 10:
+        raise ValueError("max_depth must lie between 1 and 10")
+
+    pairs = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).filter("node IS NOT NULL AND next IS NOT NULL").distinct()
+    pairs = cut_lineage(pairs)
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(hub)).cast("int")
+    degrees = cut_lineage(pairs.groupBy("node").agg(parts.alias("_parts")))
+    hubs = degrees.filter("_parts > 1")
+    dealt = pairs.join(hubs, "node", "left").withColumn("_part", F.pmod(F.xxhash64("next"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    steps = cut_lineage(dealt.select("node", "_part", "next").repartition("node", "_part"))
+
+    frontier = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), "max_depth")
+    seen = frontier
+    for depth in range(1, (deepest or 0) + 1):
+        going = frontier.filter(F.col("depth") < F.col("max_depth")).join(degrees, "node")
+        going = going.select("root", "max_depth", "node", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        found = going.join(steps, ["node", "_part"]).select("root", F.col("next").alias("node"), "max_depth").distinct()
+        fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = cut_lineage(fresh.select("root", "node", F.lit(depth).alias("depth"), "max_depth"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("depth > 0").select("root", "node", "depth")
+
+
 def lineage_graph(edges: DataFrame, root: str, direction: str = "both", max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Nodes (with direction and depth) and edges of the graph around one asset."""
     ways = ["upstream", "downstream"] if direction == "both" else [direction]

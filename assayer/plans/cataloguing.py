@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import schemas
 from assayer.functions import cost, display, naming
-from assayer.operators import catalog, classify, collection, frequencies, lineage, quality, report, selection
+from assayer.operators import bucketed, catalog, classify, collection, frequencies, lineage, quality, report, selection
 from assayer.operators.profile import ProfileOptions, profile_tables
 from assayer.operators.usage import cache_ttl, volatility
 from assayer.plans import data, profiling
@@ -175,6 +175,24 @@ def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
 UPSERT_SQL = f"WITH {_ORDER_DOCS_SQL} SELECT * FROM stored WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT * FROM fresh"
 
 
+def upsert_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents kept in buckets: loaded, upserted, compacted where much changed, and those of urgent orders deleted."""
+    stored, incoming = _order_documents(spark, sf)
+    path = scratch_path(spark, "documents")
+    bucketed.load(stored, "id", path, _newest())
+    bucketed.upsert(incoming, path, _newest())
+    bucketed.compact(spark, path)
+    urgent = data.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    bucketed.delete(urgent.select(F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("id")), path)
+    return bucketed.read(spark, path)
+
+
+UPSERT_BUCKETS_SQL = f"""
+    WITH {_ORDER_DOCS_SQL}, kept AS (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT * FROM fresh)
+    SELECT * FROM kept WHERE id NOT IN (SELECT 'order.' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+"""
+
+
 def upsert_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.upsert_outcome(*_order_documents(spark, sf), "id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n_documents"))
 
@@ -457,6 +475,22 @@ LINEAGE_DOWNSTREAM_SQL = _reach_sql("region:0", "source", "target", 4)
 LINEAGE_UPSTREAM_SQL = _reach_sql("part:7", "target", "source", 4)
 
 
+def lineage_from_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """What every nation feeds, each nation to a depth of its own, in one walk."""
+    roots = data.table(spark, sf, "nation").select(
+        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("root"), (1 + F.col("n_nationkey") % 4).alias("max_depth")
+    )
+    return lineage.reach_from(_stored_edges(spark, sf), roots).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+LINEAGE_FROM_ROOTS_SQL = f"""
+    WITH RECURSIVE e AS ({data.RECORD_EDGES_SQL}), r(root, node, depth, max_depth) AS (
+      SELECT 'nation:' || n_nationkey, 'nation:' || n_nationkey, 0, 1 + n_nationkey % 4 FROM nation
+      UNION SELECT r.root, e.target, r.depth + 1, r.max_depth FROM r JOIN e ON e.source = r.node WHERE r.depth < r.max_depth)
+    SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r WHERE node <> root GROUP BY root, node
+"""
+
+
 def lineage_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of the graph around one customer, both ways, three steps far."""
     nodes, _ = lineage.lineage_graph(_stored_edges(spark, sf), "customer:7", "both", 3)
@@ -909,6 +943,7 @@ QUERIES = {
     "asof_snapshot": (asof_snapshot, ASOF_SNAPSHOT_SQL),
     "latest_per_asset": (latest_per_asset, LATEST_PER_ASSET_SQL),
     "upsert_documents": (upsert_documents, UPSERT_SQL),
+    "upsert_buckets": (upsert_buckets, UPSERT_BUCKETS_SQL),
     "upsert_outcome": (upsert_outcome, UPSERT_OUTCOME_SQL),
     "reconcile_full": (reconcile_full, RECONCILE_FULL_SQL),
     "delete_documents": (delete_documents, DELETE_SQL),
@@ -931,6 +966,7 @@ QUERIES = {
     "reference_edges": (reference_edges, REFERENCE_EDGES_SQL),
     "lineage_downstream": (lineage_downstream, LINEAGE_DOWNSTREAM_SQL),
     "lineage_upstream": (lineage_upstream, LINEAGE_UPSTREAM_SQL),
+    "lineage_from_roots": (lineage_from_roots, LINEAGE_FROM_ROOTS_SQL),
     "lineage_totals": (lineage_totals, LINEAGE_TOTALS_SQL),
     "lineage_graph_edges": (lineage_graph_edges, LINEAGE_GRAPH_EDGES_SQL),
     "lineage_coverage": (lineage_coverage, LINEAGE_COVERAGE_SQL),

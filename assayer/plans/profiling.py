@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.fixed import INFO_TYPES, PHI_KEYWORDS, PII_KEYWORDS, REPORT_SENSITIVE_KEYWORDS
-from assayer.operators import classify, frequencies, quality, stored_profiles, usage
+from assayer.operators import classify, frequencies, quality, quartiles, stored_profiles, usage
 from assayer.operators.profile import (
     ProfileOptions, counts_from_ratios, first_of_kind, most_null, profile_table, profile_tables, ratios, store_profile, stored_profile,
 )
@@ -97,17 +97,14 @@ PROFILE_STRING_SQL = _union_sql([
 
 
 def profile_quartiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Quartiles from a mergeable sketch; at this accuracy they are exact below half a million rows."""
-    names = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "orders": ["o_totalprice"]}
-    options = ProfileOptions(nulls=False, cardinality=False, quantile_accuracy=1_000_000)
-    parts = [profile_table(data.table(spark, sf, t), t, columns, options) for t, columns in names.items()]
-    return union_all(parts).select("table_id", "column_name", "q1", "median", "q3")
+    """Exact quartiles of every numeric column of the estate."""
+    return quartiles.quartiles({n: data.table(spark, sf, n) for n in PROFILED})
 
 
 PROFILE_QUARTILES_SQL = _union_sql([
-    f"SELECT '{t}' AS table_id, '{c}' AS column_name, quantile_disc({c}, 0.25) AS q1, quantile_disc({c}, 0.5) AS median,"
-    f" quantile_disc({c}, 0.75) AS q3 FROM {t}"
-    for t, c in [("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("lineitem", "l_discount"), ("lineitem", "l_tax"), ("orders", "o_totalprice")]
+    f"SELECT '{t}' AS table_id, '{c}' AS column_name, CAST(quantile_disc({c}, 0.25) AS DOUBLE) AS q1, CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS median,"
+    f" CAST(quantile_disc({c}, 0.75) AS DOUBLE) AS q3 FROM {t}"
+    for t in PROFILED for c in NUMERIC[t]
 ])
 
 

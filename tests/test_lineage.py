@@ -35,6 +35,27 @@ def test_hub_node(spark):
     assert found.count() == 3001 and found.filter("depth = 2").count() == 3000
 
 
+def test_walks_of_many_roots(spark):
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("b", "e"), ("x", "y"), ("a", "b"), (None, "z"), ("y", None))
+    roots = spark.createDataFrame([("a", 10), ("a", 1), ("c", 1), ("x", None), ("nowhere", 3), (None, 2)], "root string, max_depth int")
+    expected = [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("a", "e", 2), ("c", "a", 1), ("x", "y", 1)]
+    assert rows(lineage.reach_from(e, roots)) == expected
+    # a hub of one edge each: every list is dealt into parts
+    assert rows(lineage.reach_from(e, roots, hub=1)) == expected
+    assert rows(lineage.reach_from(e, roots.select("root").filter("root = 'c'"), "upstream", 2)) == [("c", "a", 2), ("c", "b", 1)]
+    assert lineage.reach_from(e, roots.limit(0)).count() == 0 and lineage.reach_from(e.limit(0), roots).count() == 0
+    for wrong in (0, 11):
+        with pytest.raises(ValueError):
+            lineage.reach_from(e, spark.createDataFrame([("a", wrong)], "root string, max_depth int"))
+
+
+def test_walks_of_many_roots_equal_single_walks(spark):
+    e = spark.range(300).selectExpr("string(id % 60) AS source", "string((id * 7 + id DIV 60) % 60) AS target", "'x' AS edge_type")
+    together = lineage.reach_from(e, spark.createDataFrame([("3",), ("17",)], "root string"), max_depth=3, hub=2)
+    for root in ("3", "17"):
+        assert rows(together.filter(F.col("root") == root).drop("root")) == rows(lineage.reach(e, [root]))
+
+
 def test_graph_and_totals(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("z", "q"))
     nodes, inner = lineage.lineage_graph(e, "b")
