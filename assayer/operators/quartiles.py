@@ -20,8 +20,8 @@ from assayer.functions import sqltext as q
 from assayer.operators.profile import unsigned_zero
 from assayer.sources.tables import Field, profilable, union_all
 
-#: Accuracy of the sketch that proposes a bracket: one over the share of rows that a rank may be off.
-ACCURACY = 2_000
+#: Size of the sketch that proposes a bracket; a rank is rarely off by more than ``4 / k`` of the rows.
+SKETCH_K = 2_000
 #: Parts into which the sketch cuts a bracket.
 PARTS = 256
 #: Rows of a bracket whose values are counted one by one.
@@ -74,12 +74,12 @@ def _after(x: float) -> float:
 
 
 def quantiles(
-    tables: dict[str, DataFrame], probabilities: tuple[float, ...] = (0.25, 0.5, 0.75), few: int = FEW_ROWS, accuracy: int = ACCURACY, columns_per_pass: int = 4
+    tables: dict[str, DataFrame], probabilities: tuple[float, ...] = (0.25, 0.5, 0.75), few: int = FEW_ROWS, sketch_k: int = SKETCH_K, columns_per_pass: int = 2
 ) -> DataFrame:
     """The smallest value that has at least the given share of a column's filled cells at or below it (schema ``RESULT``).
 
     Every numeric column of every table; columns without a value give null. Not-a-number is the largest number. The driver sees one row a
-    column and round. ``few`` and ``accuracy`` decide how many scans are needed, not the result.
+    column and round. ``few`` and ``sketch_k`` decide how many scans are needed, not the result.
     """
     if not all(0 <= p <= 1 for p in probabilities):
         raise ValueError("probabilities must lie between 0 and 1")
@@ -90,7 +90,7 @@ def quantiles(
     if not targets:
         return spark.createDataFrame([], RESULT)
     while left := [t for t in targets if t.open(few)]:
-        _round(tables, left, accuracy, columns_per_pass)
+        _round(tables, left, sketch_k, columns_per_pass)
     return _selected(spark, tables, targets)
 
 
@@ -108,84 +108,97 @@ def _passes(targets: list[_Target], columns_per_pass: int) -> list[list[_Target]
     return out
 
 
-def _scan(tables: dict[str, DataFrame], targets: list[_Target], columns_per_pass: int, measures) -> list:
-    """Aggregate all targets as one job; ``measures`` gives a target's aggregates by name. One row a target comes back."""
+def _scan(tables: dict[str, DataFrame], targets: list[_Target], sketch_k: int, columns_per_pass: int) -> list:
+    """Count what is tried for each target and sketch what lies inside, as one job. One row a target comes back, in their order."""
+    # one short constant, read once, in place of an array of literals for each quantile
+    parts = f"CAST(split('{','.join(str(i / PARTS) for i in range(PARTS + 1))}', ',') AS ARRAY<DOUBLE>)"
     place = {id(t): i for i, t in enumerate(targets)}
     frames = []
     for mine in _passes(targets, columns_per_pass):
-        aggregates, structs = [], []
+        names: dict[str, str] = {}  # quantiles of a column that still share a bracket share its aggregates
+        structs = []
         for t in mine:
-            i = place[id(t)]
-            found = measures(t)
-            aggregates += [f"{agg} AS {name}_{i}" for name, agg in found.items()]
-            structs.append(q.struct(place=str(i), **{name: f"{name}_{i}" for name in found}))
-        frames.append(tables[mine[0].table_id].selectExpr(*aggregates).selectExpr(q.rows(structs)))
+            inside = t.within(*t.tried)
+            wanted = [
+                f"count_if({t.within(t.low, t.high)} AND {t.number} < {_literal(t.tried[0])})",
+                f"count_if({inside})",
+                f"kll_sketch_agg_double(CASE WHEN {inside} THEN {t.number} END, {sketch_k})",
+            ]
+            below, held, sketch = (names.setdefault(agg, f"_{len(names)}") for agg in wanted)
+            n = f"coalesce(kll_sketch_get_n_double({sketch}), 0L)"
+            cuts = f"CASE WHEN {n} > 0 THEN kll_sketch_get_quantile_double({sketch}, {parts}) END"
+            structs.append(q.struct(place=str(place[id(t)]), below=below, inside=held, n=n, cuts=cuts))
+        found = tables[mine[0].table_id].selectExpr(*(f"{agg} AS {name}" for agg, name in names.items()))
+        frames.append(found.selectExpr(q.rows(structs)))
     return sorted(union_all(frames).collect(), key=lambda r: r["place"])
 
 
-def _round(tables: dict[str, DataFrame], targets: list[_Target], accuracy: int, columns_per_pass: int) -> None:
-    """One scan: count what is tried, and sketch what lies inside it."""
-    # one short constant, read once, in place of an array of literals for each quantile
-    parts = f"CAST(split('{','.join(str(i / PARTS) for i in range(PARTS + 1))}', ',') AS ARRAY<DOUBLE>)"
-
-    def measures(t: _Target) -> dict[str, str]:
-        inside = t.within(*t.tried)
-        return {
-            "below": f"count_if({t.within(t.low, t.high)} AND {t.number} < {_literal(t.tried[0])})",
-            "inside": f"count_if({inside})",
-            "cuts": f"percentile_approx(CASE WHEN {inside} THEN {t.number} END, {parts}, {accuracy})",
-        }
-
-    for t, found in zip(targets, _scan(tables, targets, columns_per_pass, measures)):
+def _round(tables: dict[str, DataFrame], targets: list[_Target], sketch_k: int, columns_per_pass: int) -> None:
+    """One scan: the brackets that the counts confirm are taken, and the next ones proposed."""
+    for t, found in zip(targets, _scan(tables, targets, sketch_k, columns_per_pass)):
         below, inside = found["below"], found["inside"]
         if t.rank is None:
             t.inside, t.rank = inside, min(inside, max(1, math.ceil(Fraction(str(t.quantile)) * inside)))
         low, high = t.tried
-        if t.rank <= t.below + below and below:
+        if below and t.rank <= t.below + below:
             t.high, t.inside = _before(low), below
         elif t.rank > t.below + below + inside:
             t.low, t.below, t.inside = _after(high), t.below + below + inside, t.inside - below - inside
         else:
             t.low, t.high, t.below, t.inside = low, high, t.below + below, inside
-            t.tried = _narrower(t, found["cuts"], accuracy)
+            t.tried = _narrower(t, found["n"], found["cuts"], 4 / sketch_k)
             continue
         t.tried = t.low, t.high  # not confirmed: the part that holds the quantile is sketched anew
 
 
-def _narrower(t: _Target, cuts: list[float] | None, accuracy: int) -> tuple[float, float]:
-    """The parts around the rank, by the sketch's error; a bracket that would stay as it is loses its lowest value, so every round gains."""
-    if not cuts:
-        return t.low, t.high
-    at = (t.rank - t.below) / t.inside
-    low = cuts[max(0, math.floor((at - 2 / accuracy) * PARTS))]
-    high = cuts[min(PARTS, math.ceil((at + 2 / accuracy) * PARTS))]
-    return (low, low) if _same(low, t.low) and _same(high, t.high) else (low, high)
+def _narrower(t: _Target, n: int, cuts: list[float] | None, error: float) -> tuple[float, float]:
+    """The parts around the rank, by the sketch's error, or without it where the bracket would stay as it is; else its lowest value is tried, so every round gains.
+
+    The sketch passes over what is not a number, which comes after its ``n`` values.
+    """
+    nth = t.rank - t.below
+    if nth > n or not n:  # also a column without a value
+        return math.nan, math.nan
+    for slack in (error, 0.0):
+        low = cuts[max(0, math.floor((nth / n - slack) * PARTS))]
+        high = cuts[min(PARTS, math.ceil((nth / n + slack) * PARTS))]
+        if not (_same(low, t.low) and _same(high, t.high)):
+            return low, high
+    return low, low
 
 
 def _selected(spark: SparkSession, tables: dict[str, DataFrame], targets: list[_Target]) -> DataFrame:
     """Brackets with few rows: their values are counted, and the first whose running count reaches the rank is the quantile."""
-    rows = [
-        (i, t.table_id, t.column.dotted, t.column.ordinal, t.quantile, t.rank - t.below, t.low if t.rank and _same(t.low, t.high) else None)
-        for i, t in enumerate(targets)
-    ]
-    wanted = spark.createDataFrame(rows, "place int, table_id string, column_name string, ordinal int, quantile double, nth bigint, known double")
-    place = {id(t): i for i, t in enumerate(targets)}
-    searched = [t for t in targets if t.rank and not _same(t.low, t.high)]
+    brackets: dict[tuple, int] = {}  # quantiles that share a bracket share its values
+    rows, searched = [], []
+    for t in targets:
+        known = t.rank == 0 or _same(t.low, t.high)
+        bracket = None
+        if not known:
+            key = (t.table_id, t.column.path, t.low, t.high if t.high == t.high else None)
+            if key not in brackets:
+                searched.append(t)
+            bracket = brackets.setdefault(key, len(brackets))
+        value = t.low if known and t.rank else None
+        rows.append((bracket, t.table_id, t.column.dotted, t.column.ordinal, t.quantile, t.rank - t.below, value))
+    wanted = spark.createDataFrame(rows, "bracket int, table_id string, column_name string, ordinal int, quantile double, nth bigint, known double")
     if not searched:
         return wanted.selectExpr("table_id", "column_name", "ordinal", "quantile", "known AS value")
+    number = {id(t): i for i, t in enumerate(searched)}
     frames = []
     for mine in _passes(searched, 1_000_000):
-        cells = [f"CASE WHEN {t.within(t.low, t.high)} THEN named_struct('place', {place[id(t)]}, 'value', {t.number}) END" for t in mine]
+        cells = [f"CASE WHEN {t.within(t.low, t.high)} THEN named_struct('bracket', {number[id(t)]}, 'value', {t.number}) END" for t in mine]
         frames.append(tables[mine[0].table_id].selectExpr(f"inline(array_compact(array({', '.join(cells)})))"))
-    counted = union_all(frames).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))  # at most ``few`` values a place
-    reached = counted.withColumn("reached", F.sum("n").over(Window.partitionBy("place").orderBy("value")))
-    hit = reached.join(F.broadcast(wanted.select("place", "nth")), "place").filter((F.col("reached") >= F.col("nth")) & (F.col("reached") - F.col("n") < F.col("nth")))
-    found = wanted.join(hit.select("place", F.col("value").alias("_value")), "place", "left")
-    return found.selectExpr("table_id", "column_name", "ordinal", "quantile", "coalesce(known, _value) AS value")
+    counted = union_all(frames).groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))  # at most ``few`` values a bracket
+    reached = counted.withColumn("reached", F.sum("n").over(Window.partitionBy("bracket").orderBy("value")))
+    hit = (F.col("reached") >= F.col("nth")) & (F.col("reached") - F.col("n") < F.col("nth"))
+    # one row a quantile
+    found = reached.join(F.broadcast(wanted.select("bracket", "quantile", "nth")), "bracket").filter(hit).select("bracket", "quantile", F.col("value").alias("_value"))
+    return wanted.join(found, ["bracket", "quantile"], "left").selectExpr("table_id", "column_name", "ordinal", "quantile", "coalesce(known, _value) AS value")
 
 
-def quartiles(tables: dict[str, DataFrame], few: int = FEW_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+def quartiles(tables: dict[str, DataFrame], few: int = FEW_ROWS, sketch_k: int = SKETCH_K) -> DataFrame:
     """One row a numeric column: ``table_id``, ``column_name``, ``q1``, ``median``, ``q3``."""
-    found = quantiles(tables, (0.25, 0.5, 0.75), few, accuracy)
+    found = quantiles(tables, (0.25, 0.5, 0.75), few, sketch_k)
     at = lambda p, name: F.max(F.when(F.col("quantile") == p, F.col("value"))).alias(name)
     return found.groupBy("table_id", "column_name").agg(at(0.25, "q1"), at(0.5, "median"), at(0.75, "q3"))
