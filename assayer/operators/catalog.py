@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayer import schemas
@@ -11,6 +15,7 @@ from assayer.operators.ranking import top_ranked
 
 # Names kept inline per table and direction; larger neighbourhoods are whole in ``lineage_neighbours`` and ``lineage_documents``.
 INLINE_EDGES = 1000
+_DIGESTS = pa.schema([("table_ref", pa.string()), ("direction", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("digest", pa.string())])
 
 
 # --- assembly ---------------------------------------------------------------------------------
@@ -84,6 +89,40 @@ def lineage_neighbours(edges: DataFrame, size: int = INLINE_EDGES) -> DataFrame:
     return dealt.groupBy(*keys, "part", "parts", "total").agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
+def neighbourhood_digests(parts: DataFrame) -> DataFrame:
+    """``(table_ref, direction, n, total, digest)`` of the parts of :func:`lineage_neighbours`: the MD5 of all names in order, joined by commas.
+
+    The names pass through a task in order, a batch at a time, so a hub of any size is never put together.
+    """
+    keys = ["table_ref", "direction"]
+    names = parts.select(*keys, "total", F.explode("names").alias("name"))
+    ordered = names.repartition(*keys).sortWithinPartitions(*keys, "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, n, digest = None, 0, 0, None
+        for batch in batches:
+            table, way, sums, texts = (batch.column(c).to_pylist() for c in ("table_ref", "direction", "total", "name"))
+            changes = [i for i in range(len(table)) if (table[i], way[i]) != ((table[i - 1], way[i - 1]) if i else own)]
+            out = []
+            # the rows of a batch that go on with the last group, then those of each new one
+            for at, to in zip([0, *changes], [*changes, len(table)], strict=True):
+                if to == at:
+                    continue
+                key = (table[at], way[at])
+                if key != own:
+                    if own is not None:
+                        out.append((*own, n, total, digest.hexdigest()))
+                    own, total, n, digest = key, sums[at], 0, hashlib.md5(usedforsecurity=False)
+                digest.update(((b"," if n else b"") + ",".join(texts[at:to]).encode()))
+                n += to - at
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DIGESTS.types)], schema=_DIGESTS)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*own, n, total, digest.hexdigest()), _DIGESTS.types)], schema=_DIGESTS)
+
+    return ordered.mapInArrow(run, "table_ref string, direction string, n long, total long, digest string")
+
+
 def lineage_documents(edges: DataFrame, size: int = INLINE_EDGES) -> DataFrame:
     """What a catalog row's lists cannot hold, as further documents ``(id, table_ref, text)``: every name of each neighbourhood over ``size``."""
     heading = F.when(F.col("direction") == "upstream", F.lit("## Upstream Sources")).otherwise(F.lit("## Downstream Consumers"))

@@ -389,17 +389,13 @@ def lineage_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The whole neighbourhood of every asset in parts: raw tables with thousands of views among them."""
     edges = lineage.view_dependencies(data.views(spark, sf), data.view_tables(spark, sf))
     parts = catalog.lineage_neighbours(edges, 100)
-    # a number for each part, whatever the order of its names: a hub's parts are added up, never put together
-    number = lambda name: F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
-    sums = parts.withColumn("names_sum", F.aggregate("names", F.lit(0).cast("bigint"), lambda total, name: total + number(name)))
-    return sums.groupBy("table_ref", "direction").agg(F.sum(F.size("names")).alias("n_names"), F.max("total").alias("total"), F.sum("names_sum").alias("names_sum"))
+    return catalog.neighbourhood_digests(parts).select("table_ref", "direction", F.col("n").alias("n_names"), "total", F.col("digest").alias("names_md5"))
 
 
 LINEAGE_NEIGHBOURS_SQL = f"""
     WITH e AS ({VIEW_DEPENDENCIES_SQL}),
     n AS (SELECT target AS table_ref, 'upstream' AS direction, source AS name FROM e UNION ALL SELECT source, 'downstream', target FROM e)
-    SELECT table_ref, direction, count(*) AS n_names, count(*) AS total,
-      CAST(sum(CAST('0x' || substr(md5(name), 1, 8) AS BIGINT)) AS BIGINT) AS names_sum FROM n GROUP BY ALL
+    SELECT table_ref, direction, count(*) AS n_names, count(*) AS total, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM n GROUP BY ALL
 """
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 from helpers import rows
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,13 @@ def test_the_whole_neighbourhood_of_a_hub(spark):
     assert {r.total for r in parts} == {1500} and {r.parts for r in parts} == {15} and max(len(r.names) for r in parts) < 160
     assert sorted(n for r in parts for n in r.names) == sorted(f"p.v.v{i}" for i in range(1500))
     assert catalog.lineage_documents(edges, 1500).count() == 0 and catalog.lineage_documents(edges, 700).count() == 3
+
+
+def test_the_digest_of_a_whole_neighbourhood(spark):
+    hub = spark.range(25000).selectExpr("'p.d.hub' AS source", "concat('p.v.v', id) AS target", "'view' AS edge_type")
+    found = catalog.neighbourhood_digests(catalog.lineage_neighbours(hub.union(edges(spark, ("a", "é"), ("a", "b"), ("a", "b"))), 100))
+    names = sorted(f"p.v.v{i}" for i in range(25000))
+    md5 = lambda *x: hashlib.md5(",".join(x).encode()).hexdigest()
+    got = {(r.table_ref, r.direction): (r.n, r.total, r.digest) for r in found.collect()}
+    assert len(got) == 25004 and got["p.d.hub", "downstream"] == (25000, 25000, md5(*names))
+    assert got["a", "downstream"] == (3, 3, md5("b", "b", "é")) and got["b", "upstream"] == (2, 2, md5("a", "a")) and got["p.v.v7", "upstream"] == (1, 1, md5("p.d.hub"))
