@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.display import utc
@@ -15,6 +16,8 @@ EDGES = "source string, target string, edge_type string"
 
 #: Edges of one node that a task gets, about.
 HUB = 50_000
+#: Edges that a task of a walk reads, about.
+STEPS = 1_000_000
 
 # Comments and string literals hold no references.
 _NO_CODE = r"--[^\n]*|/\*(?s:.*?)\*/|'[^']*'"
@@ -145,7 +148,7 @@ def reach_from(edges: DataFrame, roots: DataFrame, direction: str = "downstream"
 
     ``roots`` has a column ``root`` and may have ``max_depth`` (1 to 10), the depth of that root; of several rows of a root the deepest
     counts, a null depth is ``max_depth``, a null root is none. All roots walk together: a round joins the frontier to the edges, which
-    are written once by node. The edges of a node with more than ``hub`` of them are dealt into parts, so no task gets a whole hub.
+    are dealt by node once. The edges of a node with more than ``hub`` of them are dealt into parts, so no task gets a whole hub.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
@@ -154,30 +157,36 @@ def reach_from(edges: DataFrame, roots: DataFrame, direction: str = "downstream"
     near, far = ("source", "target") if direction == "downstream" else ("target", "source")
     limit = F.coalesce(F.col("max_depth").cast("int"), F.lit(max_depth)) if "max_depth" in roots.columns else F.lit(max_depth)
     starts = roots.filter("root IS NOT NULL").groupBy("root").agg(F.max(limit).alias("max_depth"))
-    starts = cut_lineage(starts)
+    spark, starts = edges.sparkSession, cut_lineage(starts)
     deepest, shallowest = starts.agg(F.max("max_depth"), F.min("max_depth")).first()
     if deepest is not None and not 1 <= shallowest <= deepest <= 10:
         raise ValueError("max_depth must lie between 1 and 10")
 
-    pairs = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).filter("node IS NOT NULL AND next IS NOT NULL").distinct()
-    pairs = cut_lineage(pairs)
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(hub)).cast("int")
-    degrees = cut_lineage(pairs.groupBy("node").agg(parts.alias("_parts")))
-    hubs = degrees.filter("_parts > 1")
-    dealt = pairs.join(hubs, "node", "left").withColumn("_part", F.pmod(F.xxhash64("next"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    steps = cut_lineage(dealt.select("node", "_part", "next").repartition("node", "_part"))
-
-    frontier = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), "max_depth")
-    seen = frontier
-    for depth in range(1, (deepest or 0) + 1):
-        going = frontier.filter(F.col("depth") < F.col("max_depth")).join(degrees, "node")
-        going = going.select("root", "max_depth", "node", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-        found = going.join(steps, ["node", "_part"]).select("root", F.col("next").alias("node"), "max_depth").distinct()
-        fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        frontier = cut_lineage(fresh.select("root", "node", F.lit(depth).alias("depth"), "max_depth"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    pairs = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).filter("node IS NOT NULL AND next IS NOT NULL")
+    degrees = cut_lineage(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).groupBy((F.col("_n") > hub).alias("_hub"), F.when(F.col("_n") > hub, F.col("node")).alias("node")).agg(F.sum("_n").alias("_n")))
+    total = degrees.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # at most one row for every ``hub`` edges
+    hubs = degrees.filter("_hub").select("node", F.ceil(F.col("_n") / F.lit(hub)).cast("int").alias("_parts"))
+    dealt = pairs.join(F.broadcast(hubs), "node", "left").withColumn("_part", F.pmod(F.xxhash64("next"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    # kept on the executors' disks as they are dealt and sorted, so that no round shuffles or sorts the edges again
+    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // STEPS))
+    steps = dealt.select("node", "_part", "next").repartition(ways, "node", "_part").sortWithinPartitions("node", "_part").persist(StorageLevel.DISK_ONLY)
+    try:
+        frontier = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), "max_depth")
+        seen = frontier
+        for depth in range(1, (deepest or 0) + 1):
+            going = frontier.filter(F.col("depth") < F.col("max_depth")).join(F.broadcast(hubs), "node", "left")
+            parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+            going = going.select("root", "max_depth", "node", F.explode(parts).alias("_part"))
+            # an edge may come twice, and a node by several ways; both are dropped where the known nodes are
+            found = going.join(steps, ["node", "_part"]).groupBy("root", F.col("next").alias("node")).agg(F.first("max_depth").alias("max_depth"))
+            fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+            frontier = cut_lineage(fresh.select("root", "node", F.lit(depth).alias("depth"), "max_depth"))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+    finally:
+        steps.unpersist()
     return seen.filter("depth > 0").select("root", "node", "depth")
 
 

@@ -58,6 +58,20 @@ def test_walks_of_many_roots_equal_single_walks(spark):
         assert rows(together.filter(F.col("root") == root).drop("root")) == rows(lineage.reach(e, [root]))
 
 
+def test_a_walk_writes_no_copy_of_the_edges(spark, monkeypatch):
+    written, cut = [], lineage.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "cut_lineage", counted)
+    e = spark.range(5000).selectExpr("string(id % 700) AS source", "string(700 + id) AS target", "'x' AS edge_type")
+    found = lineage.reach_from(e, spark.createDataFrame([("3",), ("17",)], "root string"))
+    assert found.groupBy("root").count().count() == 2 and max(written) < 100
+
+
 def test_graph_and_totals(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("z", "q"))
     nodes, inner = lineage.lineage_graph(e, "b")
