@@ -12,10 +12,14 @@ row of totals is written, which comes last.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 import math
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,8 +28,8 @@ from assayer.session import cut_lineage
 
 #: Documents of a lane.
 LANE = 128
-#: Postings of a bucket of terms, about.
-BUCKET_POSTINGS = 2_000_000
+#: Postings of a bucket of terms, about; each task writes a file of each bucket.
+BUCKET_POSTINGS = 50_000_000
 #: Scores are ranked by nine decimals, so equal documents stay in the order of their keys; bounds get some slack.
 _DECIMALS, _SLACK = 9, 1e-6
 _TOTALS = "segment int, buckets int, docs bigint, words bigint, blocks bigint"
@@ -55,6 +59,49 @@ def _segments(spark: SparkSession, path: str, name: str, totals: list) -> DataFr
     return spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/segment={t['segment']}" for t in totals])
 
 
+def _lanes(rows: DataFrame) -> DataFrame:
+    """Blocks ``(term, lane, key, tf, length, most, least, n)``: a term's postings in a lane as three lists, with their bounds.
+
+    Documents of similar length share a lane, so a lane's bound is near what its documents reach. A lane lies in one task, in
+    which its postings are counted; words are shuffled once, as texts, and postings not at all.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
+    rows = rows.filter("length > 0").repartitionByRange("length", "key").sortWithinPartitions("length", "key")
+    rows = rows.withColumn("lane", F.floor(F.monotonically_increasing_id() / LANE))
+
+    def block(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = pc.split_pattern(docs.column("words").combine_chunks(), " ")
+        row = pc.list_parent_indices(lists)
+        each = pa.table({"term": pc.list_flatten(lists), "key": docs.column("key").take(row), "length": docs.column("length").take(row)})
+        # rows with one key are one document of the lane
+        found = each.group_by(["term", "key"], use_threads=False).aggregate([([], "count_all"), ("length", "first")])
+        found = found.sort_by([("term", "ascending"), ("key", "ascending")]).combine_chunks()
+        term, tf, length = (found.column(c).combine_chunks() for c in ("term", "count_all", "length_first"))
+        codes = np.asarray(term.dictionary_encode().indices)
+        at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        ends = pa.array(np.append(at, len(codes)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, values) for values in (found.column("key").combine_chunks(), tf, length)]
+        bounds = [np.maximum.reduceat(np.asarray(tf), at), np.minimum.reduceat(np.asarray(length), at), np.diff(np.append(at, len(codes)))]
+        lane = pa.array(np.full(len(at), docs.column("lane")[0].as_py()), pa.int64())
+        yield pa.record_batch([term.take(pa.array(at)), lane, *lists, *(pa.array(v, pa.int64()) for v in bounds)], ["term", "lane", "key", "tf", "length", "most", "least", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the documents of the lane that is not whole yet, LANE at most
+        for batch in batches:
+            lane = np.asarray(batch.column("lane"))
+            edges = [0, *(np.flatnonzero(lane[1:] != lane[:-1]) + 1).tolist(), len(lane)]
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if held and to > at and held[0].column("lane")[0].as_py() != lane[at]:
+                    yield from block(pa.Table.from_batches(held))
+                    held = []
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield from block(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, f"term string, lane bigint, key array<{kind}>, tf array<bigint>, length array<bigint>, most bigint, least bigint, n bigint")
+
+
 def upsert(documents: DataFrame, key: str, text: str, path: str) -> int:
     """Add a segment with ``documents``, one row a key; they replace documents that the index has under the same keys. Returns the segment's number.
 
@@ -65,24 +112,18 @@ def upsert(documents: DataFrame, key: str, text: str, path: str) -> int:
     segment = known[-1]["segment"] + 1 if known else 0
     folder = lambda name: f"{path}/{name}/segment={segment}"
     rows = documents.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    rows = rows.withColumn("length", F.size("words").cast("bigint"))
-    # documents of similar length share a lane, so a lane's bound is near what its documents reach
-    rows = rows.repartitionByRange("length", "key").sortWithinPartitions("length", "key")
-    rows = cut_lineage(rows.withColumn("lane", F.floor(F.monotonically_increasing_id() / LANE)))
-    rows.select("key", "length", F.array_distinct("words").alias("terms")).write.mode("overwrite").parquet(folder("docs"))
-
-    each = rows.select("key", "length", "lane", F.explode("words").alias("term"))
-    each = each.groupBy("term", "lane", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    blocks = each.groupBy("term", "lane").agg(  # at most LANE postings
-        F.collect_list(F.struct("key", "tf", "length")).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("least"), F.count(F.lit(1)).alias("n")
-    )
-    blocks = cut_lineage(blocks)
-    n_blocks, n_postings = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # no word has a space, and a text is shuffled with less than an array
+    rows = cut_lineage(rows.select("key", F.size("words").cast("bigint").alias("length"), F.array_join("words", " ").alias("words")))
+    terms = F.when(F.col("length") > 0, F.array_distinct(F.split("words", " "))).otherwise(F.array().cast("array<string>"))
+    rows.select("key", "length", terms.alias("terms")).write.mode("overwrite").parquet(folder("docs"))
+    n_postings = rows.sparkSession.read.parquet(folder("docs")).agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     buckets = max(1, -(-n_postings // BUCKET_POSTINGS))
-    dealt = blocks.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
-    # ranges of (bucket, term, lane): a common word lies in several files, and a file's terms are neighbours
-    dealt = dealt.repartitionByRange("bucket", "term", "lane").sortWithinPartitions("bucket", "term", "lane")
+    # every task writes its own lanes, so a common word lies in several files; a file's terms are in order, and a query reads the pages of its words
+    dealt = _lanes(rows).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "term", "lane")
+    dealt = dealt.select("term", "lane", F.arrays_zip("key", "tf", "length").alias("postings"), "most", "least", "n", "bucket")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder("blocks"))
+    blocks = spark.read.schema("term string, n bigint").parquet(folder("blocks")) if n_postings else dealt
+    n_blocks = blocks.count()
     change = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     docs, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     if known:

@@ -72,3 +72,19 @@ def test_a_segment_without_totals_does_not_count(spark, docs, tmp_path):
     assert [i for i, _ in hits(retrieval.page(spark, folder, "green", "doc_id"))] == [1]
     with pytest.raises(ValueError):
         retrieval.page(spark, str(tmp_path / "none"), "blue", "doc_id")
+
+
+def test_postings_are_counted_where_their_lane_is(spark):
+    def blocks(docs):
+        rows = docs.selectExpr("key", "words", "size(split(words, ' ')) * 1L AS length")
+        return retrieval._lanes(rows)
+
+    many = spark.range(1000).selectExpr("id AS key", "concat('a a w', id % 3) AS words")
+    twice = many.limit(0).union(spark.createDataFrame([(7, "b b c"), (7, "b b c"), (None, "b d e")], "key long, words string"))
+    found = blocks(many).collect()
+    assert sum(r.n for r in found if r.term == "a") == 1000 and max(r.n for r in found) <= retrieval.LANE and {r.most for r in found if r.term == "a"} == {2}
+    assert sorted(k for r in found if r.term == "w1" for k in r.key) == [k for k in range(1000) if k % 3 == 1]
+    # rows with one key in a lane are one document
+    assert {(r.term, tuple(zip(r.key, r.tf))) for r in blocks(twice.coalesce(1)).repartition(1).collect()} >= {("c", ((7, 2),)), ("d", ((None, 1),))}
+    # words meet in one shuffle, and postings in none
+    assert blocks(many)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
