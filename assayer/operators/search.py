@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 import re
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions.display import snippet
@@ -130,11 +132,31 @@ def bm25(documents: DataFrame, query: str, key: str, text: str) -> DataFrame:
     return scored.select(*documents.columns, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
+def _postings(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings ``(term, key, tf, length)`` of each row: its words are counted where the row is, so repeats are never shuffled."""
+    kind = documents.schema[key].dataType.simpleString()
+    words = documents.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).filter(F.size("words") > 0)
+    # no word has a space
+    words = words.select("key", F.array_join("words", " ").alias("words"), F.size("words").alias("length"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                lists = pc.split_pattern(some.column("words"), " ")
+                each = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
+                found = each.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                row = found.column("row")
+                out = [found.column("term"), some.column("key").take(row.combine_chunks()), found.column("count_all"), some.column("length").take(row.combine_chunks())]
+                yield from pa.table(out, ["term", "key", "tf", "length"]).to_batches()
+
+    return words.mapInArrow(run, f"term string, key {kind}, tf bigint, length int")
+
+
 def build_index(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Postings ``(term, key, tf, length)``: write them partitioned or bucketed by term, and queries read few terms."""
-    words = documents.select(key, tokens(F.col(text)).alias("_t"))
-    each = words.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    return each.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    found = _postings(documents, key, text).withColumnRenamed("key", key)
+    return found.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
 
 
 def index_statistics(documents: DataFrame, text: str) -> DataFrame:
@@ -148,9 +170,12 @@ def _term_bucket(term: Column, buckets: int) -> Column:
 
 def write_index(documents: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
     """Postings in folders by a hash of the term, and the corpus figures: a query opens the folders of its words only."""
-    postings = build_index(documents, key, text).withColumn("bucket", _term_bucket(F.col("term"), buckets))
-    # a hot word's postings are spread over several tasks and files
-    postings.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = _postings(documents, key, text).withColumn("bucket", _term_bucket(F.col("term"), buckets))
+    # a hot word's postings are spread over several tasks and files; all rows of a term and key meet in one of them, so one shuffle does
+    dealt = postings.withColumn("_spread", F.pmod(F.xxhash64("key"), F.lit(8))).repartition("bucket", "_spread").withColumnRenamed("key", key)
+    if not documents.groupBy(key).count().filter("count > 1").isEmpty():  # rows with one key are one document
+        dealt = dealt.groupBy("bucket", "_spread", "term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    dealt.select("term", key, "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     index_statistics(documents, text).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/statistics")
 
 

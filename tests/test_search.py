@@ -259,3 +259,11 @@ def test_details_and_report_text(spark):
         '{"id":"p.d.one","title":"d.one","score":1.0,"metadata":{"project_id":"p"},"snippet":"d one first"}'
     )
     assert docs.select(F.array_join(search.highlighted("one P", ["table_id", "text", "id"]), ",")).first()[0] == "table_id,text,id"
+
+
+def test_repeats_of_a_word_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "to be, or not TO be"), (1, "to"), (None, "be"), (3, None), (4, "")], "id long, text string")
+    assert "HashAggregate" not in search._postings(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    found = {(r.id, r.term): (r.tf, r.length) for r in search.build_index(docs.filter("id IS NULL OR text <> 'to'"), "id", "text").collect()}
+    assert found == {(1, "to"): (2, 6), (1, "be"): (2, 6), (1, "or"): (1, 6), (1, "not"): (1, 6), (None, "be"): (1, 1)}
+    assert {r.tf for r in search.build_index(docs, "id", "text").filter("term = 'to'").collect()} == {3}
