@@ -76,7 +76,8 @@ def view_dependencies_by_substring(views: DataFrame, tables: DataFrame) -> DataF
     ends = around.select("*", F.explode(lengths).alias("_n")).filter(F.length("_left") >= F.col("_n")).select(
         "view_ref", "_right", F.right("_left", F.col("_n")).alias("_ds")
     )
-    starts = ends.join(datasets, "_ds").select("view_ref", "_ds", "_right", F.explode("_table_lengths").alias("_n")).filter(
+    # one row a dataset: the texts stay in their tasks, where a few datasets would otherwise gather all of them
+    starts = ends.join(F.broadcast(datasets), "_ds").select("view_ref", "_ds", "_right", F.explode("_table_lengths").alias("_n")).filter(
         F.length("_right") >= F.col("_n")
     ).select("view_ref", "_ds", F.left("_right", F.col("_n")).alias("_tb"))
     found = starts.join(names, ["_ds", "_tb"]).filter(F.col("source") != F.col("view_ref"))

@@ -171,3 +171,13 @@ def test_the_digest_of_a_whole_neighbourhood(spark):
     got = {(r.table_ref, r.direction): (r.n, r.total, r.digest) for r in found.collect()}
     assert len(got) == 25004 and got["p.d.hub", "downstream"] == (25000, 25000, md5(*names))
     assert got["a", "downstream"] == (3, 3, md5("b", "b", "é")) and got["b", "upstream"] == (2, 2, md5("a", "a")) and got["p.v.v7", "upstream"] == (1, 1, md5("p.d.hub"))
+
+
+def test_texts_are_not_gathered_by_dataset(spark, views):
+    tables = spark.createDataFrame([("p.d.orders", "d", "orders"), ("p.d.items", "d", "items")], "table_ref string, dataset_id string, table_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lineage.view_dependencies_by_substring(views, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("Exchange hashpartitioning(_ds" in line and "_tb" not in line and "_right" in line for line in plan.splitlines()) and "BroadcastHashJoin" in plan
