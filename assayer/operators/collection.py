@@ -131,15 +131,28 @@ def _frames(spark: SparkSession, assets: list[Asset], opts: CollectionOptions) -
     }
 
 
+def _said(error: PySparkException | Py4JJavaError) -> str:
+    said = str(error.java_exception) if isinstance(error, Py4JJavaError) else str(error)
+    return said.splitlines()[0]
+
+
 def _collected(spark: SparkSession, assets: list[Asset], done: Collected, opts: CollectionOptions) -> dict[str, str | None]:
-    """Error text by asset, null for those that are stored. A batch is written whole or its tables are tried alone."""
+    """Error text by asset, null for those that are stored. Tables that cannot be opened are left out; the others are written whole or tried alone."""
+    errors = {}
+    for a in assets:
+        try:
+            a.read(spark)
+        except (PySparkException, Py4JJavaError) as error:
+            errors[a.id] = _said(error)
+    if errors:
+        rest = [a for a in assets if a.id not in errors]
+        return errors | (_collected(spark, rest, done, opts) if rest else {})
     try:
         # everything is computed before anything is appended, so a failure leaves no half of a table behind
         frames = {name: _computed(df, done, name) for name, df in _frames(spark, assets, opts).items()}
     except (PySparkException, Py4JJavaError) as error:
         if len(assets) == 1:
-            said = str(error.java_exception) if isinstance(error, Py4JJavaError) else str(error)
-            return {assets[0].id: said.splitlines()[0]}
+            return {assets[0].id: _said(error)}
         return reduce(lambda a, b: a | b, [_collected(spark, [a], done, opts) for a in assets])
     for name, df in frames.items():
         df.write.mode("append").parquet(done.folder(name))

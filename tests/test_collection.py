@@ -110,3 +110,12 @@ def test_run_ids_are_names_of_folders(spark, tmp_path):
     for bad in ("", "a/b", "../x", "a b", "a=b"):
         with pytest.raises(ValueError):
             collection.collect(spark, [], str(tmp_path), "2024-02-01 00:00:00", run_id=bad)
+
+
+def test_a_missing_table_does_not_part_its_batch(spark, tmp_path, monkeypatch):
+    batches, frames = [], collection._frames
+    monkeypatch.setattr(collection, "_frames", lambda spark, assets, opts: batches.append(len(assets)) or frames(spark, assets, opts))
+    assets = [a for a in data.assets(FOLDER) if a.table_id in ("region", "nation")]
+    assets.insert(1, Asset("lake", "sales", "gone", path=str(tmp_path / "nowhere")))
+    done = collection.collect(spark, assets, str(tmp_path / "run"), "2024-02-01 00:00:00")
+    assert batches == [2] and {r.table_id: r.outcome for r in done.read(spark, "outcomes").collect()} == {"region": "formatted", "gone": "error", "nation": "formatted"}
