@@ -42,6 +42,16 @@ def about(rows: int, total: int, *key: Column | str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 62)) < F.lit(min(rows * (1 << 62) // max(total, 1), 1 << 62))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each, memory that Arrow holds but does not use goes back: workers are kept between tasks and stages. Drop a batch when it is done."""
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+
+
 def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts (last column) have about ``most`` bytes together; a longer text is alone."""
     return parts(batch.column(batch.num_columns - 1), most)

@@ -28,10 +28,12 @@ class PieceEncoder:
     Once the cache holds ``most`` pieces, only those are kept that were met in more than one batch: that bounds memory and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000):
-        self.encode_new, self.most = encode_new, most
+    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000, most_counted: int = 600_000):
+        self.encode_new, self.most, self.most_counted = encode_new, most, most_counted
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.numbers: dict[str, int] = dict.fromkeys(special, 1)
+        self.older: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -117,7 +119,22 @@ class PieceEncoder:
         return self.pool[ragged(starts, sizes)], ends[at]
 
     def counted(self, texts: list[str]) -> np.ndarray:
-        """How many ids each text has; the ids are not put together."""
-        found, at = self._looked_up(texts)
-        ends = np.concatenate([[0], np.cumsum(self.ends[found + 1] - self.ends[found])])
-        return np.diff(ends[at])
+        """How many ids each text has; the ids are not put together and not kept.
+
+        Pieces and their numbers of ids are kept in two generations of ``most_counted // 2``: when the younger is full, the older is given up.
+        """
+        split = [self.pieces(x) for x in texts]
+        flat = list(chain.from_iterable(split))
+        n = np.fromiter(map(self.numbers.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(n < 0)
+        if len(missing):
+            own = [flat[i] for i in missing.tolist()]
+            older = {x: self.older[x] for x in dict.fromkeys(own) if x in self.older}
+            new, _, sizes = self.encode_new([x for x in dict.fromkeys(own) if x not in older])
+            self.numbers.update(older)
+            self.numbers.update(zip(new, sizes.tolist(), strict=True))
+            n[missing] = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+            if len(self.numbers) > min(self.most, self.most_counted) // 2:
+                self.older, self.numbers = self.numbers, dict.fromkeys(self.special, 1)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return np.diff(ends[np.cumsum([0, *map(len, split)])])

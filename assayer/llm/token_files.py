@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from assayer.llm.common import chunks, documents, local_path
+from assayer.llm.common import chunks, documents, local_path, released
 from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
 
 NO_ID = -(2**63)
@@ -103,10 +103,11 @@ def counted(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = library(path)
-        for batch in batches:
-            for a, b in chunks(batch, BATCH_BYTES):
+        for batch in released(batches):
+            for a, b in chunks(batch):
                 n = encoder.counted(batch.column(batch.num_columns - 1)[a:b].to_pylist())
                 yield pa.record_batch([*[x[a:b] for x in batch.columns[:-1]], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
+            del batch
 
     others = [df[c] for c in df.columns if c != text_col]
     picked = df.select(*others, F.coalesce(df[text_col].cast("string"), F.lit("")).alias("n_tokens"))

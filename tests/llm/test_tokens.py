@@ -91,3 +91,14 @@ def test_empty_tables(spark, empty, tmp_path):
     assert bpe.round_trip(empty, PATH).count() == bpe.encode(empty, PATH).count() == 0
     parts = token_files.write(empty, str(tmp_path / "none"), PATH, 2)
     assert parts == [] and token_files.read(spark, str(tmp_path / "none"), parts).count() == 0
+
+
+@pytest.mark.parametrize("most", [6, 300, 100_000])
+def test_counting_keeps_no_ids_and_few_pieces(library, most):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    encoder.most_counted, expected = most, [len(x.ids) for x in library.encode_batch(texts(), add_special_tokens=False)]
+    rows = [encoder.counted(texts()[a : a + 100]).tolist() for a in range(0, len(texts()), 100)]
+    assert [n for row in rows for n in row] == expected
+    assert len(encoder.known) == len(encoder.special) and len(encoder.numbers) <= max(most // 2, len(encoder.special))
+    own = encoder.counted(texts())
+    assert own.tolist() == expected and encoder.counted([]).tolist() == []
