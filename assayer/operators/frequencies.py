@@ -72,10 +72,29 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return _counted_pairs(df, _selected(df, columns), "value", whole_value)
 
 
+#: How a value is told from others without its text; all other types by their whole text.
+_PLAIN = {"whole": ("BIGINT", (T.IntegralType, T.BooleanType)), "number": ("DOUBLE", (T.DoubleType, T.FloatType)), "moment": ("TIMESTAMP_NTZ", (T.DateType, T.TimestampNTZType))}
+
+
+def _plain_value(f: Field) -> dict[str, str]:
+    """One of the columns ``whole``, ``number``, ``moment`` and ``text`` holds the value, the others are null."""
+    c = q.name(f.path)
+    kind = next((k for k, (_, types) in _PLAIN.items() if isinstance(f.data_type, types)), "text")
+    own = whole_value(f) if kind == "text" else f"CAST({unsigned_zero(c, f.data_type)} AS {_PLAIN[kind][0]})"
+    kinds = {k: name for k, (name, _) in _PLAIN.items()} | {"text": "STRING"}
+    return {k: own if k == kind else f"CAST(NULL AS {name})" for k, name in kinds.items()}
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct counts from the same counted pairs, without expanding whole rows once per column."""
-    return value_frequencies(df, columns).groupBy("column_name").agg(
-        F.sum("n").alias("total_rows"), F.count("value").alias("distinct_count")
+    """Exact distinct counts from counted pairs as above, without expanding whole rows once per column; numbers and times are not made into texts."""
+    chosen = _selected(df, columns)
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "column_name string, total_rows bigint, distinct_count bigint")
+    kinds = [*_PLAIN, "text"]
+    pairs = q.rows([q.struct(column_name=q.text(f.dotted), **_plain_value(f)) for f in chosen])
+    counted = df.selectExpr(pairs).groupBy("column_name", *kinds).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column_name").agg(
+        F.sum("n").alias("total_rows"), F.expr(f"count_if({' OR '.join(f'{k} IS NOT NULL' for k in kinds)})").alias("distinct_count")
     )
 
 

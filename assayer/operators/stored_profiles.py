@@ -19,6 +19,8 @@ from assayer.functions import sqltext as q
 from assayer.operators.profile import _number_text, kind_of, unsigned_zero
 from assayer.sources.tables import Field, profilable, union_all
 
+#: What the sketches are made of; states of another kind cannot be merged with these, and their files are read again.
+FORMAT = 2
 FILE = ["file_path", "file_size", "file_time"]
 
 
@@ -62,12 +64,23 @@ _TOP = "STRUCT<sketch: BINARY, maxItemsTracked: INT, itemDataType: STRING, itemD
 
 
 STATES = f"""
-    table_id STRING, file_path STRING, file_size BIGINT, file_time TIMESTAMP, file_rows BIGINT,
+    table_id STRING, file_path STRING, file_size BIGINT, file_time TIMESTAMP, file_rows BIGINT, format INT,
     column_name STRING, ordinal INT, data_type STRING, profile_type STRING,
     {', '.join(f"{n} {kind}" for n, kind in _KINDS.items())}, min_value STRING, max_value STRING, top {_TOP}
 """
 
 
+def _hashed(c: str, data_type: T.DataType) -> str:
+    """What the distinct values' sketch gets: whole numbers as they are, else 64-bit hashes, as making texts of all values took half a scan's time."""
+    if isinstance(data_type, T.IntegralType):
+        return f"CAST({c} AS BIGINT)"
+    plain = unsigned_zero(c, data_type)
+    # a hash passes over nulls within arrays and depends on a decimal's precision
+    raw = (T.DoubleType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    value = plain if isinstance(data_type, raw) else f"CAST({plain} AS STRING)"
+    return f"CASE WHEN {c} IS NOT NULL THEN xxhash64({value}) END"
+
+
 def _states(f: Field, opts: SketchOptions) -> dict[str, str]:
     """The mergeable aggregates that a column's type allows."""
     c, kind = q.name(f.path), kind_of(f.data_type)
@@ -75,10 +88,7 @@ def _states(f: Field, opts: SketchOptions) -> dict[str, str]:
     if isinstance(f.data_type, (T.MapType, T.VariantType, T.CalendarIntervalType)):
         return out
     plain = unsigned_zero(c, f.data_type)
-    # the sketch passes over empty texts, so texts get a first character
-    value = plain if isinstance(f.data_type, (T.IntegerType, T.LongType)) else f"concat('=', CAST({plain} AS STRING))"
-    value = f"concat(X'3D', {plain})" if isinstance(f.data_type, T.BinaryType) else value
-    out["hll"] = f"hll_sketch_agg({value}, {opts.distinct_bits})"
+    out["hll"] = f"hll_sketch_agg({_hashed(c, f.data_type)}, {opts.distinct_bits})"
     if kind == "numeric":
         number = f"CAST({plain} AS DOUBLE)"
         out |= {"min": f"min({plain})", "max": f"max({plain})", "mean": f"avg({number})", "m2": f"var_pop({number}) * count({c})"}
@@ -91,7 +101,8 @@ def _states(f: Field, opts: SketchOptions) -> dict[str, str]:
         out |= {"min_length": f"min({sized})", "max_length": f"max({sized})", "sum_length": f"sum({sized})"}
     if isinstance(f.data_type, (T.StringType, T.IntegralType, T.BooleanType, T.DateType)):
         value = f"CAST({c} AS STRING)"
-        out["top"] = f"approx_top_k_accumulate({value}, {opts.tracked}) FILTER (WHERE length({value}) <= {opts.longest})"
+        followed = f"length({value}) <= {opts.longest}" if isinstance(f.data_type, T.StringType) else f"{c} IS NOT NULL"
+        out["top"] = f"approx_top_k_accumulate({value}, {opts.tracked}) FILTER (WHERE {followed})"
     return out
 
 
@@ -116,7 +127,7 @@ def _sketched_group(df: DataFrame, table_id: str, group: list[Field], opts: Sket
     meta = F.col("_metadata")
     keys = [meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_time")]
     found = df.groupBy(*keys).agg(*aggregates)
-    return found.selectExpr(f"{q.text(table_id)} AS table_id", *FILE, "file_rows", q.rows(structs))
+    return found.selectExpr(f"{q.text(table_id)} AS table_id", *FILE, "file_rows", f"{FORMAT} AS format", q.rows(structs))
 
 
 def stored(spark: SparkSession, store: str, table_id: str) -> DataFrame | None:
@@ -127,7 +138,7 @@ def stored(spark: SparkSession, store: str, table_id: str) -> DataFrame | None:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return found.filter(F.col("table_id") == table_id).dropDuplicates([*FILE, "column_name"])
+    return found.filter((F.col("table_id") == table_id) & (F.col("format") == FORMAT)).dropDuplicates([*FILE, "column_name"])
 
 
 def refresh(spark: SparkSession, path: str, store: str, table_id: str, opts: SketchOptions = SketchOptions()) -> Refreshed:
@@ -154,7 +165,7 @@ def refresh(spark: SparkSession, path: str, store: str, table_id: str, opts: Ske
         states.write.mode("append").partitionBy("table_id").parquet(store)
         # files without rows have no states; a row without a column keeps them from being read again
         empty = new.join(stored(spark, store, table_id).select(*FILE).distinct(), FILE, "left_anti")
-        empty = empty.select(F.lit(table_id).alias("table_id"), *FILE, F.lit(0).cast("bigint").alias("file_rows"))
+        empty = empty.select(F.lit(table_id).alias("table_id"), *FILE, F.lit(0).cast("bigint").alias("file_rows"), F.lit(FORMAT).alias("format"))
         if empty.count():
             empty.write.mode("append").partitionBy("table_id").parquet(store)
     return Refreshed(len(paths), known, gone)

@@ -221,3 +221,24 @@ def test_common_values_with_long_texts(spark):
     assert {r.column_name: r.distinct_count for r in frequencies.distinct_counts(df).collect()} == {"t": len(set(texts)) - 1, "i": len(texts)}
     unique = spark.range(5000).selectExpr("concat(repeat('text', 30), lpad(id, 6, '0')) AS t")
     assert [r.value[-6:] for r in frequencies.top_values(unique, k=3).orderBy("rank").collect()] == ["000000", "000001", "000002"]
+
+
+def test_distinct_counts_of_numbers_and_times_make_no_texts(spark):
+    df = spark.sql("""
+        SELECT * FROM VALUES
+            (1Y, 0.0D, CAST('NaN' AS FLOAT), DATE'2024-01-01', TIMESTAMP_NTZ'2024-03-31 02:30:00', true, 1.10BD, X'00', array('a', NULL), ''),
+            (1Y, -0.0D, CAST('NaN' AS FLOAT), DATE'2024-01-02', TIMESTAMP_NTZ'2024-03-31 03:30:00', false, 1.20BD, X'', array(NULL, 'a'), ' '),
+            (NULL, NULL, CAST(0.1 AS FLOAT), NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+        AS t(i, d, f, day, moment, flag, price, raw, list, name)
+    """)
+    expected = {"i": 1, "d": 1, "f": 2, "day": 2, "moment": 2, "flag": 2, "price": 2, "raw": 2, "list": 2, "name": 2}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        found = frequencies.distinct_counts(df)
+        assert {r.column_name: (r.total_rows, r.distinct_count) for r in found.collect()} == {c: (3, n) for c, n in expected.items()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    numbers = frequencies.distinct_counts(df.select("i", "d", "f", "day", "moment"))
+    assert "as string" not in numbers._jdf.queryExecution().optimizedPlan().toString().lower().replace("null as string", "")
+    assert frequencies.distinct_counts(df, []).collect() == [] == frequencies.distinct_counts(df.limit(0)).collect()

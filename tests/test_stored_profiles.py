@@ -106,3 +106,29 @@ def test_a_scan_id_stored_twice_counts_once(spark, tmp_path):
     store_profile(profile_table(table(spark, 0, 5), "t"), path, "scan 2")
     assert {r.total_rows for r in stored_profile(spark, path, "scan 1").collect()} == {20}
     assert stored_profile(spark, path, "scan 1").count() == 7 == stored_profile(spark, path, "scan 2").count()
+
+
+def test_distinct_values_are_sketched_without_texts(spark, tmp_path):
+    path, store = str(tmp_path / "t"), str(tmp_path / "s")
+    df = spark.sql("""
+        SELECT * FROM VALUES
+            (1Y, 0.0D, CAST(0.5 AS FLOAT), DATE'2024-01-01', TIMESTAMP_NTZ'2024-01-01', true, X'00', array('a', NULL), ''),
+            (1Y, -0.0D, CAST(0.25 AS FLOAT), DATE'2024-01-02', TIMESTAMP_NTZ'2024-01-02', false, X'', array(NULL, 'a'), ' '),
+            (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+        AS t(i, d, f, day, moment, flag, raw, list, name)
+    """)
+    df.coalesce(1).write.parquet(path)
+    sp.refresh(spark, path, store, "t")
+    found = {r.column_name: (r.distinct_count, r.null_count) for r in sp.merged(spark, path, store, "t").collect()}
+    assert found == {c: (1 if c in "id" else 2, 1) for c in ("i", "d", "f", "day", "moment", "flag", "raw", "list", "name")}
+    tops = {r.column_name: r.value_count for r in sp.common_values(spark, path, store, "t").collect() if r.value is None}
+    assert tops == {}
+    assert "string" not in sp._states(sp.profilable(df.schema)[1], sp.SketchOptions())["hll"].lower()
+
+
+def test_files_with_sketches_of_another_kind_are_read_again(spark, grown):
+    path, store, _ = grown
+    before = sp.sketched(spark.read.parquet(path), "t").withColumn("format", F.lit(None).cast("int"))
+    before.write.mode("overwrite").partitionBy("table_id").parquet(store)
+    assert sp.refresh(spark, path, store, "t") == sp.Refreshed(4, 0, 0)
+    assert {r.total_rows for r in sp.merged(spark, path, store, "t").collect()} == {350}
