@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.session import cut_lineage
 
 
+#: Links for each file of a round's table.
+FILE_LINKS = 250_000
+
+
 def _larger_to_smallest(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -28,20 +32,21 @@ def _smaller_to_smallest(links: DataFrame) -> DataFrame:
     return found.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("w", "m")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """``node`` and ``label`` (the smallest node reachable) of every node with a link to another; ``links`` has columns a and b, without nulls.
 
-    An empty table gives no rows. Links of a node with itself and repeated links change nothing.
+    An empty table gives no rows. Links of a node with itself and repeated links change nothing. The first table has at most ``files`` files, those
+    of the rounds as many as the links need: a local file system without native code starts processes for each file.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    links = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     before = None
     while True:
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before or not now[0]:
             break
         before = tuple(now)
-        links = cut_lineage(_smaller_to_smallest(_larger_to_smallest(links)))
+        links = cut_lineage(_smaller_to_smallest(_larger_to_smallest(links)), -(-now[0] // FILE_LINKS))
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(links.select("b", "b")).distinct()
 
 

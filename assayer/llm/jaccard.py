@@ -217,20 +217,20 @@ def _with_family(sets: DataFrame, facts: DataFrame, how: str = "inner") -> DataF
     return salted.join(spread, ["family", "_salt"], how).drop("_salt")
 
 
-def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Links (of reps) that connect all linked sets: ``sets`` (rep, d1, d2, shingles), ``meetings`` (token, d1).
+def _connected_sets(sets: DataFrame, meetings: DataFrame, files: int) -> DataFrame:
+    """Links (of reps) that connect all linked sets: ``sets`` (rep, d1, d2, shingles), ``meetings`` (token, d1). Tables on the way have at most ``files`` files.
 
     A set is its digest (d1, d2); its rep may stand for other texts of the same id too, which is one node anyway. Two sets with the
     same d1 alone only share a family."""
     least = meetings.groupBy("token").agg(F.min("d1").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    family = components(meetings.join(least, "token").select(F.col("d1").alias("a"), "b"))
+    family = components(meetings.join(least, "token").select(F.col("d1").alias("a"), "b"), files)
     family = family.select(F.col("node").alias("d1"), F.col("label").alias("family"))
-    sets = cut_lineage(sets.join(family, "d1"))
+    sets = cut_lineage(sets.join(family, "d1"), files)
     size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > TILE)
     tiles = F.coalesce(F.ceil(F.col("c") / TILE), F.lit(1)).cast("long")
     # a tile is its family and a number
     dealt = _with_family(sets, size, "left").withColumn("tiles", tiles).withColumn("number", F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")))
-    dealt = cut_lineage(dealt.select("family", "tiles", "number", "rep", "d1", "d2", "shingles"))
+    dealt = cut_lineage(dealt.select("family", "tiles", "number", "rep", "d1", "d2", "shingles"), files)
     large = dealt.filter("tiles > 1")
     # pivots: a few sets of each large family, by the hash of their digests
     ranked = large.select("family", "tiles", "number", "d1", "d2", F.xxhash64("d1", "d2", F.lit("pivot")).alias("h"))
@@ -242,13 +242,13 @@ def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
     tile = F.xxhash64("family", "number").alias("tile")
     own = dealt.select(tile, "rep", F.col("rep").alias("label"), "shingles")
     guests = spread.filter("number <> home").select(tile, "rep", F.col("rep").alias("label"), "shingles")
-    links = cut_lineage(_compared(own.union(guests)))
+    links = cut_lineage(_compared(own.union(guests)), files)
     if large.isEmpty():
         return links
     # sets outside their family's largest component visit its other tiles
-    label = components(links)
+    label = components(links, files)
     known = large.join(label, large["rep"] == label["node"], "left").select("family", "tiles", "number", "rep", "d1", "d2", F.coalesce("label", "rep").alias("label"), "shingles")
-    known = cut_lineage(known)
+    known = cut_lineage(known, files)
     count = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     main = count.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m")).select("family", F.col("m.label").alias("main"))
     known = _with_family(known, main)
@@ -260,7 +260,7 @@ def _connected_sets(sets: DataFrame, meetings: DataFrame) -> DataFrame:
     from_ = visitors.select("family", F.col("number").alias("from")).distinct()
     hosts = _with_family(known, from_).filter("from <> number")
     hosts = hosts.select(F.xxhash64("family", "number", "from").alias("tile"), "rep", "label", "shingles")
-    return links.union(cut_lineage(_compared(guests.union(hosts)))).union(label.select("node", "label"))
+    return links.union(cut_lineage(_compared(guests.union(hosts)), files)).union(label.select("node", "label"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,20 +274,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_described, _SCHEMA).write.partitionBy("kind").parquet(path)
     described = spark.read.schema(_SCHEMA).parquet(path)
     classes = described.filter("kind = 1").select("rep", "n", "d1", "d2")
-    same = cut_lineage(classes.groupBy("n", "d1", "d2").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")))
+    same = cut_lineage(classes.groupBy("n", "d1", "d2").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")), blocks)
     # equal sets of different blocks: one stands for all
     copies = classes.join(same.filter("c > 1"), ["n", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("least").alias("b")).filter("a <> b")
     ones = same.select(F.col("least").alias("rep"), "n", "d1", "d2")
     sets = described.filter("kind = 2").select("rep", "n", "d1", "d2", "shingles").join(ones, ["rep", "n", "d1", "d2"], "left_semi")
     sets = sets.dropDuplicates(["n", "d1", "d2"]).drop("n")
     meetings = described.filter("kind = 3").select("token", "rep", "d1").join(ones, ["rep", "d1"], "left_semi").select("token", "d1").distinct()
-    links = copies.union(_connected_sets(sets, meetings))
+    links = copies.union(_connected_sets(sets, meetings, blocks))
     docs = described.filter("kind = 0")
     # rows that share an id are one node, though they lie in different blocks or have different texts
     named = docs.filter(f"doc_id <> {NO_ID}").select("doc_id", "rep")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c").select("doc_id", "b")
     links = links.union(named.join(several, "doc_id").filter("rep <> b").select("rep", "b"))
-    label = components(links)
+    label = components(links, blocks)
     out = docs.join(label, docs["rep"] == label["node"], "left")
     return out.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),

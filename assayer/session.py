@@ -61,13 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/assayer-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder, in ``most`` files at most, and read it back.
 
     Loops keep a short plan, lost executors cost no recomputation, and later joins know the table's real size,
     so a small frontier is broadcast and the large side stays where it is.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
+    (df.coalesce(most) if most else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,14 @@
 import random
 import re
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pytest
 
 from assayer.llm import fingerprints, jaccard, near_vectors
 from assayer.llm.components import components
+from assayer.session import checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,6 +50,22 @@ def test_links_of_documents(odd, corpus):
         assert got(df) == expected(df)
 
 
+def test_tables_on_the_way_have_few_files(spark, corpus):
+    """However many shuffle partitions there are: each written file starts processes on a local file system without native code."""
+    want, parent = expected(corpus), Path(unquote(urlparse(checkpoint_dir(spark)).path))
+    before, held = set(parent.glob("assayer-cut-*")), {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert got(corpus) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [len(list(x.glob("*.parquet"))) for x in set(parent.glob("assayer-cut-*")) - before]
+    assert len(files) > 5 and max(files) <= 2 * spark.sparkContext.defaultParallelism < 61
+
+
 def test_empty_table(empty):
     assert jaccard.join(empty).count() == 0
 
