@@ -39,8 +39,10 @@ def estimated_tokens(text: Column) -> Column:
 
 def text_cluster(text: Column) -> Column:
     """Equal texts, but for letter case and white space, are one cluster; an empty text is in none."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.length(plain) > 0, F.xxhash64(plain))
+    # a run of white space becomes one space; single spaces, which are most, are no matches
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r]\s*| \s+", " "))
+    # asked of the text itself: a condition on ``plain`` would make it twice
+    return F.when(text.rlike(r"\S"), F.xxhash64(plain))
 
 
 class Bins:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from assayer.llm.common import ragged
 
@@ -20,6 +22,9 @@ BATCH_BYTES = 2_000_000
 #: Where a text must not be cut; Python's white space covers the tokenizers' and four control characters more, which is harmless.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
+#: Marks that are words of their own at the end of a piece, if a Latin letter stands before them.
+MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
+
 
 class PieceEncoder:
     """Token ids of texts; ``encode_new`` encodes strings that were not seen before, each on its own, in an order that it chooses:
@@ -31,9 +36,12 @@ class PieceEncoder:
     def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000, most_counted: int = 600_000):
         self.encode_new, self.most, self.most_counted = encode_new, most, most_counted
         self.special = special
+        #: Whether texts may be cut before spaces.
+        self.spaces = True
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.numbers: dict[str, int] = dict.fromkeys(special, 1)
         self.older: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -123,18 +131,44 @@ class PieceEncoder:
 
         Pieces and their numbers of ids are kept in two generations of ``most_counted // 2``: when the younger is full, the older is given up.
         """
-        split = [self.pieces(x) for x in texts]
-        flat = list(chain.from_iterable(split))
-        n = np.fromiter(map(self.numbers.get, flat, repeat(-1)), np.int64, len(flat))
+        spaced, rests, split = self.spaces, [], []
+        for x in texts:
+            if spaced and not UNSAFE.search(x) and not (self.cut and self.cut.search(x)):
+                first, space, rest = x.partition(" ")
+                rests.append(rest if space else None)
+                split.append([first] if first else [])
+            else:
+                rests.append(None)
+                split.append(self.pieces(x))
+        # what follows the first space goes through Arrow's dictionary: only distinct pieces become Python strings
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        found = lists.flatten().dictionary_encode()
+        names = [" " + x for x in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        n = self._numbers_of([*names, *chain.from_iterable(split)])
+        return _sums(n[np.asarray(found.indices)], np.asarray(pc.list_value_length(lists).fill_null(0))) + _sums(n[len(names) :], [*map(len, split)])
+
+    def _numbers_of(self, pieces: list[str]) -> np.ndarray:
+        """How many ids each piece has; new ones are encoded."""
+        n = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(n < 0)
         if len(missing):
-            own = [flat[i] for i in missing.tolist()]
-            older = {x: self.older[x] for x in dict.fromkeys(own) if x in self.older}
-            new, _, sizes = self.encode_new([x for x in dict.fromkeys(own) if x not in older])
+            own = dict.fromkeys(pieces[i] for i in missing.tolist())
+            if not self.marks:
+                marks, _, sizes = self.encode_new(list(MARKS))
+                self.marks = dict(zip(marks, sizes.tolist(), strict=True))
+            marked = {x: x[:-1] for x in own if x[-1:] in MARKS and self.spaces and x[-2:-1].isalpha() and x[-2] < LATIN_END and x not in self.older}
+            words = [x for x in dict.fromkeys(marked.get(x, x) for x in own) if x not in self.numbers]
+            older = {x: self.older[x] for x in words if x in self.older}
+            new, _, sizes = self.encode_new([x for x in words if x not in older])
             self.numbers.update(older)
             self.numbers.update(zip(new, sizes.tolist(), strict=True))
-            n[missing] = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+            self.numbers.update({x: self.numbers[word] + self.marks[x[-1]] for x, word in marked.items()})
+            n[missing] = np.fromiter((self.numbers[pieces[i]] for i in missing.tolist()), np.int64, len(missing))
             if len(self.numbers) > min(self.most, self.most_counted) // 2:
                 self.older, self.numbers = self.numbers, dict.fromkeys(self.special, 1)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return np.diff(ends[np.cumsum([0, *map(len, split)])])
+        return n
+
+
+def _sums(n: np.ndarray, sizes: np.ndarray | list[int]) -> np.ndarray:
+    """The sums of rows of ``n`` with these sizes."""
+    return np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from assayer.llm.common import chunks, documents, local_path, released
+from assayer.llm.common import CHUNK_BYTES, chunks, documents, local_path, released
 from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
 
 NO_ID = -(2**63)
@@ -94,7 +94,7 @@ def library(path: str) -> tuple[PieceEncoder, int]:
     encoder = PieceEncoder(encode_new, special if plain else {})
     if not plain:
         encoder.pieces = lambda text: [text] if text else []
-        encoder.most = 20_000
+        encoder.spaces, encoder.most = False, 20_000
     return encoder, largest
 
 
@@ -104,7 +104,7 @@ def counted(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = library(path)
         for batch in released(batches):
-            for a, b in chunks(batch):
+            for a, b in chunks(batch, 2 * CHUNK_BYTES):
                 n = encoder.counted(batch.column(batch.num_columns - 1)[a:b].to_pylist())
                 yield pa.record_batch([*[x[a:b] for x in batch.columns[:-1]], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
             del batch

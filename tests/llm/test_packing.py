@@ -96,3 +96,11 @@ def test_sizes_are_the_numbers_of_tokens(spark, odd, corpus, empty, tmp_path):
     corpus.write.parquet(f"{tmp_path}/documents.parquet")
     found = registered.op1_packing(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
     assert dict(map(tuple, found)) == size
+
+
+def test_white_space_and_case_make_no_other_cluster(spark, odd):
+    texts = ["a b", " A \t\n b ", "a\x0bb", "a\fb\r", "a  b", "a\n\n B", "ab", "a\u00a0b", "\t", " ", "", None, " a", "\n a b", "a \x1c b"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").union(odd.select("text"))
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    rows = df.select(packing.text_cluster(F.col("text")).alias("a"), F.when(F.length(plain) > 0, F.xxhash64(plain)).alias("b"), "text").collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows[:6]}) == 1 and [r.a for r in rows[8:12]] == [None] * 4

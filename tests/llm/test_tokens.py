@@ -102,3 +102,23 @@ def test_counting_keeps_no_ids_and_few_pieces(library, most):
     assert len(encoder.known) == len(encoder.special) and len(encoder.numbers) <= max(most // 2, len(encoder.special))
     own = encoder.counted(texts())
     assert own.tolist() == expected and encoder.counted([]).tolist() == []
+
+
+def test_counting_looks_up_distinct_pieces_only(library, monkeypatch):
+    odd = ["", " ", "  ", " a", "  a", "a  b", "a ", "a \n b", "x\n\n y", "\x00 b", "a\u00a0 b", "a\u00a0b c", "<|endoftext|> a", "a <|endoftext|>", "it's, no", "no, no. \u00e9t\u00e9, a), b.. c: d! e?! f'.", "\u6f22, a1, .", "\U0001f642 \u6f22 a"]
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    for _ in range(2):
+        assert encoder.counted(odd).tolist() == [len(x.ids) for x in library.encode_batch(odd, add_special_tokens=False)]
+    looked, own = [], encoder._numbers_of
+    monkeypatch.setattr(encoder, "_numbers_of", lambda x: looked.append(list(x)) or own(x))
+    assert encoder.counted(["one two one two " * 500 + "one"]).tolist() == [len(library.encode("one two one two " * 500 + "one", add_special_tokens=False).ids)]
+    assert [sorted(x) for x in looked] == [[" one", " two", "one"]]
+
+
+def test_counting_encodes_a_word_once_whatever_mark_follows(library):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    asked, own = [], encoder.encode_new
+    encoder.encode_new = lambda x: asked.extend(x) or own(x)
+    text = "so word, word. word; word: word! word? word), word"
+    assert encoder.counted([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert asked.count(" word") == 1 and sorted(x for x in asked if "word" in x) == [" word", " word),"]
