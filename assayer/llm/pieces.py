@@ -2,7 +2,8 @@
 
 The pattern of byte-level tokenizers takes at most one space before a word and never crosses other white space, so a text
 can be cut before a space without changing its tokens, but for a space between two characters of white space (or after
-one, at the end). Most pieces are words that have been seen before; only new ones need the merges.
+one, at the end). The last white space before other text never belongs to what stands before it, so a text can also be cut
+before a line end there. Most pieces are words that have been seen before; only new ones need the merges.
 """
 
 from __future__ import annotations
@@ -15,15 +16,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from assayer.llm.common import ragged
+from assayer.llm.common import flat, ragged
 
 #: Bytes of text that are encoded together: each batch looks through the whole cache once.
 BATCH_BYTES = 2_000_000
+#: Bytes of known pieces in a generation, where they are long.
+GENERATION_BYTES = 32_000_000
 #: Where a text must not be cut; Python's white space covers the tokenizers' and four control characters more, which is harmless.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
-#: Marks that are words of their own at the end of a piece, if a Latin letter stands before them.
-MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
+#: The last white space before other text: a text can be cut before it wherever it stands.
+LAST_SPACE, LAST_LINE_END = re.compile(r"[ \n](?=\S)"), re.compile(r"\n(?=\S)")
+
+#: Marks that are words of their own at the end of a piece, if a Latin letter stands before them (as Arrow's patterns have it).
+MARKS = ".,;:!?"
+MARKED = f"[{''.join(c for c in map(chr, range(0x250)) if c.isalpha())}][{MARKS}]\\z"
 
 
 class PieceEncoder:
@@ -33,15 +40,16 @@ class PieceEncoder:
     Once the cache holds ``most`` pieces, only those are kept that were met in more than one batch: that bounds memory and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000, most_counted: int = 600_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int], most: int = 1_000_000, most_counted: int = 1_000_000):
         self.encode_new, self.most, self.most_counted = encode_new, most, most_counted
         self.special = special
         #: Whether texts may be cut before spaces.
         self.spaces = True
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.numbers: dict[str, int] = dict.fromkeys(special, 1)
-        self.older: dict[str, int] = {}
-        self.marks: dict[str, int] = {}
+        #: Pieces whose numbers of ids are known, and these numbers, in two generations.
+        self.numbers, self.sizes = self.older, self.older_sizes = self._own = pa.array(["", *special], pa.large_string()), pa.array([0, *[1] * len(special)], pa.int32())
+        #: The number of ids of each mark, by its byte.
+        self.marks: np.ndarray | None = None
         self._clear()
 
     def _clear(self) -> None:
@@ -106,11 +114,11 @@ class PieceEncoder:
         if self.count > self.most:
             self._forget()
         split = [self.pieces(x) for x in texts]
-        flat = list(chain.from_iterable(split))
-        found = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        pieces = list(chain.from_iterable(split))
+        found = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            own = [flat[i] for i in missing]
+            own = [pieces[i] for i in missing]
             self._add(*self.encode_new(list(dict.fromkeys(own))))
             found[missing] = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         here = np.zeros(self.count, np.uint8)
@@ -129,45 +137,68 @@ class PieceEncoder:
     def counted(self, texts: list[str]) -> np.ndarray:
         """How many ids each text has; the ids are not put together and not kept.
 
-        Pieces and their numbers of ids are kept in two generations of ``most_counted // 2``: when the younger is full, the older is given up.
+        Pieces stay in Arrow's arrays: each distinct one is looked up once, and only new ones become Python strings. They and their
+        numbers of ids are kept in two generations of ``most_counted // 2`` and ``GENERATION_BYTES``: when the younger is full, the older is given up.
         """
-        spaced, rests, split = self.spaces, [], []
+        cut: list[str | None] = []
+        split: list[list[str]] = []
         for x in texts:
-            if spaced and not UNSAFE.search(x) and not (self.cut and self.cut.search(x)):
-                first, space, rest = x.partition(" ")
-                rests.append(rest if space else None)
-                split.append([first] if first else [])
-            else:
-                rests.append(None)
+            if not self.spaces or "\x00" in x or (self.cut and self.cut.search(x)):
+                cut.append(None)
                 split.append(self.pieces(x))
-        # what follows the first space goes through Arrow's dictionary: only distinct pieces become Python strings
-        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
-        found = lists.flatten().dictionary_encode()
-        names = [" " + x for x in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        n = self._numbers_of([*names, *chain.from_iterable(split)])
-        return _sums(n[np.asarray(found.indices)], np.asarray(pc.list_value_length(lists).fill_null(0))) + _sums(n[len(names) :], [*map(len, split)])
+            else:
+                # plain replacing is faster, but cuts before every space
+                cut.append(LAST_SPACE.sub("\x00\\g<0>", x) if UNSAFE.search(x) else LAST_LINE_END.sub("\x00\n", x).replace(" ", "\x00 "))
+                split.append([])
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
+        sizes = np.asarray(pc.list_value_length(lists).fill_null(0))
+        pieces, own = lists.flatten(), list(chain.from_iterable(split))
+        cut_pieces = len(pieces)
+        del cut, lists
+        found = (pa.concat_arrays([pieces, pa.array(own, pa.large_string())]) if own else pieces).dictionary_encode()
+        del pieces
+        n = self._sizes_of(found.dictionary)[np.asarray(found.indices)]
+        return _sums(n[:cut_pieces], sizes) + _sums(n[cut_pieces:], [*map(len, split)])
+
+    def _sizes_of(self, pieces: pa.Array) -> np.ndarray:
+        """How many ids each of these distinct pieces has; a mark behind a Latin word is counted on its own."""
+        if not self.spaces:
+            return self._looked_up_sizes(pieces)
+        marked = pc.and_not(pc.match_substring_regex(pieces, MARKED), pc.is_in(pieces, value_set=self._own[0]))
+        words = pc.if_else(marked, pc.utf8_rtrim(pieces, MARKS), pieces).dictionary_encode()
+        n = self._looked_up_sizes(words.dictionary)[np.asarray(words.indices)]
+        if self.marks is None:
+            names, _, sizes = self.encode_new(list(MARKS))
+            self.marks = np.zeros(256, np.int64)
+            self.marks[[ord(x) for x in names]] = sizes
+        letters, starts = flat(pieces)
+        at = np.flatnonzero(np.asarray(marked))
+        n[at] += self.marks[letters[starts[at + 1] - 1]]
+        return n
 
-    def _numbers_of(self, pieces: list[str]) -> np.ndarray:
-        """How many ids each piece has; new ones are encoded."""
-        n = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def _looked_up_sizes(self, words: pa.Array) -> np.ndarray:
+        """How many ids each of these distinct strings has; what is not in the younger generation comes into it."""
+        n = np.array(self.sizes.take(pc.index_in(words, value_set=self.numbers)).fill_null(-1), np.int64)
         missing = np.flatnonzero(n < 0)
         if len(missing):
-            own = dict.fromkeys(pieces[i] for i in missing.tolist())
-            if not self.marks:
-                marks, _, sizes = self.encode_new(list(MARKS))
-                self.marks = dict(zip(marks, sizes.tolist(), strict=True))
-            marked = {x: x[:-1] for x in own if x[-1:] in MARKS and self.spaces and x[-2:-1].isalpha() and x[-2] < LATIN_END and x not in self.older}
-            words = [x for x in dict.fromkeys(marked.get(x, x) for x in own) if x not in self.numbers]
-            older = {x: self.older[x] for x in words if x in self.older}
-            new, _, sizes = self.encode_new([x for x in words if x not in older])
-            self.numbers.update(older)
-            self.numbers.update(zip(new, sizes.tolist(), strict=True))
-            self.numbers.update({x: self.numbers[word] + self.marks[x[-1]] for x, word in marked.items()})
-            n[missing] = np.fromiter((self.numbers[pieces[i]] for i in missing.tolist()), np.int64, len(missing))
-            if len(self.numbers) > min(self.most, self.most_counted) // 2:
-                self.older, self.numbers = self.numbers, dict.fromkeys(self.special, 1)
+            rest = words.take(pa.array(missing))
+            sizes = np.array(self.older_sizes.take(pc.index_in(rest, value_set=self.older)).fill_null(-1), np.int64)
+            new = np.flatnonzero(sizes < 0)
+            if len(new):
+                sizes[new] = self._numbers_of(rest.take(pa.array(new)).to_pylist())
+            n[missing] = sizes
+            self.numbers = pa.concat_arrays([self.numbers, rest])
+            self.sizes = pa.concat_arrays([self.sizes, pa.array(sizes, pa.int32())])
+            if len(self.numbers) > min(self.most, self.most_counted) // 2 or self.numbers.nbytes > GENERATION_BYTES:
+                (self.older, self.older_sizes), (self.numbers, self.sizes) = (self.numbers, self.sizes), self._own
         return n
 
+    def _numbers_of(self, pieces: list[str]) -> np.ndarray:
+        """How many ids each of these new pieces has."""
+        names, _, sizes = self.encode_new(pieces)
+        number = dict(zip(names, sizes.tolist(), strict=True))
+        return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+
 
 def _sums(n: np.ndarray, sizes: np.ndarray | list[int]) -> np.ndarray:
     """The sums of rows of ``n`` with these sizes."""

@@ -31,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from assayer.llm.common import CHUNK_BYTES, chunks, documents, local_path, released
+from assayer.llm.common import chunks, documents, local_path, released
 from assayer.llm.pieces import BATCH_BYTES, PieceEncoder
 
 NO_ID = -(2**63)
-#: Pieces that can be encoded in a row.
-SIMPLE = re.compile(r" \S+(?:\n+\S+)*")
-#: Fixed value: the letter that stands for a space in byte-level vocabularies.
-SPACE_LETTER = "\u0120"
+#: Pieces that can be encoded in a row of their kind, and the letter that begins each one's tokens and no token within.
+#: The letters that stand for a space and a line end in byte-level vocabularies.
+KINDS = ((re.compile(r" \S+(?:\n+\S+)*"), "\u0120"), (re.compile(r"\n\S+"), "\u010a"))
+#: Bytes of text whose tokens are counted together: each batch looks through all known pieces once.
+COUNTED_BYTES = 4_000_000
 #: Bytes of input text for each part.
 PART_BYTES = 32_000_000
 
@@ -62,24 +63,24 @@ def library(path: str) -> tuple[PieceEncoder, int]:
     plain &= not any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
     largest = max([*tokenizer.get_vocab().values(), 0])
 
-    opens = np.zeros(largest + 1, bool)
-    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+    kinds = []
+    for pattern, letter in KINDS if plain else ():
+        opens = np.zeros(largest + 1, bool)
+        opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(letter)]] = True
+        kinds.append((pattern, opens))
 
     def alone(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_new(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """A space and words without other white space than line ends between them keep their tokens in a row of such; each one's tokens begin at a space."""
-        rest, order, ids, sizes = [], [], [np.zeros(0, np.int32)], []
-        rows: list[list[str]] = []
-        if plain:
-            plainly = [SIMPLE.fullmatch(x) is not None for x in texts]
-            simple = list(compress(texts, plainly))
-            rest = list(compress(texts, [not x for x in plainly]))
-            rows = [simple[a : a + 512] for a in range(0, len(simple), 512)]
-        else:
-            rest = texts
-        for row, found in zip(rows, alone(["".join(row) for row in rows]), strict=True):
+        """A space or a line end, and words without other white space than line ends between them, keep their tokens in a row of such; each one's begin at that letter."""
+        rest, order, ids, sizes = texts, [], [np.zeros(0, np.int32)], []
+        rows: list[tuple[list[str], np.ndarray]] = []
+        for pattern, opens in kinds:
+            fits = [pattern.fullmatch(x) is not None for x in rest]
+            own, rest = list(compress(rest, fits)), list(compress(rest, [not x for x in fits]))
+            rows += [(own[a : a + 512], opens) for a in range(0, len(own), 512)]
+        for (row, opens), found in zip(rows, alone(["".join(row) for row, _ in rows]), strict=True):
             begins = np.flatnonzero(opens[found])
             if len(begins) == len(row):
                 order += row
@@ -104,7 +105,7 @@ def counted(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = library(path)
         for batch in released(batches):
-            for a, b in chunks(batch, 2 * CHUNK_BYTES):
+            for a, b in chunks(batch, COUNTED_BYTES):
                 n = encoder.counted(batch.column(batch.num_columns - 1)[a:b].to_pylist())
                 yield pa.record_batch([*[x[a:b] for x in batch.columns[:-1]], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
             del batch

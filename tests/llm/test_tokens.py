@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from assayer.llm import bpe, token_files
+from assayer.llm import bpe, pieces, token_files
 from assayer.llm.registered import vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -122,3 +122,51 @@ def test_counting_encodes_a_word_once_whatever_mark_follows(library):
     text = "so word, word. word; word: word! word? word), word"
     assert encoder.counted([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
     assert asked.count(" word") == 1 and sorted(x for x in asked if "word" in x) == [" word", " word),"]
+
+
+def test_counting_looks_up_known_pieces_in_arrow(library, monkeypatch):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    expected = [len(library.encode(x, add_special_tokens=False).ids) for x in ("one two, three", "two one four")]
+    asked, own = [], encoder._numbers_of
+    monkeypatch.setattr(encoder, "_numbers_of", lambda x: asked.extend(x) or own(x))
+    for _ in range(3):
+        assert encoder.counted(["one two, three"]).tolist() == expected[:1]
+    assert sorted(asked) == [" three", " two", "one"]
+    assert encoder.counted(["two one four"]).tolist() == expected[1:] and sorted(asked[3:]) == [" four", " one", "two"]
+
+
+def test_counting_encodes_a_word_once_whatever_line_ends_before_it(library):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    asked, own = [], encoder.encode_new
+    encoder.encode_new = lambda x: asked.extend(x) or own(x)
+    text = "a line.\nword and\nword or, it is.\nword\n"
+    assert encoder.counted([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert [x for x in asked if "word" in x] == ["\nword", "\nword\n"]
+
+
+def test_line_starts_are_encoded_in_a_row(library):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    own = ["\nWord", " word", "\n\u00e9t\u00e9.", "\nb\nc", "\n", " d\ne", "\n\nf", "\n\u6f22", "g", "\n<", ""]
+    names, ids, sizes = encoder.encode_new(own)
+    assert sorted(names) == sorted(own)
+    ends = np.cumsum(sizes).tolist()
+    for name, a, b in zip(names, [0, *ends], ends, strict=False):
+        assert ids[a:b].tolist() == library.encode(name, add_special_tokens=False).ids
+
+
+def test_counting_cuts_at_white_space_as_the_library_does(library):
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    random.seed(11)
+    parts = [" ", " ", "  ", "\n", "\n", "\n\n", "\n\n\n", " \n", "\n ", "\t", "\r\n", "\x0b", "\x1c", "\u00a0", "\u2028", "\x00", "word", "Word", "it's", "a1", ".", "?!", "\u00e9", "\u6f22", "<|endoftext|>"]
+    rows = ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(6000)]
+    rows += ["".join(random.choices(parts, k=300)) for _ in range(40)]
+    assert encoder.counted(rows).tolist() == [len(x.ids) for x in library.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_counting_keeps_few_bytes_of_long_pieces(library, monkeypatch):
+    monkeypatch.setattr(pieces, "GENERATION_BYTES", 2000, raising=False)
+    encoder = token_files.library.__wrapped__(PATH)[0]
+    for i in range(20):
+        text = f"{i}" + "\u6f22\u5b57" * 100 + f" word{i}"
+        assert encoder.counted([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+        assert sum(len(str(x)) for x in encoder.numbers) < 2000
