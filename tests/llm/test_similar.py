@@ -179,6 +179,35 @@ def test_different_vectors_of_one_id_keep_their_own_links(spark):
     assert sorted(tuple(r) for r in near_vectors.linked(df).collect()) == want
 
 
+@pytest.mark.parametrize("spread", [True, False])
+def test_vectors_are_not_sent_for_each_pair_of_tiles(spark, monkeypatch, spread):
+    """Where all tiles are near each other, no vector is shuffled again; where few are, only those meet."""
+    monkeypatch.setattr(near_vectors, "TILE", 40)
+    monkeypatch.setattr(near_vectors, "ROWS", 16)
+    monkeypatch.setattr(near_vectors, "NEAR", 1)
+    plans, cut = [], near_vectors.cut_lineage
+
+    def seen(df, *most):
+        if "root" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *most)
+
+    monkeypatch.setattr(near_vectors, "cut_lineage", seen)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 24)) if spread else np.outer(np.repeat([1, -1], 40), np.eye(24)[0]) + rng.normal(size=(80, 24)) * 0.01
+    if spread:
+        x[40:80] = x[:40] + rng.normal(size=(40, 24)) * 0.05
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    label = groups(list(zip(*(v.tolist() for v in np.nonzero(hit)))), range(len(x)))
+    want = [(i, int(h.sum()) - 1, label[i], label[i] == i) for i, h in enumerate(hit)]
+    assert sorted(tuple(r) for r in near_vectors.linked(df).collect()) == want
+    assert len(plans) == 1 and ("CartesianProduct" in plans[0]) == spread
+    assert not spread or "Exchange" not in plans[0]
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 40)) + 3 * rng.normal(size=(1, 40))
