@@ -2,6 +2,7 @@
 
 1. Documents become blocks of about ``BLOCK_BYTES`` of text, each with the postings of its own terms. Spark adds up document
    frequencies and lengths over all blocks; the index is written with the impact of every posting and the largest of each list.
+   Documents, counts and lengths take the bytes that the largest of their block needs: a task holds several blocks at once.
 2. The terms that most documents hold have the longest lists. For every pair of them the index of a block stores the size of the lists'
    intersection and the largest impact that the two reach together in one document of it.
 3. Queries come in blocks of bounded size and visit every block of the index. Terms are ordered by their largest impact. The terms
@@ -71,6 +72,18 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as few bytes as the largest needs."""
+    most = int(values.max(initial=0))
+    return values.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n)).tobytes()
+
+
+def _numbers(x: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_small``."""
+    data = x.as_buffer()
+    return np.frombuffer(data, f"<u{data.size // n}") if n else np.zeros(0, np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of postings of ``doc_id`` and ``text``."""
     for batch in batches:
@@ -87,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([int(sizes.sum())]),
                 _list(term[at], pa.int64()),
                 _list(np.diff(np.append(at, len(term))).astype(np.int32), pa.int32()),
-                *(pa.array([v.tobytes()], pa.binary()) for v in (np.asarray(block.column(0).fill_null(NO_ID)).astype("<i8"), sizes.astype("<i8"), doc.astype("<i4"), tf.astype("<i8"))),
+                *(pa.array([v], pa.binary()) for v in (np.asarray(block.column(0).fill_null(NO_ID)).astype("<i8").tobytes(), _small(sizes), _small(doc), _small(tf))),
             ]
             yield pa.record_batch(row, ["n_docs", "n_terms", "terms", "dfs", "ids", "sizes", "docs", "tfs"])
 
@@ -132,7 +145,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paire
             for i in range(batch.num_rows):
                 x = {name: batch.column(name)[i] for name in batch.schema.names}
                 own, dfs = np.asarray(x["terms"].values), np.asarray(x["dfs"].values).astype(np.int64)
-                ids, sizes, doc, tf = (np.frombuffer(x[c].as_buffer(), k) for c, k in (("ids", "<i8"), ("sizes", "<i8"), ("docs", "<i4"), ("tfs", "<i8")))
+                ids, n_postings = np.frombuffer(x["ids"].as_buffer(), "<i8"), int(dfs.sum())
+                sizes, doc, tf = (_numbers(x[c], k).astype(np.int64) for c, k in (("sizes", len(ids)), ("docs", n_postings), ("tfs", n_postings)))
                 gain = gains(tf, sizes[doc], n, total) if len(doc) else tf
                 starts = np.concatenate([[0], np.cumsum(dfs)])
                 most = np.maximum.reduceat(gain, starts[:-1]) if len(own) else gain
@@ -214,7 +228,7 @@ class Block:
     def __init__(self, x: dict, paired: np.ndarray, weights: np.ndarray):
         self.terms, dfs, self.most = (np.asarray(x[c].values) for c in ("terms", "dfs", "most"))
         self.starts = np.concatenate([[0], np.cumsum(dfs.astype(np.int64))])
-        self.ids, self.doc = np.frombuffer(x["ids"].as_buffer(), "<i8"), np.frombuffer(x["docs"].as_buffer(), "<i4")
+        self.ids, self.doc = np.frombuffer(x["ids"].as_buffer(), "<i8"), _numbers(x["docs"], int(self.starts[-1]))
         self.gain = np.frombuffer(x["gains"].as_buffer(), "<i4").astype(np.int64)
         self.joint = np.frombuffer(x["joint"].as_buffer(), "<i8").reshape(len(paired), len(paired))
         self.held = np.maximum(dense(self.terms, self.starts, self.doc, self.gain, len(self.ids), paired, weights), 0)

@@ -141,3 +141,19 @@ def test_query_equals_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     query, sql = registered.registry()["op12_ranked_search"]
     assert compare(spark, duckdb_tables(folder), folder, query, sql) is None
+
+
+@pytest.mark.parametrize("times", [3, 300, 70_000])
+def test_postings_take_few_bytes(spark, times):
+    """A block's rows are what a task holds: numbers take the bytes that the largest of their block needs, and none is cut."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 40)) for _ in range(300)] + ["w1 " * times + "w2"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (block,) = lexical._counted(iter([batch]))
+    x = {name: block.column(name)[0] for name in block.schema.names}
+    n, wide = sum(len(Counter(terms(t))) for t in texts), 1 if times < 256 else 2 if times < 1 << 16 else 4
+    assert sum(x["dfs"].as_py()) == n and len(x["docs"].as_py()) == 2 * n and len(x["tfs"].as_py()) == wide * n
+    assert lexical._numbers(x["tfs"], n).max() >= times and lexical._numbers(x["sizes"], len(texts)).tolist() == [len(terms(t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    asked = [(0, "w1 w2 w3"), (1, "w1"), (2, "w59 w2")]
+    assert result(lexical.search_documents(df, spark.createDataFrame(asked, "item_id long, text string"))) == expected(list(enumerate(texts)), asked)
